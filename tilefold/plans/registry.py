@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tilefold.plans import problem_queries
+from tilefold.plans import log_queries, problem_queries, text_queries
 
-MODULES = (problem_queries,)
+MODULES = (problem_queries, text_queries, log_queries)
 
 
 def queries() -> dict:
