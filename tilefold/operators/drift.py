@@ -182,21 +182,38 @@ def union_schema(found: DataFrame, log: DataFrame) -> tuple[dict[str, list[str]]
 def unified(records: DataFrame, aliases: dict[str, list[str]], types: dict[str, str]) -> DataFrame:
     """All records, each record_id of a file once, cast to the union schema; one parse per record.
 
-    Keys of the row are (record_id, stream, file_no); a data column of the same name gets the suffix ``_``. A stray
-    value that the column's type cannot hold is kept as text in the map ``_misfits``.
+    Keys of the row are (record_id, stream, file_no). A column whose name is taken, also in another letter case, gets a
+    ``_`` behind it. A value that its column's type cannot hold is kept as text in the map ``_misfits``.
     """
     names = sorted({x for xs in aliases.values() for x in xs})
-    schema = "struct<" + ",".join(f"`{x.replace('`', '``')}`:string" for x in names) + ">"
+    spellings = Counter(x.lower() for x in names)
+    plain = [x for x in names if spellings[x.lower()] == 1]
+    schema = "struct<" + ",".join(f"`{x.replace('`', '``')}`:string" for x in plain) + ">"
     base = records.select("record_id", "stream", F.col("file_no").cast("bigint").alias("file_no"), "written_at", "record")
     base = base.withColumn("_own", F.when(F.col("record_id").isNotNull(), F.struct("stream", "file_no", "record_id")))
-    rows = one_per_id(base, "_own", "written_at").withColumn("_r", F.from_json("record", schema))
+    rows = one_per_id(base, "_own", "written_at")
+    if plain:
+        rows = rows.withColumn("_r", F.from_json("record", schema))
+    if len(plain) < len(names):  # names that differ only in case are no columns of one struct
+        rows = rows.withColumn("_m", F.from_json("record", "map<string,string>"))
+
+    def text(name: str):
+        return F.col("_r").getField(name) if spellings[name.lower()] == 1 else F.try_element_at("_m", F.lit(name))
+
     sql = {"number": "double", "boolean": "boolean"}
-    cols, misfits = [], []
+    taken, cols, misfits = {"record_id", "stream", "file_no", "_misfits"}, [], []
     for column in sorted(aliases):
-        text = F.coalesce(*(F.col("_r").getField(x) for x in aliases[column]))
-        cast = text.try_cast(sql[types[column]]) if types[column] in sql else text
-        cols.append(cast.alias(column + "_" if column in ("record_id", "stream", "file_no", "_misfits") else column))
+        label = column
+        while label.lower() in taken:
+            label += "_"
+        taken.add(label.lower())
+        value = F.coalesce(*map(text, aliases[column]))
+        # the parser reads a number or truth value for a column of text as it is written
+        cast = value.try_cast(sql[types[column]]) if types[column] in sql else value
+        if types[column] == "number":
+            cast = F.when(~value.isin("true", "false"), cast)
+        cols.append(cast.alias(label))
         if types[column] in sql:
-            misfits.append(F.when(text.isNotNull() & cast.isNull(), F.struct(F.lit(column).alias("k"), text.alias("v"))))
+            misfits.append(F.when(value.isNotNull() & cast.isNull(), F.struct(F.lit(label).alias("k"), value.alias("v"))))
     odd = F.map_from_entries(F.array_compact(F.array(*misfits))) if misfits else F.lit(None).cast("map<string,string>")
     return rows.select("record_id", "stream", "file_no", *cols, odd.alias("_misfits"))
