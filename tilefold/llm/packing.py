@@ -4,8 +4,9 @@ An item has a vector (tokens, segments, loss-bearing tokens), a container a limi
 filled with the item, of all that still fit, whose vector has the largest dot product with the room left, each
 dimension weighted by its share of the limit; when none fits, the next container is opened.
 
-Items meet in shards of a bounded number of items, drawn by a hash of the id, so every shard has the same mix of sizes
-and ends with about one container that is not full; the number of shards follows the number of items. Inside a shard
+Items meet in shards of a bounded number of items, drawn by a hash of the id and the place of the row, so every shard
+has the same mix of sizes, whatever ids repeat, and ends with about one container that is not full. The number of shards
+follows the number of items, and the planner may not merge them into few tasks, as it would for their few bytes. Inside a shard
 equal vectors are one kind with a queue of ids, so a choice costs the number of kinds, not of items.
 
 Defined results: an item over the token limit is split into pieces of exactly the limit and a rest, given as ranges of
@@ -24,7 +25,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-ITEMS_PER_SHARD = 50_000
+ITEMS_PER_SHARD = 20_000
+TASKS_PER_PARTITION = 8  # of spark.sql.shuffle.partitions; beyond it a task packs several shards in turn
 _OUT = "item_id bigint, piece bigint, n_pieces bigint, from_token bigint, to_token bigint, segments bigint, loss_tokens bigint, shard bigint, container bigint"
 
 
@@ -106,7 +108,9 @@ def pack(
         (F.coalesce(F.col(loss_col), F.lit(0)) if loss_col else size).cast("bigint").alias("loss"),
     )
     shards = max(1, math.ceil(src.count() / items_per_shard))
-    sharded = src.withColumn("shard", F.pmod(F.xxhash64("item_id", "size"), F.lit(shards)).cast("bigint"))
+    tasks = min(shards, TASKS_PER_PARTITION * int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    draw = F.xxhash64("item_id", F.monotonically_increasing_id())
+    sharded = src.withColumn("shard", F.pmod(draw, F.lit(shards)).cast("bigint")).repartition(tasks, "shard")
 
     def place(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["size", "item_id"], kind="stable")
