@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tilefold.functions.text import let
 from tilefold.plans.prefix import one_per_id
 
 # The fields of an exported metrics line, the largest amount and the pattern of an event.
@@ -26,16 +27,20 @@ _QUOTED = r'"[^"]*+(?:""[^"]*+)*+"'
 _WHOLE = rf'\A(?:,(?:{_QUOTED}|[^",]*+)(?=,|\z))++\z'
 
 
-def field_array(line: Column) -> tuple[Column, Column]:
-    """(is the quoting right, the fields as text, unquoted) of one comma-separated record."""
-    led = F.concat(F.lit(","), F.regexp_replace(line, r"\r\z", ""))
-    good = led.rlike(_WHOLE)
-    parts = F.regexp_extract_all(led, F.lit(rf',({_QUOTED}|[^",]*+)'), F.lit(1))
-    bare = F.transform(
-        parts,
-        lambda p: F.when(p.startswith('"'), F.replace(F.substring(p, 2, F.length(p) - 2), F.lit('""'), F.lit('"'))).otherwise(p),
-    )
-    return good, bare
+def field_array(line: Column) -> Column:
+    """The fields of a comma-separated record as text, unquoted; null if its quoting is broken.
+
+    A record without quotes is only cut at its commas; the patterns are for the others.
+    """
+
+    def quoted(text: Column) -> Column:
+        led = F.concat(F.lit(","), text)
+        parts = F.regexp_extract_all(led, F.lit(rf',({_QUOTED}|[^",]*+)'), F.lit(1))
+        inner = lambda p: F.replace(F.substring(p, 2, F.length(p) - 2), F.lit('""'), F.lit('"'))
+        return F.when(led.rlike(_WHOLE), F.transform(parts, lambda p: F.when(p.startswith('"'), inner(p)).otherwise(p)))
+
+    text = F.regexp_replace(line, r"\r\z", "")
+    return F.when(line.contains('"'), quoted(text)).otherwise(F.split(text, ",", -1))
 
 
 def in_range(digits: Column) -> Column:
@@ -55,39 +60,51 @@ def _bad(field: str, text: Column) -> Column:
     return ~(text.rlike(r"\A[0-9]++\z") & in_range(text))
 
 
-def judged(rows: DataFrame) -> DataFrame:
-    """``rows`` with ``fields`` (array of text) and ``errors``, an ordered array of (reason, field)."""
-    good, parts = field_array(F.col("line"))
-    out = rows.withColumn("_good", good).withColumn("fields", F.when(F.coalesce("_good", F.lit(False)), parts))
+def _error(reason: str, field: str | None = None) -> Column:
+    return F.struct(F.lit(reason).alias("reason"), F.lit(field).cast("string").alias("field"))
+
+
+def judged(line: Column) -> Column:
+    """Struct (fields, errors) of a line: array of text, and an ordered array of (reason, field).
+
+    The fields are bound once, so the rules read them and do not cut the line again.
+    """
+
+    def rules(f: Column) -> Column:
+        values = F.array_compact(F.array(*(F.when(_bad(name, f[i]), _error("bad_value", name)) for i, name in enumerate(FIELDS))))
+        errors = (
+            F.when(line.isNull(), F.array(_error("column_count")))
+            .when(f.isNull(), F.array(_error("quoting")))
+            .when(F.size(f) != len(FIELDS), F.array(_error("column_count")))
+            .otherwise(values)
+        )
+        return F.struct(f.alias("fields"), errors.alias("errors"))
+
+    return let(field_array(line), rules)
 
-    def error(reason: str, field: str | None = None) -> Column:
-        return F.struct(F.lit(reason).alias("reason"), F.lit(field).cast("string").alias("field"))
 
-    values = F.array_compact(F.array(*(F.when(_bad(f, F.col("fields")[i]), error("bad_value", f)) for i, f in enumerate(FIELDS))))
-    errors = (
-        F.when(F.col("line").isNull(), F.array(error("column_count")))
-        .when(~F.col("_good"), F.array(error("quoting")))
-        .when(F.size("fields") != len(FIELDS), F.array(error("column_count")))
-        .otherwise(values)
-    )
-    return out.withColumn("errors", errors).drop("_good")
+def _failing(rows: DataFrame, *columns: str) -> DataFrame:
+    """``columns`` and ``errors`` of the failing rows. An empty array explodes to no row, so no rule runs in a filter too."""
+    errors = judged(F.col("line"))["errors"]
+    some = F.explode(let(errors, lambda e: F.when(F.size(e) > 0, F.array(e)).otherwise(F.array())))
+    return rows.select(*columns, some.alias("errors"))
 
 
 def rejected(rows: DataFrame) -> DataFrame:
     """(row_id, reason, errors, line) of the failing rows, repeated deliveries once."""
-    bad = judged(rows.select("row_id", "line")).filter(F.size("errors") > 0)
+    bad = _failing(rows, "row_id", "line")
     return bad.select("row_id", F.col("errors")[0]["reason"].alias("reason"), "errors", "line").distinct()
 
 
 def reasons(rows: DataFrame) -> DataFrame:
     """(row_id, reason): the failing rows with their first reason, without carrying the lines through the shuffle."""
-    bad = judged(rows.select("row_id", "line")).filter(F.size("errors") > 0)
-    return bad.select("row_id", F.col("errors")[0]["reason"].alias("reason")).distinct()
+    return _failing(rows, "row_id").select("row_id", F.col("errors")[0]["reason"].alias("reason")).distinct()
 
 
 def loaded(rows: DataFrame) -> DataFrame:
     """Typed metrics rows (row_id, t, event, session, raw, shown, saved, delta_hits, evicted), each row_id once."""
-    kept = judged(rows.select("row_id", "arrived_at", "line")).filter(F.size("errors") == 0)
+    clean = let(judged(F.col("line")), lambda j: F.when(F.size(j["errors"]) == 0, F.array(j["fields"])).otherwise(F.array()))
+    kept = rows.select("row_id", "arrived_at", F.explode(clean).alias("fields"))
     typed = [
         (F.nullif(F.col("fields")[i], F.lit("")).cast("bigint") if f in NUMBERS else F.col("fields")[i]).alias(f) for i, f in enumerate(FIELDS)
     ]
