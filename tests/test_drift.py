@@ -60,7 +60,7 @@ def brute(rows):
 
 
 def found(df):
-    log = drift.changes(drift.entries(df))
+    log = drift.changes(df, drift.shapes(df))
     return {tuple(r) for r in log.select("stream", "file_no", "old_name", "new_name", "change_kind").collect()}
 
 
@@ -94,8 +94,8 @@ def test_edge_cases(spark):
 
 def test_unified(spark):
     df = spark.createDataFrame(EDGE, SCHEMA)
-    entries = drift.entries(df)
-    aliases, types = drift.union_schema(entries, drift.changes(entries))
+    found_shapes = drift.shapes(df)
+    aliases, types = drift.union_schema(found_shapes, drift.changes(df, found_shapes))
     out = drift.unified(df, aliases, types)
     assert out.count() == len({(r[1], r[2], r[0]) for r in EDGE}) + 1
     assert types["b"] == "string" and len({c.lower() for c in out.columns}) == len(out.columns)
@@ -104,8 +104,8 @@ def test_unified(spark):
 def test_unified_values(spark):
     data = rows(['{"proj": "x", "Len": 1, "len": 2, "record_id": "r"}'], ['{"project": "x", "Len": "odd", "len": 3.5}', '{"project": ["y"]}'])
     df = spark.createDataFrame(data, SCHEMA)
-    entries = drift.entries(df)
-    out = {r["record_id"]: r.asDict() for r in drift.unified(df, *drift.union_schema(entries, drift.changes(entries))).collect()}
+    found_shapes = drift.shapes(df)
+    out = {r["record_id"]: r.asDict() for r in drift.unified(df, *drift.union_schema(found_shapes, drift.changes(df, found_shapes))).collect()}
     assert out[0]["project"] == "x" and out[1000]["project"] == "x" and out[1001]["project"] == '["y"]'
     assert {out[0][c] for c in out[0] if c.lower().startswith("len")} == {"1", 2.0} and out[0]["record_id_"] == "r"
 

@@ -1,12 +1,13 @@
 """Schemas that drift between files: one table with one set of columns, and a log of every change.
 
-Each record is read once, in parallel, to (field, type, value) entries that are added up per batch before they are
-shuffled. The header of a file is its fields with their commonest type. Headers are folded through a lattice of types
-(``promote``), renamed fields are followed to one name, and records are cast to the union schema by one built-in
-parse. The change log compares each file with the one before it.
+Each record is read once, in parallel, to its shape, the names and types of its fields; shapes are few, so what is shuffled
+is a record's id and a short text. The header of a file is its fields with their commonest type. Headers are folded through
+a lattice of types (``promote``), renamed fields are followed to one name, and records are cast to the union schema by one
+built-in parse. The change log compares each file with the one before it.
 
-A renamed field needs a shared value: only the values of fields that ended or began are joined, on stream, file, type
-and value, each distinct value once, so a common value or a large file does not multiply rows.
+A renamed field needs a shared value: only files with fields that ended or began are read again, and only the values of
+these fields are joined, on stream, file, type and value, each distinct value once, so a common value or a large file does
+not multiply rows.
 
 Defined results: a record that is null, empty, no complete JSON or no object has no fields, but its file exists. Null
 values are no presence. A repeated ``record_id`` in a file counts once (the first by ``written_at``); null ids all count.
@@ -18,6 +19,7 @@ predecessor is compared with nothing. Extra columns are ignored.
 
 from __future__ import annotations
 
+import json
 from collections import Counter
 from collections.abc import Iterator
 from hashlib import sha256
@@ -34,8 +36,8 @@ from tilefold.session import written
 TYPES = ("string", "number", "boolean", "list", "object")
 MAX_FIELDS = 20_000  # of a union schema; a wider one is no table of columns
 
-_ENTRY = "stream string, file_no bigint, field string, type string, value string, n bigint"
-_ENTRY_ARROW = pa.schema([(c.split()[0], pa.int64() if c.endswith("bigint") else pa.string()) for c in _ENTRY.split(", ")])
+_SHAPE = "record_id bigint, stream string, file_no bigint, written_at timestamp, shape string"
+_VALUE = "stream string, file_no bigint, field string, value string"
 
 
 def json_type(value) -> str | None:
@@ -54,51 +56,70 @@ def _clean(text: str) -> str:
     return text.encode("utf-8", "replace").decode()
 
 
-def _headers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        seen: Counter = Counter()
-        for row in batch.to_pylist():
-            try:
-                record = parse(row["record"]) if row["record"] else None
-            except ValueError:
-                record = None
-            at = (row["stream"], row["file_no"])
-            seen[(*at, None, None, None)] += 1
-            for field, value in record.items() if isinstance(record, dict) else ():
-                kind = json_type(value)
-                if kind:
-                    text = dump(value)
-                    # equal values stay equal; long ones travel as their digest
-                    seen[(*at, _clean(field), kind, text if len(text) <= 80 else sha256(text.encode()).hexdigest())] += 1
-        rows = list(zip(*((*k, n) for k, n in seen.items()))) or [[]] * 6
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, _ENTRY_ARROW.types)], schema=_ENTRY_ARROW)
+def _record(text: str | None) -> dict:
+    """The fields with a value of a record; none if it is no object."""
+    try:
+        record = parse(text) if text else None
+    except ValueError:
+        record = None
+    return {_clean(k): v for k, v in record.items() if v is not None} if isinstance(record, dict) else {}
+
 
+def _shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        shape = [json.dumps({k: json_type(v) for k, v in _record(r).items()}, sort_keys=True) for r in batch.column("record").to_pylist()]
+        kept = [batch.column(c) for c in ("record_id", "stream", "file_no", "written_at")]
+        yield pa.RecordBatch.from_arrays([*kept, pa.array(shape, pa.string())], names=["record_id", "stream", "file_no", "written_at", "shape"])
 
-def entries(records: DataFrame) -> DataFrame:
-    """(stream, file_no, field, type, value, n): every distinct value of every field of every file, written once.
 
-    ``field`` is null in a row that counts the records of the file.
-    """
+def shapes(records: DataFrame) -> DataFrame:
+    """(stream, file_no, shape, n): how many records of each file have which fields of which types, written once."""
     rows = records.select("record_id", "stream", F.col("file_no").cast("bigint").alias("file_no"), "written_at", "record")
+    rows = rows.mapInArrow(_shapes, _SHAPE)
     rows = rows.withColumn("_own", F.when(F.col("record_id").isNotNull(), F.struct("stream", "file_no", "record_id")))
-    once = one_per_id(rows, "_own", "written_at").select("stream", "file_no", "record")
-    keys = ["stream", "file_no", "field", "type", "value"]
-    return written(once.mapInArrow(_headers, _ENTRY).groupBy(*keys).agg(F.sum("n").alias("n")), "entries")
+    once = one_per_id(rows, "_own", "written_at")
+    return written(once.groupBy("stream", "file_no", "shape").agg(F.count("*").alias("n")), "shapes")
 
 
 def headers(found: DataFrame) -> DataFrame:
-    """(stream, file_no, field, type, n): the fields of each file with their commonest type."""
+    """(stream, file_no, field, type, n) of ``shapes``: the fields of each file with their commonest type."""
     rank = F.array_position(F.array(*map(F.lit, TYPES)), F.col("type"))
-    counts = found.filter("field is not null").groupBy("stream", "file_no", "field", "type").agg(F.sum("n").alias("n"))
+    each = found.select("stream", "file_no", "n", F.explode(F.from_json("shape", "map<string,string>")).alias("field", "type"))
+    counts = each.groupBy("stream", "file_no", "field", "type").agg(F.sum("n").alias("n"))
     return counts.groupBy("stream", "file_no", "field").agg(
         F.max_by("type", F.struct("n", -rank)).alias("type"), F.sum("n").alias("n")
     )
 
 
-def changes(found: DataFrame) -> DataFrame:
-    """(stream, file_no, old_name, new_name, change_kind, old_type, new_type) of each file against the one before it."""
+def _values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        seen = set()
+        for row in batch.to_pylist():
+            record = _record(row["record"])
+            for field in row["fields"]:
+                if field in record:
+                    text = dump(record[field])
+                    # equal values stay equal; long ones travel as their digest
+                    seen.add((row["stream"], row["file_no"], field, text if len(text) <= 80 else sha256(text.encode()).hexdigest()))
+        columns = list(zip(*seen)) or [()] * 4
+        types = [pa.string(), pa.int64(), pa.string(), pa.string()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["stream", "file_no", "field", "value"])
+
+
+def values_of(records: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(stream, file_no, field, value): the distinct values of the fields ``wanted`` (stream, file_no, field)."""
+    fields = wanted.groupBy("stream", "file_no").agg(F.collect_set("field").alias("fields"))
+    rows = records.select("stream", F.col("file_no").cast("bigint").alias("file_no"), "record").join(fields, ["stream", "file_no"])
+    return rows.mapInArrow(_values, _VALUE).distinct()
+
+
+def changes(records: DataFrame, found: DataFrame) -> DataFrame:
+    """(stream, file_no, old_name, new_name, change_kind, old_type, new_type) of each file against the one before it.
+
+    ``found`` are the ``shapes`` of ``records``.
+    """
     heads = headers(found)
-    files = found.filter("field is null").select("stream", "file_no").distinct()
+    files = found.select("stream", "file_no").distinct()
     later = files.join(files.select("stream", (F.col("file_no") + 1).alias("file_no")), ["stream", "file_no"], "left_semi")
     none = F.lit(None).cast("string")
     both = heads.select("stream", "file_no", "field", none.alias("old"), F.col("type").alias("new")).unionByName(
@@ -107,14 +128,20 @@ def changes(found: DataFrame) -> DataFrame:
     diff = both.groupBy("stream", "file_no", "field").agg(F.max("old").alias("old"), F.max("new").alias("new"))
     diff = written(diff.filter("not (old <=> new)").join(later, ["stream", "file_no"], "left_semi"), "diff")
 
+    # a field that ended is looked for under the type of one that began; files that have only one of both rename nothing
+    at = ["stream", "file_no", "field"]
     ended, began = diff.filter("new is null"), diff.filter("old is null")
-    values = found.filter("field is not null").select("stream", "file_no", "field", "value").distinct()
-    was = values.select("stream", (F.col("file_no") + 1).alias("file_no"), F.col("field").alias("old_name"), "value").join(
-        ended.select("stream", "file_no", F.col("field").alias("old_name"), F.col("old").alias("type")), ["stream", "file_no", "old_name"]
+    pairs = ended.select("stream", "file_no", F.col("field").alias("old_name"), F.col("old").alias("type")).join(
+        began.select("stream", "file_no", F.col("field").alias("new_name"), F.col("new").alias("type")), ["stream", "file_no", "type"]
     )
-    now = values.select("stream", "file_no", F.col("field").alias("new_name"), "value").join(
-        began.select("stream", "file_no", F.col("field").alias("new_name"), F.col("new").alias("type")), ["stream", "file_no", "new_name"]
+    before = F.col("file_no") - 1
+    sides = pairs.select("stream", before.alias("file_no"), F.col("old_name").alias("field"), F.lit(True).alias("was"), "type").unionByName(
+        pairs.select("stream", "file_no", F.col("new_name").alias("field"), F.lit(False).alias("was"), "type")
     )
+    sides = written(sides.distinct(), "sides")
+    values = written(values_of(records, sides).join(sides, at), "values")
+    was = values.filter("was").select("stream", (F.col("file_no") + 1).alias("file_no"), "type", "value", F.col("field").alias("old_name"))
+    now = values.filter("not was").select("stream", "file_no", "type", "value", F.col("field").alias("new_name"))
     renamed = was.join(now, ["stream", "file_no", "type", "value"]).select("stream", "file_no", "old_name", "new_name", "type").distinct()
     renamed = written(renamed, "renamed")
 
@@ -123,7 +150,7 @@ def changes(found: DataFrame) -> DataFrame:
             "stream", "file_no", old.alias("old_name"), new.alias("new_name"), F.lit(kind).alias("change_kind"), old_type.alias("old_type"), new_type.alias("new_type")
         )
 
-    field, empty, at = F.col("field"), F.lit(""), ["stream", "file_no", "field"]
+    field, empty = F.col("field"), F.lit("")
     gone = ended.join(renamed.select("stream", "file_no", F.col("old_name").alias("field")), at, "left_anti")
     fresh = began.join(renamed.select("stream", "file_no", F.col("new_name").alias("field")), at, "left_anti")
     return (

@@ -66,14 +66,15 @@ def p4_groups(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    log = drift.changes(drift.entries(table(spark, d, "meta_raw")))
+    records = table(spark, d, "meta_raw")
+    log = drift.changes(records, drift.shapes(records))
     return log.select("stream", "file_no", "old_name", "new_name", "change_kind").distinct()
 
 
 def p5_unified(spark: SparkSession, d: str) -> DataFrame:
     records = table(spark, d, "meta_raw")
-    found = drift.entries(records)
-    out = drift.unified(records, *drift.union_schema(found, drift.changes(found)))
+    found = drift.shapes(records)
+    out = drift.unified(records, *drift.union_schema(found, drift.changes(records, found)))
     return out.withColumn("_misfits", F.to_json("_misfits"))
 
 
