@@ -9,7 +9,7 @@ from tilefold.functions import handles as H
 from tilefold.functions import text as T
 from tilefold.operators import conditional, decisions, ledger, recall, retention, savings, store, transcripts
 from tilefold.plans.prefix import one_per_id
-from tilefold.plans.text_queries import LOG_BLOCKS, SQL_LINES, sql_handle, sql_tokens
+from tilefold.plans.text_queries import LOG_BLOCKS, SQL_LINES, sql_handle, sql_lines, sql_log_blocks, sql_log_view, sql_tokens
 from tilefold.sources.generate import edit_loop
 from tilefold.sources.tables import table
 
@@ -292,7 +292,58 @@ def _recall_sql(cond: str, where: str = "true") -> str:
         select d.doc_id, sha256(coalesce(string_agg(x, chr(10) order by i), '')) as part from documents d left join (select * from m where hit) m using (doc_id) group by d.doc_id"""
 
 
+def _pack_sql(texts: str) -> str:
+    """Packed views of ``texts`` (id, session, step, text): past by window, repeats by a fold over the blocks of a text."""
+    return f"""
+        with recursive {texts}, {sql_lines('texts', 'id')}, {sql_log_blocks('lines')},
+        h as (select t.id, t.session, t.step, block_no, block, {sql_handle('block')} as handle from blocks b join texts t on t.id = b.doc_id),
+        past as (select *, min(step) over (partition by session, handle) < step as seen, min(block_no) over (partition by id, handle) as first from h),
+        fold as (
+          select id, -1::bigint as block_no, -1::bigint as last, null::boolean as known from texts
+          union all
+          select p.id, p.block_no, case when seen or first < last then p.block_no else last end, seen or first < last from fold f join past p on p.id = f.id and p.block_no = f.block_no + 1),
+        status as (select p.id, p.block_no, block, known from past p join fold f on f.id = p.id and f.block_no = p.block_no),
+        cut as (select *, known is distinct from lag(known) over (partition by id order by block_no) as edge from status),
+        numbered as (select *, sum(edge::int) over (partition by id order by block_no) as run from cut),
+        runs as (select id, run, bool_and(known) as known, count(*) as n, string_agg(block, '' order by block_no) as text from numbered group by id, run),
+        fresh as (select id || ':' || run as id, text from runs where not known),
+        {sql_lines('fresh', 'id', 'run_lines')}, {sql_log_view('r', 'run_lines')}, {sql_log_view('w', 'lines')},
+        shown as (
+          select r.id, run, n, known, case when known then '[Tilefold: ' || (length(text) - length(replace(text, chr(10), '')) + case when ends_with(text, chr(10)) then 0 else 1 end)
+            || ' lines unchanged · recall ' || {sql_handle('text')} || ']' else coalesce(v.view, '') end as view
+          from runs r left join rviews v on v.doc_id = r.id || ':' || run),
+        cond as (select id, count(*) as runs, sum(n)::bigint as blocks, coalesce(sum(n) filter (known), 0)::bigint as hits, string_agg(view, chr(10) order by run) as view from shown group by id),
+        sized as (
+          select t.id, session, step, {sql_tokens('text')} as raw, coalesce(runs, 0) as runs, coalesce(blocks, 0) as blocks, coalesce(hits, 0) as hits,
+            {sql_tokens("coalesce(cond.view, '')")} as c, {sql_tokens("coalesce(w.view, '')")} as s
+          from (select id, session, step, coalesce(text, '') as text from texts) t left join cond on cond.id = t.id left join wviews w on w.doc_id = t.id),
+        best as (select *, runs > 1 and s < c as stateless, case when runs > 1 and s < c then s else c end as b from sized)
+        select id, session, step, case when b > raw then 'raw' when stateless then 'stateless' else 'conditional' end as choice, raw as raw_tokens, least(b, raw) as shown_tokens,
+          raw - least(b, raw) as saved_tokens, case when b > raw or stateless then 0 else hits end as delta_hits, 0 as evicted_resends, blocks, runs from best"""
+
+
 ORACLE = {
+    "delta_pack": _pack_sql(f"texts as (select doc_id as id, {_SRC} as session, doc_id as step, text from documents)"),
+    "delta_versions": "select * from (" + _pack_sql("""texts as (
+        select doc_id * 2 as id, doc_id::varchar as session, 0 as step, text from documents
+        union all select doc_id * 2 + 1, doc_id::varchar, 1, 'Running 1' || chr(10) || chr(10) || text from documents)""") + ") where step = 1",
+    "transcript_scan": """
+        with one as (select * from (select *, row_number() over (partition by line_id order by logged_at) as k from transcript) where k = 1 and session is not null),
+        x as (
+          select session, line_no, concat_ws(' ', message, content) as t,
+            case when (json_valid(message) and contains(message, '"/clear"')) or (json_valid(content) and contains(content, '"/clear"')) or content = '/clear' or message = '/clear' then '/clear'
+              when lower(kind) = 'clear' then '/clear' when lower(kind) in ('compact', 'compaction', 'compact_complete', 'compacted') then 'compaction'
+              when lower(kind) in ('session_start', 'session_restart', 'session_reset', 'restart') then 'session restart'
+              when json_valid(message) and json_type(message, '$.content') = 'VARCHAR' and trim(message ->> '$.content', ' ' || chr(9) || chr(10)) = '/clear' then '/clear'
+              when json_valid(content) and json_type(content) = 'VARCHAR' and trim(content ->> '$', ' ' || chr(9) || chr(10)) = '/clear' then '/clear'
+              when not json_valid(content) and trim(content, ' ' || chr(9) || chr(10)) = '/clear' then '/clear' end as b
+          from one),
+        s as (select session, true as ok, count(*) as n_lines, arg_max(b, line_no) filter (b is not null) as last_boundary, max(line_no) filter (b is not null) as boundary_line from x group by 1),
+        h as (
+          select distinct session, h as handle from (select x.session, unnest(regexp_extract_all(t, 'ks2?_[0-9a-fA-F]+')) as h from x join s on s.session = x.session where boundary_line is null or line_no > boundary_line)
+          where (starts_with(h, 'ks2_') and length(h) = 36) or (starts_with(h, 'ks_') and length(h) in (13, 19))),
+        r as (select session, count(*) as n, array_to_string(list_sort(list(handle))[1:5], ' ') as sample from h group by 1)
+        select s.*, coalesce(n, 0) as n_resident, coalesce(sample, '') as sample from s left join r on r.session = s.session""",
     "savings_sessions": f"with {_SESSIONS} select * from rated",
     "savings_ranked": f"with {_SESSIONS} select session, net, verdict from rated where session is not null",
     "savings_summary": """

@@ -115,7 +115,69 @@ judged as (
   from bare)
 """
 
+
+def _unwrapped(t: str) -> str:
+    """SQL for the list or object that a text is, also inside one JSON string; else null."""
+    inner = f"({t} ->> '$')"
+    kinds = "in ('ARRAY', 'OBJECT')"
+    return (
+        f"case when json_valid({t}) then case when json_type({t}) {kinds} then {t}::json "
+        f"when json_type({t}) = 'VARCHAR' and json_valid({inner}) and json_type({inner}) {kinds} then {inner}::json end end"
+    )
+
+
+def _elements(v: str) -> str:
+    return f"case json_type({v}) when 'ARRAY' then json_extract({v}, '$[*]') when 'OBJECT' then [{v}] end"
+
+
+_NODES = f"""
+with recursive vals as (
+  select line_id, 'c' as path, {_unwrapped('content')} as v from (select distinct line_id, content from transcript where content is not null)
+  union all
+  select line_id, 'm', case when json_type(w) = 'VARCHAR' then {_unwrapped("(w ->> '$')")} else w end
+  from (select distinct line_id, json_extract(message, '$.content') as w from transcript where json_valid(message) and json_type(message) = 'OBJECT')),
+nodes as (
+  select line_id, path as parent_path, path || '.' || (i - 1) as node_path, e[i] as o
+  from (select line_id, path, {_elements('v')} as e from vals), unnest(range(1, len(e) + 1)) as u(i) where json_type(e[i]) = 'OBJECT'
+  union all
+  select line_id, node_path, node_path || '.' || (i - 1), e[i]
+  from (select line_id, node_path, {_elements('v')} as e
+        from (select line_id, node_path, case when json_type(w) = 'VARCHAR' then {_unwrapped("(w ->> '$')")} else w end as v
+              from (select line_id, node_path, unnest([json_extract(o, '$.content'), case when json_type(o, '$.message') = 'OBJECT' then json_extract(o, '$.message.content') end]) as w from nodes))),
+       unnest(range(1, len(e) + 1)) as u(i) where json_type(e[i]) = 'OBJECT')
+select distinct line_id, parent_path, node_path from nodes"""
+_CHANGES = """
+with one as (select * from (select *, row_number() over (partition by stream, file_no, record_id order by written_at) as k from meta_raw) where k = 1),
+rec as (select stream, file_no::bigint as file_no, record_id, case when json_valid(record) and json_type(record) = 'OBJECT' then record end as r from one where stream is not null and file_no is not null),
+kv as (select stream, file_no, k as field, json_extract(r, '$."' || k || '"') as v from rec, unnest(json_keys(r)) as u(k)),
+tv as (
+  select *, case json_type(v) when 'VARCHAR' then 'string' when 'BOOLEAN' then 'boolean' when 'ARRAY' then 'list' when 'OBJECT' then 'object' else 'number' end as type,
+    case when json_type(v) in ('VARCHAR', 'BOOLEAN', 'ARRAY', 'OBJECT') then v::varchar else cast(v::double as varchar) end as val
+  from kv where json_type(v) <> 'NULL'),
+counts as (select stream, file_no, field, type, count(*) as n from tv group by all),
+heads as (
+  select stream, file_no, field, type from (
+    select *, row_number() over (partition by stream, file_no, field order by n desc, list_position(['string', 'number', 'boolean', 'list', 'object'], type)) as k from counts) where k = 1),
+files as (select distinct stream, file_no from rec),
+pairs as (select a.stream, a.file_no from files a join files b on a.stream = b.stream and b.file_no = a.file_no - 1),
+old as (select p.stream, p.file_no, field, type from pairs p join heads h on h.stream = p.stream and h.file_no = p.file_no - 1),
+new as (select p.stream, p.file_no, field, type from pairs p join heads h on h.stream = p.stream and h.file_no = p.file_no),
+ended as (select * from old o where not exists (select 1 from new n where n.stream = o.stream and n.file_no = o.file_no and n.field = o.field)),
+began as (select * from new n where not exists (select 1 from old o where n.stream = o.stream and n.file_no = o.file_no and n.field = o.field)),
+vals as (select distinct stream, file_no, field, val from tv),
+ren as (
+  select distinct e.stream, e.file_no, e.field as old_name, b.field as new_name
+  from ended e join began b on e.stream = b.stream and e.file_no = b.file_no and e.type = b.type
+  join vals x on x.stream = e.stream and x.file_no = e.file_no - 1 and x.field = e.field
+  join vals y on y.stream = b.stream and y.file_no = b.file_no and y.field = b.field and y.val = x.val)
+select *, 'renamed' as change_kind from ren
+union all select stream, file_no, field, '', 'removed' from ended e where not exists (select 1 from ren r where r.stream = e.stream and r.file_no = e.file_no and r.old_name = e.field)
+union all select stream, file_no, '', field, 'added' from began b where not exists (select 1 from ren r where r.stream = b.stream and r.file_no = b.file_no and r.new_name = b.field)
+union all select o.stream, o.file_no, o.field, o.field, 'retyped' from old o join new n on n.stream = o.stream and n.file_no = o.file_no and n.field = o.field and n.type <> o.type"""
+
 ORACLE = {
+    "p1_found": _NODES,
+    "p5_found": _CHANGES,
     "p2_found": _LINES + "select distinct session, event from good where event <> ''",
     "p2_cells": _LINES
     + """select session, event, count(*) as n, max(t) as last_t, coalesce(sum(saved), 0)::bigint as total_saved

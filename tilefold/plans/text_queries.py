@@ -221,12 +221,21 @@ def sql_handle(t: str) -> str:
     return f"'ks2_' || left(sha256({t}), 32)"
 
 
-#: Lines of documents by the tiling rule: i from 1, x without and l with the line feed.
-SQL_LINES = """
-lines as (
-  select doc_id, i, p[i] as x, p[i] || case when i < len(p) then chr(10) else '' end as l
-  from (select doc_id, string_split(text, chr(10)) as p from documents) s, unnest(range(1, len(p) + 1)) as u(i)
+def sql_lines(texts: str, key: str, name: str = "lines") -> str:
+    """A CTE with the lines of ``texts`` by the tiling rule: i from 1, x without and l with the line feed."""
+    return f"""
+{name} as (
+  select {key} as doc_id, i, p[i] as x, p[i] || case when i < len(p) then chr(10) else '' end as l
+  from (select {key}, string_split(text, chr(10)) as p from {texts}) s, unnest(range(1, len(p) + 1)) as u(i)
   where not (i = len(p) and p[i] = ''))"""
+
+
+SQL_LINES = sql_lines("documents", "doc_id")
+_DEFINITION = (
+    "^(pub (async fn[ (]|fn[ (]|struct |enum |trait |mod |type |const |static )|async fn |fn[ (]|impl[ <]|struct |enum |trait |mod |macro_rules!"
+    "|export (default (function[ (]|async function |class |abstract class )|async function |function[ (]|class |abstract class |interface |type |enum )"
+    "|abstract class |async function |function[ (*]|class |interface |type |async def |def )"
+)
 _BLANK = r"regexp_full_match(x, '[ \t\r]*')"
 _ANCHOR = r"""regexp_matches(x, '^[ \t]*(test |Compiling |Finished |Running |running |Doc-tests |failures:|---- |thread ''|error|warning)|\.\.\. ok|\.\.\. FAILED|panicked')"""
 _WS = r"[\t-\r \x{85}\p{Z}]"
@@ -238,30 +247,39 @@ _IMPORTANT = rf"""(regexp_matches(lower(x), 'error|warn|fail|panic|exception|fat
   or regexp_matches(x, '^{_WS}*(at .*:|\* What went wrong|\* Try:)'))"""
 _TEXT = r"regexp_replace(l, '\r*\n*$', '')"
 
-_LOG_BLOCKS = f"""
-flags as (select *, {_BLANK} as blank, {_ANCHOR} as anchor from {{lines}}),
+
+def sql_log_blocks(lines: str) -> str:
+    """CTEs that end in blocks (doc_id, block_no, block) of logs."""
+    return f"""
+flags as (select *, {_BLANK} as blank, {_ANCHOR} as anchor from {lines}),
 hard as (select *, i > 1 and (blank or anchor or lag(blank, 1, false) over (partition by doc_id order by i)) as cut from flags),
 seg as (select *, sum(cut::int) over (partition by doc_id order by i) as s from hard),
-numbered as (select *, (row_number() over (partition by doc_id, s order by i) - 1) // 6 as q from seg),
+sixes as (select *, (row_number() over (partition by doc_id, s order by i) - 1) // 6 as q from seg),
 blocks as (
   select doc_id, row_number() over (partition by doc_id order by min(i)) - 1 as block_no, string_agg(l, '' order by i) as block
-  from numbered group by doc_id, s, q)"""
-LOG_BLOCKS = _LOG_BLOCKS.format(lines="lines")
-
-_LOG_VIEW = f"""
-n as (select doc_id, count(*) as n from lines group by doc_id),
-li as (select l.*, n.n, {_TEXT} as t from lines l join n using (doc_id)),
-mid as (
-  select doc_id, string_agg(l, '' order by i) as body, count(*) as k from li where n > 24 and i > 10 and i <= n - 6 group by doc_id),
-keyed as (
-  select doc_id, i, t, row_number() over (partition by doc_id order by i) as k from (select *, t as x1 from li where n > 24 and i > 10 and i <= n - 6)
-  where {_IMPORTANT.replace("x)", "t)").replace("(x,", "(t,")}),
-parts as (
-  select doc_id, i as o, t from li where n <= 24 or i <= 10 or i > n - 6
-  union all select doc_id, 10.3, '[Tilefold: key lines from the elided middle]' from (select distinct doc_id from keyed)
-  union all select doc_id, 10.4 + k / 1000.0, t from keyed where k <= 12
-  union all select doc_id, 10.6, '[Tilefold: ' || k || ' lines elided · ~' || {sql_tokens("body")} || ' tok · recall ' || {sql_handle("body")} || ']' from mid),
-views as (select doc_id, string_agg(t, chr(10) order by o) as view from parts group by doc_id)"""
+  from sixes group by doc_id, s, q)"""
+
+
+LOG_BLOCKS = sql_log_blocks("lines")
+
+
+def sql_log_view(p: str, lines: str) -> str:
+    """CTEs that view the texts of ``lines`` (doc_id, i, x, l) as logs: <p>mid (doc_id, body) and <p>views (doc_id, view)."""
+    return f"""
+{p}n as (select doc_id, count(*) as n from {lines} group by doc_id),
+{p}li as (select l.*, n.n, {_TEXT} as t from {lines} l join {p}n n using (doc_id)),
+{p}mid as (
+  select doc_id, string_agg(l, '' order by i) as body, count(*) as k from {p}li where n > 24 and i > 10 and i <= n - 6 group by doc_id),
+{p}keyed as (
+  select doc_id, i, x as t, row_number() over (partition by doc_id order by i) as k
+  from (select doc_id, i, t as x from {p}li where n > 24 and i > 10 and i <= n - 6) where {_IMPORTANT}),
+{p}parts as (
+  select doc_id, i as o, t from {p}li where n <= 24 or i <= 10 or i > n - 6
+  union all select doc_id, 10.3, '[Tilefold: key lines from the elided middle]' from (select distinct doc_id from {p}keyed)
+  union all select doc_id, 10.4 + k / 1000.0, t from {p}keyed where k <= 12
+  union all select doc_id, 10.6, '[Tilefold: ' || k || ' lines elided · ~' || {sql_tokens("body")} || ' tok · recall ' || {sql_handle("body")} || ']' from {p}mid),
+{p}views as (select doc_id, string_agg(t, chr(10) order by o) as view from {p}parts group by doc_id)"""
+
 
 _SECTIONS = f"""
 f as (select *, {_FENCE} as fence, {_MARK} as mark, {_EMPTY} as empty from lines),
@@ -277,6 +295,19 @@ secs as (
   select *, row_number() over (partition by doc_id order by first_line) - 1 as section_no,
     prose and ((n_lines = 1 and chars >= 500) or (n_lines >= 3 and chars >= 300)) as elide from sec)"""
 
+
+_PACKED = f"""
+        with {SQL_LINES}, {_SECTIONS},
+        body as (
+          select doc_id, count(*) filter (elide) as elisions, string_agg(case when elide then '[Tilefold: section omitted · ~' || {sql_tokens('body')} || ' tokens · exact recall available] <!-- tf-recall handle='
+            || h || ' lines=' || first_line || '-' || (first_line + n_lines - 1) || ' tokens=' || {sql_tokens('body')} || ' -->' else body end || chr(10), '' order by section_no) as b
+          from secs join (select doc_id, {sql_handle('text')} as h from documents) using (doc_id) group by doc_id),
+        v as (
+          select d.doc_id, @path@ as path, text, {sql_handle('text')} as handle, coalesce(elisions, 0) as elisions, '<!-- tf-pack source=' || @path@ || ' handle=' || {sql_handle('text')} || ' -->' || chr(10)
+            || '<!-- tilefold inspect <this-file>  ·  tilefold expand ' || {sql_handle('text')} || '  (full original) -->' || chr(10) || chr(10) || coalesce(b, '') as view
+          from documents d left join body using (doc_id)),
+        packed as (select doc_id, path, handle, {sql_tokens('text')} as raw_tokens, {sql_tokens('view')} as packed_tokens, elisions from v)"""
+
 _DISTINCT_PATHS = "select distinct path, t from decision_log where path is not null"
 
 ORACLE = {
@@ -319,7 +350,7 @@ ORACLE = {
             or (regexp_matches(y, '^(const |let |var )') and contains(y, '=') and (contains(y, 'function') or contains(y, '=>') or regexp_matches(y, '\{{{_WS}*$')))) as n_sig,
           count(*) filter (ends_with(z, '{{') and contains(y, '(') and contains(y, ')') and regexp_matches(y, '^[\p{{L}}\p{{N}}_$]')
             and not regexp_matches(y, '^(if|for|while|switch|catch|do|return|else|function|class)([^\p{{L}}\p{{N}}_$]|$)')) as n_method,
-          count(*) filter (regexp_matches(x, '^(pub (async fn[ (]|fn[ (]|struct |enum |trait |mod |type |const |static )|async fn |fn[ (]|impl[ <]|struct |enum |trait |mod |macro_rules!|export (default (function[ (]|async function |class |abstract class )|async function |function[ (]|class |abstract class |interface |type |enum )|abstract class |async function |function[ (*]|class |interface |type |async def |def )')) as n_definition,
+          count(*) filter (regexp_matches(x, '{_DEFINITION}')) as n_definition,
           count(*) filter ({_ANCHOR}) as n_anchor,
           count(*) filter ({_IMPORTANT}) as n_important,
           count(*) filter (regexp_matches(y, '^(//|#|[*]|/[*]|--)')) as n_comment,
@@ -341,20 +372,34 @@ ORACLE = {
         select distinct line_id, h as handle from t, unnest(regexp_extract_all(t, 'ks2?_[0-9a-fA-F]+')) as u(h)
         where (h like 'ks2\\_%' escape '\\' and length(h) = 36) or (h like 'ks\\_%' escape '\\' and length(h) in (13, 19))""",
     "view_log": f"""
-        with {SQL_LINES}, {_LOG_VIEW}
+        with {SQL_LINES}, {sql_log_view('', 'lines')}
         select d.doc_id, sha256(coalesce(view, '')) as view_sha, {sql_tokens("coalesce(view, '')")} as shown, case when m.doc_id is not null then {sql_handle('body')} end as handle
         from documents d left join views v using (doc_id) left join mid m using (doc_id)""",
-    "view_document": f"""
-        with {SQL_LINES}, {_SECTIONS},
-        body as (
-          select doc_id, count(*) filter (elide) as elisions, string_agg(case when elide then '[Tilefold: section omitted · ~' || {sql_tokens('body')} || ' tokens · exact recall available] <!-- tf-recall handle='
-            || h || ' lines=' || first_line || '-' || (first_line + n_lines - 1) || ' tokens=' || {sql_tokens('body')} || ' -->' else body end || chr(10), '' order by section_no) as b
-          from secs join (select doc_id, {sql_handle('text')} as h from documents) using (doc_id) group by doc_id),
-        v as (
-          select d.doc_id, text, {sql_handle('text')} as handle, coalesce(elisions, 0) as elisions, '<!-- tf-pack source=pages/' || d.doc_id || '.md handle=' || {sql_handle('text')} || ' -->' || chr(10)
-            || '<!-- tilefold inspect <this-file>  ·  tilefold expand ' || {sql_handle('text')} || '  (full original) -->' || chr(10) || chr(10) || coalesce(b, '') as view
-          from documents d left join body using (doc_id))
-        select doc_id, handle, {sql_tokens('text')} as raw_tokens, {sql_tokens('view')} as packed_tokens, elisions from v""",
+    "gen_code_blocks": f"""
+        with {SQL_LINES},
+        f as (select *, regexp_matches(x, '{_DEFINITION}') as def, {_BLANK} as blank from lines),
+        g as (select *, bool_or(def) over (partition by doc_id) as has, lag(blank, 1, false) over (partition by doc_id order by i) as after from f),
+        b as (select *, sum(case when has then def::int else after::int end) over (partition by doc_id order by i) as b from g),
+        t as (select doc_id, row_number() over (partition by doc_id order by b) - 1 as block_no, string_agg(l, '' order by i) as block from b group by doc_id, b)
+        select doc_id, block_no, strlen(block) as n_bytes, {sql_handle('block')} as handle from t""",
+    "pred_decisions": f"""
+        with {SQL_LINES}, {sql_log_view('', 'lines')},
+        r as (
+          select doc_id, doc_id % 11 <> 0 as gate, case when doc_id % 13 <> 0 then '/pages/' || doc_id || '.txt' end as path, doc_id % 7 = 0 as sliced,
+            case when doc_id % 17 <> 0 then strlen(text) * 16 end as n, sha256(text) as digest, {sql_tokens('text')} as raw, {sql_tokens("coalesce(view, '')")} as shown,
+            doc_id % 3 = 0 as cached, doc_id % 9 <> 0 as healthy
+          from documents left join views using (doc_id)),
+        p as (select *, case when raw > 0 then trunc((raw - shown) * 100.0 / raw) else 0 end as pct from r),
+        d as (select *, case when not gate then 'gate-disabled' when path is null then 'bad-input' when sliced then 'slicing-requested' when n is null then 'file-unreadable'
+            when n < 8192 then 'too-small' when n > 4194304 then 'too-large' when pct < 25 then 'worse-than-raw' when cached and healthy then 'cache-hit' else 'redirect-emitted' end as reason from p)
+        select doc_id, reason, case when reason in ('too-small', 'too-large', 'worse-than-raw', 'cache-hit', 'redirect-emitted') then n end as bytes,
+          case when reason in ('worse-than-raw', 'cache-hit', 'redirect-emitted') then raw end as raw_tokens, case when reason in ('worse-than-raw', 'cache-hit', 'redirect-emitted') then shown end as view_tokens,
+          case when reason in ('cache-hit', 'redirect-emitted') then left(digest, 32) || '_' || left(sha1(path), 8) || '.md' end as redirect_to,
+          case when reason = 'redirect-emitted' and cached then 'regenerated' end as note
+        from d""",
+    "view_document": _PACKED.replace("@path@", "'pages/' || d.doc_id || '.md'") + " select doc_id, handle, raw_tokens, packed_tokens, elisions from packed",
+    "sink_sidecars": _PACKED.replace("@path@", "'pages/' || d.doc_id || '.txt'")
+    + " select path, replace(path, '.txt', '.tilefold.txt') as out_path, raw_tokens, packed_tokens, packed_tokens < raw_tokens as written from packed",
     "gen_manifest": f"""
         with {SQL_LINES}, {_SECTIONS},
         m as (select doc_id, count(*) as markers, sum(n_lines) as elided_lines from secs where elide group by doc_id)
