@@ -79,7 +79,7 @@ def is_sig(line: Column) -> Column:
 
 
 def is_method(line: Column) -> Column:
-    return _line(line, METHOD_AT)
+    return F.contains(line, F.lit("{")) & _line(line, METHOD_AT)
 
 
 def is_definition_start(line: Column) -> Column:
@@ -115,17 +115,37 @@ def is_markdown_mark(line: Column) -> Column:
     return _line(line, MARK_AT)
 
 
+def _any_inside(line: Column, words: tuple[str, ...]) -> Column:
+    found = F.contains(line, F.lit(words[0]))
+    for w in words[1:]:
+        found = found | F.contains(line, F.lit(w))
+    return found
+
+
 def important(line: Column) -> Column:
-    """Whether a log line must stay visible: severity words, marks of failure, frames of traces."""
-    low = F.lower(line)
+    """Whether a log line must stay visible: severity words, marks of failure, frames of traces.
+
+    Words are searched as bytes; the patterns only look at the start of the few lines that hold their marks.
+    """
     left = rf"\A{WS}*+"
-    return (
-        low.rlike(any_of(SEVERITY))
-        | line.rlike("[" + "".join(GLYPHS) + "]")
-        | low.rlike(rf'{left}(?:traceback \(most recent call last\)|caused by:|error\[e|file "[\s\S]*", line )')
-        | line.rlike(rf"{left}(?:at [\s\S]*:|\* What went wrong|\* Try:)")
-        | low.rlike(r"npm err!|npm warn|: error ts|: warning ts")
-    )
+
+    def judged(low: Column) -> Column:
+        starts = low.rlike(rf'{left}(?:traceback \(most recent call last\)|caused by:|error\[e|file "[\s\S]*", line )')
+        return (
+            _any_inside(low, SEVERITY)
+            | _any_inside(low, ("npm err!", ": error ts", ": warning ts"))
+            | (_any_inside(low, ("traceback (", "caused by:", "file ")) & starts)
+        )
+
+    frames = _any_inside(line, ("at ", "* What", "* Try")) & line.rlike(rf"{left}(?:at [\s\S]*:|\* What went wrong|\* Try:)")
+    return _any_inside(line, GLYPHS) | frames | let(F.lower(line), judged)
+
+
+def may_hold_important(text: Column) -> Column:
+    """Whether any line of a text can be important: one look at the whole text, for the many that have no such line."""
+    words = (*SEVERITY, "npm err!", ": error ts", ": warning ts", "traceback (", "caused by:", 'file "')
+    frame = F.contains(text, F.lit("at ")) & text.rlike(rf"(?:\A|\n){WS}*+at ")
+    return _any_inside(text, (*GLYPHS, "* What", "* Try")) | frame | let(F.lower(text), lambda low: _any_inside(low, words))
 
 
 def looks_like_json(t: Column) -> Column:

@@ -10,9 +10,6 @@ from pyspark.sql import functions as F
 # Weights of the token estimate per character class.
 W_ALPHA, W_DIGIT, W_SYMBOL, W_SPACE = 0.196, 0.699, 0.65, 0.433
 
-_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-_LETTERS = _UPPER + _UPPER.lower()
-
 #: Unicode white space, and the same without the line feed; both pattern dialects read these.
 WS = r"[\t-\r \x{85}\p{Z}]"
 WS_IN_LINE = r"[\t\x0B-\r \x{85}\p{Z}]"
@@ -29,19 +26,21 @@ def as_text(b: Column) -> Column:
     return F.make_valid_utf8(b.cast("string"))
 
 
-def _without(t: Column, chars: str) -> Column:
-    return F.translate(t, chars, "")
+def tokens(t: Column) -> Column:
+    """Estimated tokens of a text, from the classes of its UTF-16 units; null for null.
 
+    Letters go first, then blanks, then digits: each later pass reads only what the ones before it left.
+    """
 
-def tokens(t: Column) -> Column:
-    """Estimated tokens of a text, from the classes of its UTF-16 units; null for null."""
-    n = F.char_length(t)
-    units = F.octet_length(F.encode(t, "UTF-16BE")) / 2
-    alpha = n - F.char_length(_without(t, _LETTERS))
-    digit = n - F.char_length(_without(t, "0123456789"))
-    space = n - F.char_length(_without(t, " \t\n\r"))
-    symbol = units - alpha - digit - space
-    return F.ceil(alpha * W_ALPHA + digit * W_DIGIT + symbol * W_SYMBOL + space * W_SPACE).cast("bigint")
+    def estimate(no_alpha: Column, no_space: Column, symbols: Column) -> Column:
+        n, a, s, d = F.char_length(t), F.char_length(no_alpha), F.char_length(no_space), F.char_length(symbols)
+        units = F.octet_length(F.encode(symbols, "UTF-16BE")) / 2
+        return F.ceil((n - a) * W_ALPHA + (s - d) * W_DIGIT + units * W_SYMBOL + (a - s) * W_SPACE).cast("bigint")
+
+    return let(
+        F.regexp_replace(t, "[A-Za-z]++", ""),
+        lambda a: let(F.regexp_replace(a, r"[ \t\n\r]++", ""), lambda s: let(F.regexp_replace(s, "[0-9]++", ""), lambda d: estimate(a, s, d))),
+    )
 
 
 def tokens_bytes(b: Column) -> Column:
@@ -60,11 +59,11 @@ def recall_lines(t: Column) -> Column:
 
 def log_lines(t: Column) -> Column:
     """Lines without line feed or carriage return before it, no phantom last line."""
-    return F.transform(tile_lines(t), lambda x: F.regexp_replace(x, r"\r?\n\z", ""))
+    return F.transform(tile_lines(t), lambda x: F.when(x.endswith("\r\n"), F.substr(x, F.lit(1), F.char_length(x) - 2)).otherwise(F.rtrim(x, F.lit("\n"))))
 
 
 def count_lines(t: Column) -> Column:
-    feeds = F.char_length(t) - F.char_length(_without(t, "\n"))
+    feeds = F.char_length(t) - F.char_length(F.replace(t, F.lit("\n")))
     return (feeds + F.when((t != "") & ~t.endswith("\n"), 1).otherwise(0)).cast("bigint")
 
 
@@ -73,8 +72,8 @@ def is_blank(line: Column) -> Column:
 
 
 def line_text(line: Column) -> Column:
-    """A line without trailing line feeds and the carriage returns before them."""
-    return F.regexp_replace(line, r"\r*+\n*+\z", "")
+    """A line tile without its line feed and the carriage returns before it."""
+    return F.rtrim(line, F.lit("\r\n"))
 
 
 def short(t: Column, n: int) -> Column:

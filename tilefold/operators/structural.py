@@ -14,7 +14,7 @@ from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from tilefold.config import HANDLE_PREFIX, LABEL
 from tilefold.functions.handles import handle
-from tilefold.functions.predicates import STRUCTURAL_AT, body_hint, important
+from tilefold.functions.predicates import STRUCTURAL_AT, body_hint, important, may_hold_important
 from tilefold.functions.text import LINE, W_ALPHA, W_DIGIT, W_SPACE, W_SYMBOL, let, line_text, tile_lines, tokens
 from tilefold.operators.tiles import split_json
 
@@ -46,8 +46,11 @@ def log_view(t: Column) -> Column:
 
     def build(ls: Column) -> Column:
         middle = F.slice(ls, LOG_HEAD + 1, F.size(ls) - LOG_HEAD - LOG_TAIL)
-        found = lambda m: F.slice(F.filter(F.transform(m, line_text), important), 1, LOG_KEYS)
-        return let(middle, lambda m: let(F.array_join(m, ""), lambda body: let(found(m), lambda keys: cut(ls, m, body, keys))))
+
+        def found(m: Column, body: Column) -> Column:
+            return F.when(may_hold_important(body), F.slice(F.filter(F.transform(m, line_text), important), 1, LOG_KEYS)).otherwise(F.array())
+
+        return let(middle, lambda m: let(F.array_join(m, ""), lambda body: let(found(m, body), lambda keys: cut(ls, m, body, keys))))
 
     return let(tile_lines(t), lambda ls: F.when(F.size(ls) > LOG_HEAD + LOG_TAIL + LOG_SLACK, build(ls)).otherwise(whole(ls)))
 

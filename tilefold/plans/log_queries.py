@@ -11,7 +11,7 @@ from tilefold.operators import conditional, decisions, ledger, recall, retention
 from tilefold.plans.prefix import one_per_id
 from tilefold.plans.text_queries import LOG_BLOCKS, SQL_LINES, sql_handle, sql_lines, sql_log_blocks, sql_log_view, sql_tokens
 from tilefold.sources.generate import edit_loop
-from tilefold.sources.tables import table
+from tilefold.sources.tables import spread, table
 
 c = F.col
 #: The moment of retention and touch queries, and the age of what is deleted (in seconds).
@@ -123,7 +123,8 @@ def decision_reasons(spark: SparkSession, d: str) -> DataFrame:
 
 def _texts(spark: SparkSession, d: str) -> DataFrame:
     source = F.lower(F.btrim(F.coalesce("source", F.lit(""))))
-    return table(spark, d, "documents").select(c("doc_id").alias("id"), source.alias("session"), c("doc_id").alias("step"), "text", F.lit("log").alias("content_type"))
+    docs = spread(table(spark, d, "documents").select("doc_id", "source", "text"))
+    return docs.select(c("doc_id").alias("id"), source.alias("session"), c("doc_id").alias("step"), "text", F.lit("log").alias("content_type"))
 
 
 def _put(spark: SparkSession, d: str) -> DataFrame:
@@ -223,7 +224,7 @@ def delta_restored(spark: SparkSession, d: str) -> DataFrame:
 
 def delta_versions(spark: SparkSession, d: str) -> DataFrame:
     """Each page and a later version of it, with a line put before, as a session of two steps."""
-    docs = table(spark, d, "documents").select(c("doc_id").cast("string").alias("session"), c("doc_id"), "text")
+    docs = spread(table(spark, d, "documents").select(c("doc_id").cast("string").alias("session"), c("doc_id"), "text"))
     old = docs.select((c("doc_id") * 2).alias("id"), "session", F.lit(0).alias("step"), "text", F.lit("log").alias("content_type"))
     new = docs.select((c("doc_id") * 2 + 1).alias("id"), "session", F.lit(1).alias("step"), F.concat(F.lit("Running 1\n\n"), "text").alias("text"), F.lit("log").alias("content_type"))
     return conditional.pack(old.unionByName(new)).filter("step = 1").drop("view")

@@ -12,13 +12,13 @@ from tilefold.operators import commands, decisions, documents, structural, tiles
 from tilefold.plans.prefix import one_per_id
 from tilefold.sources.generate import edit_loop
 from tilefold.sources.records import sidecars
-from tilefold.sources.tables import table
+from tilefold.sources.tables import spread, table
 
 c = F.col
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", "text")
+    return spread(table(spark, d, "documents").select("doc_id", "text"))
 
 
 def fn_tokens(spark: SparkSession, d: str) -> DataFrame:
