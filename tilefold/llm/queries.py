@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from tilefold.llm import mixing, packing, splitting, tokenizer
 from tilefold.session import written
-from tilefold.sources.tables import table
+from tilefold.sources.tables import spread, table
 
 CAPACITY, PIECE, OVERLAP = 2048, 512, 32
 
 
 def _placed(spark: SparkSession, d: str) -> DataFrame:
-    sized = written(tokenizer.sizes(table(spark, d, "documents"), "doc_id", "text"), "sizes")
+    sized = written(tokenizer.sizes(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text"), "sizes")
     return packing.pack(sized, "doc_id", limits=(CAPACITY, 256, CAPACITY))
 
 
@@ -28,7 +28,7 @@ def p6_containers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _mixed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    docs, targets = table(spark, d, "documents"), table(spark, d, "mix_targets")
+    docs, targets = spread(table(spark, d, "documents").select("doc_id", "source", "text")), table(spark, d, "mix_targets")
     names = targets.select(F.col("source").alias("_s")).distinct()
     wanted = docs.join(mixing._small(names), mixing.source_key(docs["source"]) == F.col("_s"), "left_semi")
     sized = written(tokenizer.sizes(wanted, "doc_id", "text", keep=("source",)), "sizes")
@@ -52,13 +52,13 @@ def p7_mix(spark: SparkSession, d: str) -> DataFrame:
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     """Blocks that came out as more than one piece."""
-    pieces = splitting.split(table(spark, d, "documents"), PIECE, OVERLAP, only_split=True, with_text=False)
+    pieces = splitting.split(spread(table(spark, d, "documents").select("doc_id", "text")), PIECE, OVERLAP, only_split=True, with_text=False)
     return pieces.filter("n_pieces > 1").select("doc_id", "block_no").distinct()
 
 
 def p8_pieces(spark: SparkSession, d: str) -> DataFrame:
     """Every piece of every block with its text."""
-    return splitting.split(table(spark, d, "documents"), PIECE, OVERLAP)
+    return splitting.split(spread(table(spark, d, "documents").select("doc_id", "text")), PIECE, OVERLAP)
 
 
 QUERIES = {f.__name__: f for f in (p6_found, p6_containers, p7_found, p7_shares, p7_mix, p8_found, p8_pieces)}
