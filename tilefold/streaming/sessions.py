@@ -16,19 +16,23 @@ from tilefold.functions.text import tokens
 from tilefold.operators import conditional, savings, tiles
 
 
-def running_savings(lines: DataFrame, delay: str = "7 days") -> DataFrame:
-    """The savings report of a stream of metrics lines, for output mode update or complete.
+def running_savings(lines: DataFrame) -> DataFrame:
+    """The savings report of a stream of metrics lines so far, for output mode update or complete.
 
-    A line delivered again within ``delay`` of its first delivery counts once; the state of seen ids is bounded by it.
+    State is one row of sums per session.
     """
-    once = lines.withWatermark("received_at", delay).dropDuplicatesWithinWatermark(["line_id"])
-    return savings.sessions(once)
+    return savings.sessions(lines)
 
 
 def windowed_savings(lines: DataFrame, window: str = "1 hour", delay: str = "2 hours") -> DataFrame:
-    """Savings per session and window of arrival, for output mode append: each window once, when it is complete."""
+    """Savings per session and window of arrival, for output mode append: each window once, when it is complete.
+
+    A line delivered again within ``delay`` of its first delivery counts once; ``delay`` bounds the state of seen ids.
+    """
     c = F.col("event").eqNullSafe("compress")
-    w = lines.withWatermark("received_at", delay).groupBy(F.window("received_at", window), F.coalesce("session", F.lit(savings.NO_SESSION)).alias("session"))
+    timed = lines.withColumn("received_at", F.col("received_at").cast("timestamp")).withWatermark("received_at", delay)
+    once = timed.dropDuplicatesWithinWatermark(["line_id"])
+    w = once.groupBy(F.window("received_at", window), F.coalesce("session", F.lit(savings.NO_SESSION)).alias("session"))
     out = w.agg(F.count_if(c).alias("compress_events"), F.coalesce(F.sum(F.when(c, F.coalesce("saved", F.col("raw") - F.col("shown")))), F.lit(0)).alias("saved"))
     return out.select(F.col("window.start").alias("from"), F.col("window.end").alias("to"), "session", "compress_events", "saved")
 
@@ -36,17 +40,18 @@ def windowed_savings(lines: DataFrame, window: str = "1 hour", delay: str = "2 h
 _OUT = "session string, id bigint, step bigint, known array<boolean>, evicted_resends bigint, evicted bigint, resident_tokens bigint"
 
 
-def residency_stream(texts: DataFrame, budget: int = DEFAULT_BUDGET, idle: str = "30 days") -> DataFrame:
+def residency_stream(texts: DataFrame, budget: int = DEFAULT_BUDGET, idle: str | None = None) -> DataFrame:
     """Residency of each block of a stream of (id, session, step, text, content_type), in steps order inside a batch.
 
-    State is one ledger per session, dropped after ``idle`` without input. Only handles reach the state function; views
+    State is one ledger per session, kept within the budget; with ``idle`` it is dropped after so long without input (for
+    streams that run on, as each trigger then also looks for idle sessions). Only handles reach the state function; views
     come from joining its output with the texts (``conditional.view_packed``).
     """
     parts = F.transform(tiles.blocks(F.col("text"), F.col("content_type")), lambda b: F.struct(handle(b).alias("h"), tokens(b).alias("w")))
     narrow = texts.select(F.coalesce("session", F.lit("")).alias("session"), "step", "id", parts.alias("b")).select(
         "session", "step", "id", F.transform("b", lambda x: x["h"]).alias("handles"), F.transform("b", lambda x: x["w"]).alias("weights")
     )
-    wait = pd.Timedelta(idle)
+    wait = int(pd.Timedelta(idle).total_seconds() * 1000) if idle else 0
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -57,7 +62,8 @@ def residency_stream(texts: DataFrame, budget: int = DEFAULT_BUDGET, idle: str =
         steps = list(zip(pdf["id"], pdf["step"], pdf["handles"], pdf["weights"]))
         rows = [(key[0], i, s[1], *r) for s, (i, *r) in zip(steps, conditional.fold_session(ledger, iter(steps), budget))]
         state.update((pickle.dumps(ledger),))
-        state.setTimeoutDuration(int(wait.total_seconds() * 1000))
+        if wait:
+            state.setTimeoutDuration(wait)
         yield pd.DataFrame(rows, columns=[c.split()[0] for c in _OUT.split(", ")])
 
-    return narrow.groupBy("session").applyInPandasWithState(fold, _OUT, "ledger binary", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return narrow.groupBy("session").applyInPandasWithState(fold, _OUT, "ledger binary", "append", GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout)
