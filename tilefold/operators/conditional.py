@@ -38,7 +38,7 @@ def residency(blocks: DataFrame, ledger: DataFrame | None = None, proof: DataFra
     """``blocks`` with ``seen`` (before this step) and ``gated`` (seen, but not in the transcript's set).
 
     ``ledger`` (session, handle, code) is the state before the first step. ``proof`` has (session, ok, handle) rows;
-    a session with ok = false, or without rows, is not gated.
+    a session with ok = false, or without rows, is not gated; one that proves nothing has a row with a null handle.
     """
     first = blocks.groupBy("session", "handle").agg(F.min("step").alias("first_step"))
     if ledger is not None:
