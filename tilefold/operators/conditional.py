@@ -134,14 +134,17 @@ def view_packed(joined: DataFrame, known: Column) -> DataFrame:
     rows = joined.withColumns({"_known": F.coalesce(known, F.array().cast(KNOWN)), "_parts": parts}).withColumn("_runs", run_bounds(F.col("_known")))
     rows = rows.withColumn("_texts", F.transform("_runs", lambda r: F.struct(r["known"].alias("known"), F.array_join(F.slice(F.col("_parts"), r["first"] + 1, r["n"]), "").alias("text"))))
 
-    def shown(kind) -> Column:
-        return F.transform("_texts", lambda r: F.when(r["known"], reference_marker(r["text"])).otherwise(kind(r["text"])["view"]))
-
-    cond = F.when(F.col("content_type") == "code", shown(structural.code_view)).otherwise(shown(structural.log_view))
+    # the whole text stands before its runs, so each kind of view is one expression; a single run needs no other view
+    many = F.size("_runs") > 1
+    whole = F.array(F.struct(F.lit(False).alias("known"), F.col("text").alias("text")))
+    rows = rows.withColumn("_todo", F.when(many, F.concat(whole, F.col("_texts"))).otherwise(F.col("_texts")))
+    fresh = lambda t: structural.view(t, F.col("content_type"))["view"]
+    rows = rows.withColumn("_shown", F.transform("_todo", lambda r: F.when(r["known"], reference_marker(r["text"])).otherwise(fresh(r["text"]))))
+    cond = F.array_join(F.when(many, F.slice("_shown", 2, F.size("_runs"))).otherwise(F.col("_shown")), "\n")
+    rows = rows.withColumn("conditional", cond)
     rows = rows.withColumns(
         {
-            "conditional": F.array_join(cond, "\n"),
-            "stateless": structural.view(F.col("text"), F.col("content_type"))["view"],
+            "stateless": F.when(many, F.get("_shown", F.lit(0))).otherwise(F.col("conditional")),
             "runs": F.size("_runs"),
             "blocks": F.size("_parts"),
             "delta_hits": F.size(F.filter("_known", lambda x: x)),
