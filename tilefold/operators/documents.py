@@ -82,6 +82,7 @@ def cache_view(path: Column, t: Column) -> Column:
     """The view that a redirected read gets: header, label, and the document or stateless view of the source."""
     whole = handle(t)
     body = F.when(is_markdown_path(path), document_body(t, whole)["view"]).otherwise(stateless_view(t, detect(t, path))["view"])
+    # fixed values: the lines before the body
     return F.concat(
         F.lit(f"<!-- {LABEL} read cache -->\n<!-- Original file: "), path,
         F.lit(" -->\n<!-- Source digest: sha256="), sha256_hex(t),
