@@ -52,6 +52,15 @@ def test_cap_is_kept_where_the_share_cannot_be_reached(spark):
     assert report["b"]["mixed_size"] == 30
 
 
+def test_verdict_comes_from_the_mix(spark):
+    sized = spark.createDataFrame([(1, "a", 1000), (2, "b", 10), (3, "b", 20)], "doc_id bigint, source string, n_tokens bigint")
+    demanded = written(mixing.demand(sized, spark.createDataFrame([("a", 0.5, 2), ("b", 0.5, 3)], "source string, target_share double, max_repeats int")), "demand")
+    mixed = mixing.mix(sized, demanded)
+    found = mixing.shares(demanded, mixed).filter("not reachable").select("source")
+    assert [r[0] for r in found.collect()] == ["b"] and "Window" in found._jdf.queryExecution().optimizedPlan().toString()
+    assert mixing.shares(demanded, mixed.filter("doc_id <> 3")).filter("not reachable").count() == 0
+
+
 def test_hot_source_is_cut(spark):
     docs = [(i, "hot", 7) for i in range(5000)]
     mixed, report = run(spark, docs, [("hot", 1.0, 1)], rows_per_part=50)

@@ -39,7 +39,7 @@ def _small(df: DataFrame) -> DataFrame:
 
 
 def demand(sized: DataFrame, targets: DataFrame, total: float | None = None) -> DataFrame:
-    """Per target: pages, size, wanted size, expected copies ``f`` of each page, and whether the share can be reached.
+    """Per target: pages, size, wanted size and expected copies ``f`` of each page.
 
     ``sized`` has (doc_id, source, n_tokens); ``total`` is the size of the mix, by default that of all pages with a target.
     """
@@ -53,7 +53,7 @@ def demand(sized: DataFrame, targets: DataFrame, total: float | None = None) ->
     whole = F.lit(float(total)) if total is not None else F.sum("size").over(Window.partitionBy(F.lit(1))).cast("double")
     wanted = F.coalesce(F.col("target_share"), F.lit(0.0)) * whole
     f = F.when(F.col("size") > 0, F.least(wanted / F.col("size"), F.col("max_repeats").cast("double"))).otherwise(0.0)
-    return joined.withColumns({"wanted": wanted, "f": f, "reachable": ~(wanted > F.col("max_repeats") * F.col("size"))})
+    return joined.withColumns({"wanted": wanted, "f": f})
 
 
 def mix(sized: DataFrame, demanded: DataFrame, seed: int = 17, rows_per_part: int = ROWS_PER_PART) -> DataFrame:
@@ -72,11 +72,17 @@ def mix(sized: DataFrame, demanded: DataFrame, seed: int = 17, rows_per_part: in
 
 
 def shares(demanded: DataFrame, mixed: DataFrame) -> DataFrame:
-    """Per target the size and share wanted and reached, the most copies of one page, and whether it can be reached."""
+    """Per target the size and share wanted and reached, the most copies of one page, and whether it can be reached.
+
+    The verdict is read off the mix: a target cannot be reached if every page is used to its cap and the size is still
+    short of the wanted one. The expected copies are then the cap, a whole number, so the mix holds exactly that many.
+    """
     got = mixed.groupBy("source").agg(
         F.sum(F.col("n_tokens") * F.col("copies")).alias("mixed_size"), F.sum("copies").alias("copies"), F.max("copies").alias("most_copies")
     )
     out = demanded.join(got, "source", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("mixed_size", "copies", "most_copies")})
     total = F.sum("mixed_size").over(Window.partitionBy(F.lit(1)))
     share = F.when(total > 0, F.col("mixed_size") / total).otherwise(0.0)
+    used_up = F.col("mixed_size") >= F.col("max_repeats") * F.col("size")
+    out = out.withColumn("reachable", ~((F.col("wanted") > F.col("mixed_size")) & used_up))
     return out.select("source", "target_share", share.alias("share"), "pages", "size", "mixed_size", "copies", "most_copies", "max_repeats", "reachable")

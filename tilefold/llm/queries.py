@@ -33,11 +33,11 @@ def _mixed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     wanted = docs.join(mixing._small(names), mixing.source_key(docs["source"]) == F.col("_s"), "left_semi")
     sized = written(tokenizer.sizes(wanted, "doc_id", "text", keep=("source",)), "sizes")
     demanded = written(mixing.demand(sized, targets), "demand")
-    return demanded, mixing.mix(sized, demanded)
+    return demanded, written(mixing.mix(sized, demanded), "mix")
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    """Targets whose share cannot be reached, out of the report on the mix."""
+    """Targets whose share the drawn mix does not reach though every page is at its cap."""
     return mixing.shares(*_mixed(spark, d)).filter("not reachable").select("source")
 
 
