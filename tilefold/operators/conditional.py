@@ -138,8 +138,16 @@ def view_packed(joined: DataFrame, known: Column) -> DataFrame:
     many = F.size("_runs") > 1
     whole = F.array(F.struct(F.lit(False).alias("known"), F.col("text").alias("text")))
     rows = rows.withColumn("_todo", F.when(many, F.concat(whole, F.col("_texts"))).otherwise(F.col("_texts")))
-    fresh = lambda t: structural.view(t, F.col("content_type"))["view"]
-    rows = rows.withColumn("_shown", F.transform("_todo", lambda r: F.when(r["known"], reference_marker(r["text"])).otherwise(fresh(r["text"]))))
+    # an Arrow function cannot stand inside a lambda, so the runs of a JSON text get their views together
+    json = F.col("content_type") == "json"
+    new_runs = F.transform("_todo", lambda r: F.when(~r["known"], r["text"]))
+    rows = rows.withColumn("_json", structural.json_views(F.when(json, new_runs)))
+
+    def shown(r: Column, i: Column) -> Column:
+        fresh = F.when(json, F.get("_json", i)).otherwise(structural.line_view(r["text"], F.col("content_type"))["view"])
+        return F.when(r["known"], reference_marker(r["text"])).otherwise(fresh)
+
+    rows = rows.withColumn("_shown", F.transform("_todo", shown))
     cond = F.array_join(F.when(many, F.slice("_shown", 2, F.size("_runs"))).otherwise(F.col("_shown")), "\n")
     rows = rows.withColumn("conditional", cond)
     rows = rows.withColumns(

@@ -82,11 +82,17 @@ def code_view(t: Column) -> Column:
     return let(parts, both)
 
 
-def view(t: Column, content_type: Column) -> Column:
-    """The stateless view by content type, without JSON, which goes through ``json_view``."""
+def line_view(t: Column, content_type: Column) -> Column:
+    """The stateless view of code and logs, which may stand inside a lambda."""
     return F.when(content_type == "code", code_view(t)).otherwise(log_view(t))
 
 
+def view(t: Column, content_type: Column) -> Column:
+    """The stateless view by content type. Not for use inside a lambda; rows of other types reach the Arrow function as nulls."""
+    json = content_type == "json"
+    return F.when(json, json_view(F.when(json, t))).otherwise(line_view(t, content_type))
+
+
 def estimate(s: str) -> int:
     """The token estimate of ``functions.text.tokens`` in Python."""
     import math
@@ -151,3 +157,10 @@ def json_view(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
             views.append(None if t is None else "".join(v for v, _ in parts))
             gone.append([{"handle": HANDLE_PREFIX + sha256(x).hexdigest()[:32], "text": x.decode("utf-8", "replace")} for _, x in parts if x is not None])
         yield pd.DataFrame({"view": views, "elided": gone})
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def json_views(runs: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """The view of each text of an array; null texts stay null."""
+    for batch in runs:
+        yield pd.Series([None if ts is None else [None if t is None else "".join(v for v, _ in json_parts(t.encode("utf-8", "surrogatepass"))) for t in ts] for ts in batch], dtype=object)

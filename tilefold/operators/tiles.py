@@ -95,8 +95,9 @@ def json_blocks(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def blocks(t: Column, content_type: Column) -> Column:
-    """Tiles by content type, without JSON, which goes through ``json_blocks``."""
-    return F.when(content_type == "code", code_blocks(t)).otherwise(log_blocks(t))
+    """Tiles by content type. Not for use inside a lambda; rows of other types reach the Arrow function as nulls."""
+    json = content_type == "json"
+    return F.when(content_type == "code", code_blocks(t)).when(json, json_blocks(F.when(json, t))).otherwise(log_blocks(t))
 
 
 def latin(b: Column) -> Column:

@@ -203,6 +203,13 @@ def delta_budget(spark: SparkSession, d: str) -> DataFrame:
     return conditional.session_fold(_texts(spark, d), BUDGET).drop("view")
 
 
+def delta_json(spark: SparkSession, d: str) -> DataFrame:
+    """Every JSON record packed against what its stream has shown before."""
+    rows = one_per_id(table(spark, d, "meta_raw").select("record_id", "stream", "written_at", "record").filter("record_id is not null"), "record_id", "written_at")
+    texts = rows.select(c("record_id").alias("id"), c("stream").alias("session"), c("record_id").alias("step"), c("record").alias("text"), F.lit("json").alias("content_type"))
+    return conditional.pack(texts).drop("view")
+
+
 def delta_gated(spark: SparkSession, d: str) -> DataFrame:
     """The same with a transcript that proves only blocks of odd hash."""
     blocks = conditional.block_rows(_texts(spark, d))
@@ -248,7 +255,7 @@ QUERIES = {
         savings_sessions, savings_ranked, savings_summary, savings_latest, savings_status, events_savings, ledger_state, ledger_tokens, ledger_budget,
         ledger_marked, retention_gc, retention_kept, retention_coverage, store_touch, transcript_scan, decision_tail, decision_reasons, store_put,
         store_get, store_expand, store_inspect, store_size, store_deleted, recall_lines, recall_grep, recall_context, recall_literal, delta_residency,
-        delta_pack, delta_budget, delta_gated, delta_restored, delta_versions, bench_loop,
+        delta_pack, delta_json, delta_budget, delta_gated, delta_restored, delta_versions, bench_loop,
     )
 }
 
