@@ -127,3 +127,10 @@ def test_empty(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert found(df) == set()
     assert drift.unified(df, {}, {}).count() == 0
+
+
+def test_further_names_of_a_chain_are_kept(spark):
+    rows = [(1, "s", 0, None, '{"a": 1, "b": 2, "c": "x"}', "", 0), (2, "s", 0, None, '{"a": 3}', "", 0), (3, "s", 0, None, '{"a": 4, "c": null, "b": 4}', "", 0), (4, "s", 0, None, '{"b": "y", "a": 5}', "", 0)]
+    out = drift.unified(spark.createDataFrame(rows, SCHEMA), {"b": ["a", "b", "c"]}, {"b": "number"})
+    got = {r["record_id"]: (r["b"], r["_misfits"]) for r in out.collect()}
+    assert got == {1: (2.0, {"a": "1", "c": "x"}), 2: (3.0, {}), 3: (4.0, {"a": "4"}), 4: (None, {"b": "y", "a": "5"})}

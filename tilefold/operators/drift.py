@@ -210,7 +210,9 @@ def unified(records: DataFrame, aliases: dict[str, list[str]], types: dict[str,
     """All records, each record_id of a file once, cast to the union schema; one parse per record.
 
     Keys of the row are (record_id, stream, file_no). A column whose name is taken, also in another letter case, gets a
-    ``_`` behind it. A value that its column's type cannot hold is kept as text in the map ``_misfits``.
+    ``_`` behind it. A value that its column's type cannot hold is kept as text in the map ``_misfits``. Of several names
+    of a rename chain in one record, the column has the value of its own name, else of the first; the others are kept in
+    ``_misfits`` under their names, with a ``_`` behind one that is taken.
     """
     names = sorted({x for xs in aliases.values() for x in xs})
     spellings = Counter(x.lower() for x in names)
@@ -228,13 +230,15 @@ def unified(records: DataFrame, aliases: dict[str, list[str]], types: dict[str,
         return F.col("_r").getField(name) if spellings[name.lower()] == 1 else F.try_element_at("_m", F.lit(name))
 
     sql = {"number": "double", "boolean": "boolean"}
-    taken, cols, misfits = {"record_id", "stream", "file_no", "_misfits"}, [], []
+    taken, cols, misfits, further = {"record_id", "stream", "file_no", "_misfits"}, [], [], []
     for column in sorted(aliases):
         label = column
         while label.lower() in taken:
             label += "_"
         taken.add(label.lower())
-        value = F.coalesce(*map(text, aliases[column]))
+        chain = sorted(aliases[column], key=lambda x: (x != column, x))
+        value = F.coalesce(*map(text, chain))
+        further += [(x, F.when(F.coalesce(*map(text, chain[:i])).isNotNull(), text(x))) for i, x in enumerate(chain) if i]
         # the parser reads a number or truth value for a column of text as it is written
         cast = value.try_cast(sql[types[column]]) if types[column] in sql else value
         if types[column] == "number":
@@ -242,5 +246,10 @@ def unified(records: DataFrame, aliases: dict[str, list[str]], types: dict[str,
         cols.append(cast.alias(label))
         if types[column] in sql:
             misfits.append(F.when(value.isNotNull() & cast.isNull(), F.struct(F.lit(label).alias("k"), value.alias("v"))))
+    for name, value in further:  # taken holds every key so far in lower case
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        misfits.append(F.when(value.isNotNull(), F.struct(F.lit(name).alias("k"), value.alias("v"))))
     odd = F.map_from_entries(F.array_compact(F.array(*misfits))) if misfits else F.lit(None).cast("map<string,string>")
     return rows.select("record_id", "stream", "file_no", *cols, odd.alias("_misfits"))
