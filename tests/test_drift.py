@@ -134,3 +134,11 @@ def test_further_names_of_a_chain_are_kept(spark):
     out = drift.unified(spark.createDataFrame(rows, SCHEMA), {"b": ["a", "b", "c"]}, {"b": "number"})
     got = {r["record_id"]: (r["b"], r["_misfits"]) for r in out.collect()}
     assert got == {1: (2.0, {"a": "1", "c": "x"}), 2: (3.0, {}), 3: (4.0, {"a": "4"}), 4: (None, {"b": "y", "a": "5"})}
+
+
+def test_all_rename_pairs_are_folded(spark, monkeypatch):
+    monkeypatch.setattr(drift, "MAX_FIELDS", 2)
+    monkeypatch.setattr(drift, "headers", lambda found: found)
+    found = spark.createDataFrame([("a", "number", 3), ("b", "number", 1)], "field string, type string, n bigint")
+    log = spark.createDataFrame([(x, y, "renamed") for x, y in ("am", "mn", "no", "ob")], "old_name string, new_name string, change_kind string")
+    assert drift.union_schema(found, log) == ({"b": ["a", "b"]}, {"b": "number"})

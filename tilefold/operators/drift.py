@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import json
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from hashlib import sha256
 
 import pyarrow as pa
@@ -168,9 +168,13 @@ def promote(a: str | None, b: str | None) -> str | None:
     return "json" if {a, b} & {"list", "object", "json"} else "string"
 
 
-def canonical_names(renames: set[tuple[str, str]], uses: dict[str, int]) -> dict[str, str]:
-    """Each field name to one name of its rename chain: the one never renamed away, most used, then first."""
-    parent: dict[str, str] = {x: x for x in uses} | {x: x for pair in renames for x in pair}
+def canonical_names(renames: Iterable[tuple[str, str]], uses: dict[str, int]) -> dict[str, str]:
+    """Each field name to one name of its rename chain: the one never renamed away, most used, then first.
+
+    The pairs are folded one by one, so only names are held, of which pairs can have the square.
+    """
+    parent: dict[str, str] = {x: x for x in uses}
+    left: set[str] = set()
 
     def root(x: str) -> str:
         while parent[x] != x:
@@ -179,8 +183,10 @@ def canonical_names(renames: set[tuple[str, str]], uses: dict[str, int]) -> dict
         return x
 
     for old, new in renames:
+        parent.setdefault(old, old)
+        parent.setdefault(new, new)
         parent[root(old)] = root(new)
-    left = {old for old, _ in renames}
+        left.add(old)
     best: dict[str, str] = {}
     for x in sorted(parent, key=lambda x: (x in left, -uses.get(x, 0), x)):
         best.setdefault(root(x), x)
@@ -195,8 +201,8 @@ def union_schema(found: DataFrame, log: DataFrame) -> tuple[dict[str, list[str]]
     uses: Counter = Counter()
     for r in kinds:
         uses[r["field"]] += r["n"]
-    pairs = log.filter("change_kind = 'renamed'").select("old_name", "new_name").distinct().limit(MAX_FIELDS).collect()
-    name = canonical_names({(r[0], r[1]) for r in pairs}, uses)
+    pairs = log.filter("change_kind = 'renamed'").select("old_name", "new_name").distinct()
+    name = canonical_names(((r[0], r[1]) for r in pairs.toLocalIterator()), uses)
     aliases: dict[str, list[str]] = {}
     types: dict[str, str] = {}
     for x in sorted(uses):
