@@ -68,6 +68,12 @@ def test_hard_blocks(block):
     check(block, 512, 32)
 
 
+@pytest.mark.parametrize("block", ["a" * 20_000, "日本語" * 3_000, "ab1" * 9_000, "é" * 5_000])
+def test_overlap_without_words(block):
+    cuts = check(block, 512, 32)
+    assert all(24 <= c[3] <= 32 for c in cuts[1:])
+
+
 def test_sparse_maximum():
     rng = np.random.default_rng(5)
     v = rng.integers(0, 50, 257)

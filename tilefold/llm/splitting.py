@@ -14,6 +14,7 @@ each. Pieces of a block cover it: each begins at or before the end of the one be
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -108,11 +109,14 @@ def split_block(text: str, tok: Tokenizer, limit: int, overlap: int, least: floa
     table = SparseMax(np.array(strength, dtype=np.int64) * n + np.arange(n))
     upto = np.array(tokens)
     out: list[tuple[int, int, int, int, str]] = []
-    first, shared = 0, 0  # the piece starts after cut first - 1
+    first, shared = 0, 0  # the piece starts after cut first - 1, or at the character inside, which is before that cut
+    inside = None
     while True:
         base = tokens[first - 1] if first else 0
         start = ends[first - 1] if first else 0
         done = out[-1][1] if out else 0
+        if inside is not None:
+            base, start = base - shared, inside
         high = int(np.searchsorted(upto, base + limit, side="right")) - 1
         bound = int(np.searchsorted(at, done, side="right"))  # a piece ends after the one before it
         while True:
@@ -128,6 +132,9 @@ def split_block(text: str, tok: Tokenizer, limit: int, overlap: int, least: floa
                 break
             if cut > bound:  # the piece as a text of its own has more tokens than its part of the block
                 high = cut - 1
+            elif inside is not None and start < done:
+                start += 1
+                shared = tok.count(text[start:done])
             elif first < bound:  # give up some of the overlap
                 first += 1
                 base, start = tokens[first - 1], ends[first - 1]
@@ -138,11 +145,21 @@ def split_block(text: str, tok: Tokenizer, limit: int, overlap: int, least: floa
         if cut == n - 1:
             return out
         back = int(np.searchsorted(upto, tokens[cut] - overlap, side="left")) + 1
-        back = min(max(back, first + 1), cut + 1)
+        nearest = back = min(max(back, first + 1), cut + 1)
         while back <= cut and not (text[ends[back - 1] : ends[back - 1] + 1].isspace() or strength[back - 1] > INSIDE):
             back += 1  # an overlap begins at a word
-        first = back
-        shared = tok.count(text[ends[first - 1] : ends[cut]]) if first <= cut else 0
+        if back > cut:  # no word begins in it: at the token or character nearest the given overlap
+            back = nearest
+            while back <= cut and tok.count(text[ends[back - 1] : ends[cut]]) > overlap:
+                back += 1
+        first, inside = back, None
+        if back > cut and overlap:  # no cut either, inside a very long word
+            at_char = bisect_left(range(ends[cut]), -overlap, lo=start + 1, key=lambda i: -tok.count(text[i : ends[cut]]))
+            while at_char < ends[cut] and tok.count(text[at_char : ends[cut]]) > overlap:
+                at_char += 1
+            inside = at_char if at_char < ends[cut] else None
+        begins = ends[first - 1] if inside is None else inside
+        shared = tok.count(text[begins : ends[cut]]) if begins < ends[cut] else 0
 
 
 def split(
