@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections import defaultdict
 from itertools import combinations
 
+import pytest
+
 from tilefold.operators import compaction
 
 SCHEMA = "file_id bigint, sha256 string, len bigint, group_no string, sha string, part int"
@@ -68,3 +70,16 @@ def test_only_null_ids(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert check(spark, df, 20).count() == 0
+
+
+def test_pairs_come_from_a_reconciled_rewrite(spark, small, monkeypatch):
+    from tilefold.plans import problem_queries
+
+    done = []
+    true = compaction.reconcile
+    monkeypatch.setattr(compaction, "reconcile", lambda planned, path: done.append(path) or true(planned, path))
+    problem_queries.p4_found(spark, small)
+    assert done and spark.read.parquet(done[0]).count() > 0
+    monkeypatch.setattr(compaction, "reconcile", lambda planned, path: true(planned.filter("file_id % 2 = 0"), path))
+    with pytest.raises(RuntimeError):
+        problem_queries.p4_found(spark, small)

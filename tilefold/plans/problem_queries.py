@@ -53,16 +53,24 @@ def p3_loaded(spark: SparkSession, d: str) -> DataFrame:
     return badrows.loaded(table(spark, d, "metrics_raw"))
 
 
+def _compacted(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The plan, rewritten, and its reconciliation; the target of 1 MiB suits sidecar records of some hundred bytes."""
+    planned = compaction.plan(compaction.frozen_manifest(files), 1 << 20)
+    return planned, compaction.reconcile(planned, compaction.rewrite(files, planned))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of files with the same record, out of a plan that was rewritten and agrees with what was written."""
     files = table(spark, d, "block_meta")
-    return compaction.same_record_pairs(files, compaction.plan(compaction.frozen_manifest(files)))
+    planned, report = _compacted(files)
+    if not report.filter("not agree").isEmpty():
+        raise RuntimeError("the rewritten groups differ from the plan")
+    return compaction.same_record_pairs(files, planned)
 
 
 def p4_groups(spark: SparkSession, d: str) -> DataFrame:
-    """Groups as planned and as written, reconciled; the target of 1 MiB suits sidecar records of some hundred bytes."""
-    files = table(spark, d, "block_meta")
-    planned = compaction.plan(compaction.frozen_manifest(files), 1 << 20)
-    return compaction.reconcile(planned, compaction.rewrite(files, planned))
+    """Groups as planned and as written, reconciled."""
+    return _compacted(table(spark, d, "block_meta"))[1]
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
