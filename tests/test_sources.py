@@ -106,3 +106,14 @@ def test_streaming_residency(spark, tmp_path):
     batch = {r["id"]: r["delta_hits"] for r in conditional.session_fold(texts, 100).collect()}
     assert set(got) == set(batch) and sum(map(sum, got.values())) > 0
     assert all(isinstance(json.dumps(v), str) for v in got.values())
+
+
+def test_windows_count_files_and_null_ids(spark, tmp_path):
+    schema = "file string, line_id bigint, received_at string, event string, session string, raw bigint, shown bigint, saved bigint"
+    rows = [(f, i, "2026-01-01 00:10:00", "compress", "s", 0, 0, 1) for f, i in (("a", 0), ("a", 0), ("b", 0), ("a", None), ("a", None))]
+    spark.createDataFrame(rows, schema).coalesce(1).write.json(str(tmp_path / "in"))
+    late = [("z", 9, "2026-01-09 00:00:00", "compress", "s", 0, 0, 1)]
+    spark.createDataFrame(late, schema).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+    got = run_stream(spark, sessions.windowed_savings(stream, "1 day", "1 hour"), "append", tmp_path, "ids")
+    assert [(r["compress_events"], r["saved"]) for r in got] == [(4, 4)]

@@ -27,11 +27,13 @@ def running_savings(lines: DataFrame) -> DataFrame:
 def windowed_savings(lines: DataFrame, window: str = "1 hour", delay: str = "2 hours") -> DataFrame:
     """Savings per session and window of arrival, for output mode append: each window once, when it is complete.
 
-    A line delivered again within ``delay`` of its first delivery counts once; ``delay`` bounds the state of seen ids.
+    A line delivered again within ``delay`` of its first delivery counts once; ``delay`` bounds the state of seen ids. Ids
+    are numbers inside a ``file``, if there is such a column; lines with a null id all count.
     """
     c = F.col("event").eqNullSafe("compress")
     timed = lines.withColumn("received_at", F.col("received_at").cast("timestamp")).withWatermark("received_at", delay)
-    once = timed.dropDuplicatesWithinWatermark(["line_id"])
+    keys = [k for k in ("file", "line_id") if k in lines.columns]
+    once = timed.filter("line_id is not null").dropDuplicatesWithinWatermark(keys).unionByName(timed.filter("line_id is null"))
     w = once.groupBy(F.window("received_at", window), F.coalesce("session", F.lit(savings.NO_SESSION)).alias("session"))
     out = w.agg(F.count_if(c).alias("compress_events"), F.coalesce(F.sum(F.when(c, F.coalesce("saved", F.col("raw") - F.col("shown")))), F.lit(0)).alias("saved"))
     return out.select(F.col("window.start").alias("from"), F.col("window.end").alias("to"), "session", "compress_events", "saved")
