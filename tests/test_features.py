@@ -82,3 +82,14 @@ def test_blocks_join_without_shuffle(spark, small):
     f = features.feature_blocks(spark.read.parquet(f"{small}/metrics.parquet"))
     plan = f._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan.replace("BroadcastExchange", "")
+
+
+def test_table_has_every_event_type(spark, small):
+    from tilefold.plans import problem_queries
+
+    queries = problem_queries.QUERIES
+    table = queries["p2_table"](spark, small)
+    cells = features.cells(spark.read.parquet(f"{small}/metrics.parquet"))
+    kinds = {r[0] for r in cells.filter("event is not null").select("event").distinct().collect()}
+    assert {r[0] for r in features.filled(table).select("event").distinct().collect()} == kinds and len(kinds) > 2
+    assert table.count() == cells.select("session").distinct().count()

@@ -40,8 +40,13 @@ def p2_cells(spark: SparkSession, d: str) -> DataFrame:
     return features.filled(features.feature_blocks(table(spark, d, "metrics")))
 
 
+def p2_table(spark: SparkSession, d: str) -> DataFrame:
+    """One row per session with every event type, in the maps of its blocks."""
+    return features.feature_blocks(table(spark, d, "metrics"))
+
+
 def p2_wide(spark: SparkSession, d: str) -> DataFrame:
-    """Plain feature columns of the two event types of the metrics log."""
+    """Plain feature columns of two chosen event types; ``p2_table`` has all of them."""
     return features.wide(features.feature_blocks(table(spark, d, "metrics")), ["compress", "expand"])
 
 
@@ -86,7 +91,7 @@ def p5_unified(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("_misfits", F.to_json("_misfits"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_tables, p2_found, p2_cells, p2_wide, p3_found, p3_loaded, p4_found, p4_groups, p5_found, p5_unified)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_tables, p2_found, p2_cells, p2_table, p2_wide, p3_found, p3_loaded, p4_found, p4_groups, p5_found, p5_unified)}
 
 _LINES = r"""
 with one as (
