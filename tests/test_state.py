@@ -30,7 +30,9 @@ def test_savings_of_two_sessions(spark):
     assert (rows[None]["net"], rows[None]["delta_hits"], rows[None]["evicted"], rows[None]["failed_expands"]) == (2989, 52, 1, 1)
     assert [r["session"] for r in savings.ranked(savings.sessions(df)).collect()] == ["s1", "s2"] and rows["s2"]["net"] == -300 and rows["s2"]["verdict"] == "negative"
     text = savings_report(df)
-    assert "2,989" in text and "net POSITIVE" in text and text.index("s1") < text.index("s2")
+    assert "2,989" in text and "saves more" in text and text.index("s1") < text.index("s2")
+    short = savings_report(df, 1)
+    assert "s2" not in short and "(1 more)" in short and "-300" in short and "2,989" in short
 
 
 def test_two_accounting_rules(spark):
@@ -47,9 +49,9 @@ def test_summary_values(spark):
     rows = [compress(i, "s1", 100, 30, 70, 5) for i in range(3)] + [expand(i, "s1", 10, True) for i in range(2)] + [expand(9, "s1", 0, False), compress(10, "s2", 80, 30, 50, 2, 1)]
     df = spark.createDataFrame(rows, METRICS)
     assert tuple(savings.summary(df).first()) == (4, 380, 120, 260, 17, 1, 3, 1, 20, 240)
-    assert savings.summary(df, "s1").first()["net"] == 190 and "net POSITIVE" in summary_report(df, "s2")
+    assert savings.summary(df, "s1").first()["net"] == 190 and "saves more" in summary_report(df, "s2")
     none = spark.createDataFrame([], METRICS)
-    assert savings.summary(none).first()["net"] == 0 and savings.latest_session(none).count() == 0 and "no data yet" in savings_report(none)
+    assert savings.summary(none).first()["net"] == 0 and savings.latest_session(none).count() == 0 and "nothing measured" in savings_report(none)
 
 
 LEDGER = "line_id bigint, session string, handle string, code tinyint, step bigint, tokens bigint"
@@ -249,7 +251,8 @@ def test_transcripts(spark):
     assert got["d"]["n_resident"] == 9 and got["d"]["sample"].split() == h[:5]
     df = spark.createDataFrame([(*r, 0) for r in [('{"type":"restart"}',), ('{"type":5,"event":"clear"}',), ('{"kind":"x"}',), ("[]",), ('{"content":"/clear\\n"}',), ('{"content":["/clear"]}',), ("plain /clear",)]], "l string, k int")
     assert [r[0] for r in df.select(transcripts.boundary(F.col("l"))).collect()] == ["session restart", "/clear", None, None, "/clear", "/clear", None]
-    assert "ENABLED" in transcript_report(transcripts.scan(spark.createDataFrame(rows, LINES)), "d") and "… 4 more" in transcript_report(transcripts.scan(spark.createDataFrame(rows, LINES)), "d")
+    text = transcript_report(transcripts.scan(spark.createDataFrame(rows, LINES)), "d")
+    assert "9 handles" in text and "and 4 more" in text and "cannot be read" in transcript_report(transcripts.scan(spark.createDataFrame(rows, LINES)), "c")
 
 
 def test_retention(spark):
@@ -263,7 +266,7 @@ def test_retention(spark):
     both = retention.judged(df, 1000, 30).select("len", "kind", "covered", "stale").unionByName(cache)
     total = retention.report(both).first()
     assert (total["read_cache_scanned"], total["read_cache_deleted"], total["meta_missing"]) == (2, 1, 5)
-    assert retention.survivors(retention.judged(df, 1000, 30)).count() == 3 and "dry-run" in retention_report(retention.report(both), 30)
+    assert retention.survivors(retention.judged(df, 1000, 30)).count() == 3 and "dry run" in retention_report(retention.report(both), 30)
     assert retention.report(retention.judged(df.limit(0), 1000, 30)).first()["bytes_freed"] == 0
 
 

@@ -231,19 +231,22 @@ def sql_lines(texts: str, key: str, name: str = "lines") -> str:
 
 
 SQL_LINES = sql_lines("documents", "doc_id")
-_DEFINITION = (
-    "^(pub (async fn[ (]|fn[ (]|struct |enum |trait |mod |type |const |static )|async fn |fn[ (]|impl[ <]|struct |enum |trait |mod |macro_rules!"
-    "|export (default (function[ (]|async function |class |abstract class )|async function |function[ (]|class |abstract class |interface |type |enum )"
-    "|abstract class |async function |function[ (*]|class |interface |type |async def |def )"
-)
+
+
+def _words(words: tuple[str, ...]) -> str:
+    """The marked word lists of the classifiers as an alternation inside an SQL text."""
+    return P.any_of(words).replace("'", "''")
+
+
+_DEFINITION = "^" + _words(P.DEFINITIONS)
 _BLANK = r"regexp_full_match(x, '[ \t\r]*')"
-_ANCHOR = r"""regexp_matches(x, '^[ \t]*(test |Compiling |Finished |Running |running |Doc-tests |failures:|---- |thread ''|error|warning)|\.\.\. ok|\.\.\. FAILED|panicked')"""
+_ANCHOR = rf"regexp_matches(x, '^[ \t]*{_words(P.LOG_ANCHORS)}|{_words(P.LOG_ANCHORS_INSIDE)}')"
 _WS = r"[\t-\r \x{85}\p{Z}]"
 _MARK = rf"regexp_matches(x, '^{_WS}*(#{{1,6}} |[-*+] |[0-9]+[.)] |>|```)')"
 _FENCE = rf"regexp_matches(x, '^{_WS}*```')"
 _EMPTY = rf"regexp_full_match(x, '{_WS}*')"
-_IMPORTANT = rf"""(regexp_matches(lower(x), 'error|warn|fail|panic|exception|fatal|denied|refused|npm err!|: warning ts')
-  or regexp_matches(x, '[✗❌●]') or regexp_matches(lower(x), '^{_WS}*(traceback \(most recent call last\)|caused by:|file ".*", line )')
+_IMPORTANT = rf"""(regexp_matches(lower(x), '{_words(P.SEVERITY)}|npm err!|: warning ts')
+  or regexp_matches(x, '{_words(P.GLYPHS)}') or regexp_matches(lower(x), '^{_WS}*(traceback \(most recent call last\)|caused by:|file ".*", line )')
   or regexp_matches(x, '^{_WS}*(at .*:|\* What went wrong|\* Try:)'))"""
 _TEXT = r"regexp_replace(l, '\r*\n*$', '')"
 
@@ -346,10 +349,10 @@ ORACLE = {
         with {SQL_LINES},
         t as (select doc_id, x, l, regexp_replace(x, '^{_WS}+', '') as y, regexp_replace(x, '{_WS}+$', '') as z from (select doc_id, {_TEXT} as x, l from lines))
         select d.doc_id,
-          count(*) filter (regexp_matches(y, '^(import|export|require\(|module|package|#include|function|class|interface|enum|namespace|fn |func |def |pub |type )')
+          count(*) filter (regexp_matches(y, '^{_words(P.SIGNATURES)}')
             or (regexp_matches(y, '^(const |let |var )') and contains(y, '=') and (contains(y, 'function') or contains(y, '=>') or regexp_matches(y, '\{{{_WS}*$')))) as n_sig,
           count(*) filter (ends_with(z, '{{') and contains(y, '(') and contains(y, ')') and regexp_matches(y, '^[\p{{L}}\p{{N}}_$]')
-            and not regexp_matches(y, '^(if|for|while|switch|catch|do|return|else|function|class)([^\p{{L}}\p{{N}}_$]|$)')) as n_method,
+            and not regexp_matches(y, '^{_words(P.CONTROL)}([^\p{{L}}\p{{N}}_$]|$)')) as n_method,
           count(*) filter (regexp_matches(x, '{_DEFINITION}')) as n_definition,
           count(*) filter ({_ANCHOR}) as n_anchor,
           count(*) filter ({_IMPORTANT}) as n_important,

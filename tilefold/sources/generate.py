@@ -7,24 +7,24 @@ from pyspark.sql import functions as F
 
 FUNCTIONS = 40
 
-# The lines of one handler and of one test run; %d are handler, weight.
+# The lines of one handler; %1$d is its number, %2$d its weight.
 HANDLER = (
-    "/** Handler {i}: validate the request, run the pipeline, return a result. */",
-    "function handler{i}(input, options) {{",
+    "/** Handler %1$d: validate the request, run the pipeline, return a result. */",
+    "function handler%1$d(input, options) {",
     "  const ctx = prepare(input, options);",
     "  const items = ctx.items || [];",
     "  let acc = 0, skipped = 0;",
-    "  for (let j = 0; j < items.length; j++) {{",
+    "  for (let j = 0; j < items.length; j++) {",
     "    const it = items[j];",
-    "    if (!it || it.disabled) {{ skipped++; continue; }}",
+    "    if (!it || it.disabled) { skipped++; continue; }",
     "    const w = typeof it.weight === 'number' ? it.weight : 1;",
-    "    acc += w * {w} * (it.factor || 1);",
+    "    acc += w * %2$d * (it.factor || 1);",
     "    if (it.bonus) acc += it.bonus;",
-    "  }}",
+    "  }",
     "  const score = normalize(acc, items.length - skipped);",
-    "  if (score < 0) throw new RangeError('negative score in handler {i}');",
-    "  return finalize(score, ctx, {i});",
-    "}}",
+    "  if (score < 0) throw new RangeError('negative score in handler %1$d');",
+    "  return finalize(score, ctx, %1$d);",
+    "}",
     "",
 )
 
@@ -33,14 +33,7 @@ def code_file(edited: Column, functions: int = FUNCTIONS) -> Column:
     """A module of handlers of which the first ``edited`` carry another constant."""
 
     def one(i: Column) -> Column:
-        w = i + F.when(i < edited, 100).otherwise(0)
-        parts: list[Column] = []
-        for text in "\n".join(HANDLER).replace("{{", "\0").replace("}}", "\1").replace("{w}", "{i}\2").split("{i}"):
-            weight = text.startswith("\2")
-            if parts or weight:
-                parts.append((w if weight else i).cast("string"))
-            parts.append(F.lit(text.replace("\2", "").replace("\0", "{").replace("\1", "}")))
-        return F.concat(*parts)
+        return F.format_string("\n".join(HANDLER), i, i + F.when(i < edited, 100).otherwise(0))
 
     body = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(functions - 1)), one), "\n")
     return F.concat(F.lit("// service.js — request handlers\n\n"), body)
