@@ -20,14 +20,22 @@ def brute(rows):
     return held
 
 
+def key(sha):
+    return bytes.fromhex(sha) if len(sha) == 64 and set(sha) <= set("0123456789abcdef") else bytes(33) + sha.encode()
+
+
 def check(spark, df, target):
     held = brute(df.collect())
     planned = compaction.plan(compaction.frozen_manifest(df, 3), target)
     rows = sorted(planned.collect(), key=lambda r: r["start"])
-    assert sorted((r["sha"], r["len"]) for r in rows) == sorted(held)
+    held = {(key(s), n): ids for (s, n), ids in held.items()}
+    stands = {k: min((i for i in ids if i is not None), default=None) for k, ids in held.items()}
+    assert sorted((str(r["file_id"]), r["len"]) for r in rows) == sorted((str(i), n) for (_, n), i in stands.items())
+    assert {(bytes(r["key"]), r["len"]) for r in rows if r["key"]} == {k for k, ids in held.items() if len(ids) > 1 or stands[k] is None}
+    copies = {(stands[k], k[1]): len(ids) for k, ids in held.items()}
     start = 0
     for r in rows:
-        assert r["start"] == start and r["group_no"] == start // target and r["copies"] == len(held[r["sha"], r["len"]])
+        assert r["start"] == start and r["group_no"] == start // target and r["copies"] == (copies[r["file_id"], r["len"]] if r["file_id"] is not None else len(held[bytes(r["key"]), r["len"]]))
         start += r["len"]
     pairs = {tuple(sorted(p)) for ids in held.values() for p in combinations([i for i in ids if i is not None], 2)}
     got = [tuple(r) for r in compaction.same_record_pairs(df, planned).collect()]
@@ -42,8 +50,9 @@ def test_whole_table(spark, small):
     report = compaction.reconcile(planned, path).collect()
     assert report and all(r["agree"] and r["files"] == 1 for r in report)
     back = spark.read.parquet(path)
-    assert back.count() == planned.count() == back.select("file_id").distinct().count()
-    assert set(df.columns) <= set(back.columns)
+    assert back.count() == planned.count() == back.select("row.file_id").distinct().count()
+    assert back.select("row.*").columns == df.columns and back.select("row.*").exceptAll(df).isEmpty()
+    assert len({r["group_no"] for r in report}) == len([p for p in back.inputFiles()])
 
 
 ROWS = [
@@ -58,6 +67,24 @@ def test_edge_cases(spark):
     planned = check(spark, df, 20)
     path = compaction.rewrite(df, planned)
     assert all(r["agree"] for r in compaction.reconcile(planned, path).collect())
+    kept = {r["file_id"]: r["group_no"] for r in spark.read.parquet(path).select("row.*").collect()}
+    assert kept[1] == "g" and 8 in kept and 2 not in kept and None in kept
+    joined = compaction.rewrite(df, planned, most_bounds=0)
+    assert all(r["agree"] for r in compaction.reconcile(planned, joined).collect())
+
+
+def test_large_records_and_repeated_rows(spark):
+    rows = [(i, f"{i:064x}", 10**9 if i % 3 == 0 else 3, None, None, None) for i in range(12)] + [(1, f"{1:064X}", 3, None, None, None), (20, "neg", -5, None, None, None)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    planned = compaction.plan(compaction.frozen_manifest(df, 3), 20)
+    path = compaction.rewrite(df, planned)
+    assert all(r["agree"] for r in compaction.reconcile(planned, path).collect()) and spark.read.parquet(path).count() == 13
+
+
+def test_hot_record_in_slices(spark, monkeypatch):
+    monkeypatch.setattr(compaction, "COPIES_PER_SALT", 7)
+    df = spark.createDataFrame([(i, "hot" if i % 3 else f"s{i // 2}", 5, None, None, None) for i in range(90)], SCHEMA)
+    check(spark, df, 50)
 
 
 def test_only_null_ids(spark):
