@@ -83,9 +83,13 @@ def plan(manifest: DataFrame, target: int = TARGET_BYTES) -> DataFrame:
 
 
 def members(files: DataFrame, planned: DataFrame) -> DataFrame:
-    """Which record, by its standing file, each file holds: (file_id, record_file, group_no, copies)."""
-    keys = planned.select("key", "len", F.col("file_id").alias("record_file"), "group_no", "copies")
-    return valid_files(files).join(keys, ["key", "len"]).select("file_id", "record_file", "group_no", "copies")
+    """Which record, by its standing file, each file holds: (file_id, record_file, group_no, copies).
+
+    A record in one file is its own row of the plan; only files of repeated records are joined, by their keys.
+    """
+    lone = planned.filter("copies = 1").select("file_id", F.col("file_id").alias("record_file"), "group_no", "copies")
+    keys = planned.filter("copies > 1").select("key", "len", F.col("file_id").alias("record_file"), "group_no", "copies")
+    return valid_files(files).join(keys, ["key", "len"]).select("file_id", "record_file", "group_no", "copies").unionByName(lone)
 
 
 def same_record_pairs(files: DataFrame, planned: DataFrame) -> DataFrame:

@@ -4,124 +4,201 @@ One depth-first visitor reads each record once and emits rows (tag, primary key,
 are written partitioned by tag, and each tag is read with its own schema. Every node is visited with a stack of
 its own, so depth is bounded by memory, not by recursion.
 
-Defined results: a null, empty or incomplete text yields no node; a line without content still yields its row of
-``line``; a repeated ``line_id`` counts once (of repeats that differ, their nodes are united, and of one node the least
-payload stays); rows with a null ``line_id`` are all kept; columns the visitor does not know are ignored.
+Tables, each row with ``node_no`` (its number in its line, the primary key together with ``line_id``), ``parent_no`` and
+the paths of both:
+
+- ``line``: one per line, number 0.
+- ``message``: the object in the line's ``message``, and the object ``message`` of a content object.
+- ``content``: a content value, its shape (list, object, text or scalar) and whether it was wrapped in a JSON string.
+- ``object``: a content object; fields that every kind of record has are columns.
+- ``text``: a text among content.
+- ``detail``: everything else that is nested, object by object and list by list, each naming its parent; ``place`` is the
+  key or the position in it. A ``message`` that is no object is a detail of its line.
+
+Scalar fields that are no column of their own are in the map ``fields`` of their node, as JSON texts, so no field is
+lost, whatever its name or type; a column is null where its field is missing or of another type (which is then in
+``fields``). A record can be put together again from its rows (``tests/test_nested.py``).
+
+Defined results: a null, empty or incomplete text yields no object; a line without content still yields its row of
+``line``; of a repeated key in an object the last value counts. A repeated ``line_id`` counts once: of repeats that
+differ, ``read_table`` keeps all nodes of one (least digest) and none of the others, and ``object_keys`` has the keys of
+all. Rows with a null ``line_id`` are all kept; columns of the input other than those read are ignored.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tilefold.functions.strict_json import dump, parse
+from tilefold.functions.strict_json import parse
 from tilefold.session import new_path
 
-TAGGED = "line_id bigint, parent_path string, node_path string, via string, payload string, tag string"
+TAGGED = "line_id bigint, node_no bigint, parent_no bigint, parent_path string, node_path string, via string, payload string, delivery bigint, tag string"
 SCHEMAS = {
-    "line": "session string, line_no bigint, kind string, role string, message_role string, message_id string",
-    "object": "type string, role string, id string, name string, tool_use_id string, text string, is_error boolean, n_fields bigint",
+    "line": "session string, line_no bigint, kind string, role string",
+    "message": "role string, id string, n_fields bigint, fields map<string,string>",
+    "content": "shape string, wrapped boolean, value string",
+    "object": "type string, role string, id string, name string, tool_use_id string, text string, is_error boolean, n_fields bigint, fields map<string,string>",
     "text": "text string",
-    "detail": "field string, value string",
+    "detail": "place string, kind string, value string, n_fields bigint, fields map<string,string>",
 }
+KEYS = ["line_id", "node_no", "parent_no", "parent_path", "node_path", "via"]
 _ARROW = pa.schema([(c.split()[0], pa.int64() if c.split()[1] == "bigint" else pa.string()) for c in TAGGED.split(", ")])
-_SCALARS = ("type", "role", "id", "name", "tool_use_id", "text", "is_error")
+_COLUMNS = {tag: {c.split()[0]: bool if c.split()[1] == "boolean" else str for c in s.split(", ") if c.split()[1] in ("string", "boolean")} for tag, s in SCHEMAS.items() if tag in ("message", "object")}
+_FLUSH = 20_000
+_encode = json.JSONEncoder(separators=(",", ":")).encode
 
 
-def _content(value):
-    """A content value as (list of elements, is text): strings are unwrapped while they are whole JSON."""
-    while isinstance(value, str):
+def _unwrapped(value):
+    """(list, object or scalar, was wrapped): a string is unwrapped while it is whole JSON for a list or an object."""
+    wrapped, inner = False, value
+    while isinstance(inner, str):
         try:
-            inner = parse(value)
+            inner = parse(inner)
         except ValueError:
-            return [value], True
-        if not isinstance(inner, (str, list, dict)):
-            return [value], True
-        value = inner
-    if isinstance(value, list):
-        return value, False
-    return ([value], False) if isinstance(value, dict) else ([], False)
-
-
-def _scalar(value):
-    return value if value is None or isinstance(value, (str, bool)) else dump(value)
-
-
-def _visit(line_id, roots: list[tuple[str, str, object]], emit) -> None:
-    """Emit all nodes under ``roots``, a list of (path, via, content value), children after their parent."""
-    todo = list(reversed(roots))
-    while todo:
-        path, via, value = todo.pop()
-        elements, plain = _content(value)
+            return value, False
+        wrapped = True
+    return (inner, wrapped) if isinstance(inner, (list, dict)) else (value, False)
+
+
+def _key(name: str) -> str:
+    return name if name.isascii() else name.encode("utf-8", "replace").decode()  # a lone surrogate is no text for Arrow
+
+
+class _Visitor:
+    """Walks one line after another; rows gather in ``out``, one list per column of ``TAGGED``."""
+
+    def __init__(self) -> None:
+        self.out: list[list] = [[] for _ in _ARROW.names]
+
+    def begin(self, line_id, delivery) -> None:
+        self.line_id, self.delivery, self.n = line_id, delivery, 0
+
+    def emit(self, tag: str, parent_no, parent: str | None, node: str, via: str | None, payload: dict) -> int:
+        for column, x in zip(self.out, (self.line_id, self.n, parent_no, parent, node, via, _encode(payload), self.delivery, tag)):
+            column.append(x)
+        self.n += 1
+        return self.n - 1
+
+    def flat(self, tag: str, value: dict) -> tuple[dict, list[tuple[str, object]]]:
+        """Payload of an object's own scalars, and its nested fields in order."""
+        typed = _COLUMNS.get(tag, {})
+        payload: dict = {"n_fields": len(value)}
+        fields: dict[str, str] = {}
+        nested = []
+        for key, x in value.items():
+            if isinstance(x, (list, dict)):
+                nested.append((key, x))
+            elif type(x) is typed.get(key):
+                payload[key] = x
+            elif tag == "object" and key == "content" or tag == "message" and key == "content":
+                nested.append((key, x))
+            else:
+                name = _key(key)
+                while name in fields:
+                    name += "_"
+                fields[name] = _encode(x)
+        if fields:
+            payload["fields"] = fields
+        return payload, nested
+
+    def walk(self, todo: list[tuple]) -> None:
+        """Depth first; ``todo`` is a stack of (kind, parent number, parent path, path or place, via, value)."""
+        while todo:
+            kind, up, parent, at, via, value = todo.pop()
+            if kind == "content":
+                todo.extend(reversed(self.content(up, parent, at, via, value)))
+            elif kind == "object":
+                payload, nested = self.flat("object", value)
+                no = self.emit("object", up, parent, at, via, payload)
+                todo.extend(reversed([self.below(no, at, key, x) for key, x in nested]))
+            elif kind == "message":
+                payload, nested = self.flat("message", value)
+                path = f"{parent}/message"
+                no = self.emit("message", up, parent, path, via, payload)
+                todo.extend(reversed([("content", no, path, at, "message", x) if key == "content" else ("detail", no, path, key, None, x) for key, x in nested]))
+            elif kind == "text":
+                self.emit("text", up, parent, at, via, {"text": value})
+            else:
+                todo.extend(reversed(self.detail(up, parent, at, value)))
+
+    def below(self, no: int, path: str, key: str, value) -> tuple:
+        if key == "content":
+            return ("content", no, path, path, "content", value)
+        if key == "message" and isinstance(value, dict):
+            return ("message", no, path, path, None, value)
+        return ("detail", no, path, key, None, value)
+
+    def content(self, up: int, parent: str, path: str, via: str, value) -> list[tuple]:
+        inner, wrapped = _unwrapped(value)
+        shape = "list" if isinstance(inner, list) else "object" if isinstance(inner, dict) else "text" if isinstance(inner, str) else "scalar"
+        payload = {"shape": shape, "wrapped": wrapped}
+        if shape == "scalar":
+            payload["value"] = _encode(inner)
+        no = self.emit("content", up, parent, path, via, payload)
+        if shape == "text":
+            return [("text", no, path, path, via, inner)]
         later = []
-        for i, x in enumerate(elements):
-            node = f"{path}.{i}"
-            if isinstance(x, str):
-                emit("text", line_id, path, path if plain else node, via, {"text": x})
-            if not isinstance(x, dict):
-                continue
-            flat = {k: _scalar(x[k]) for k in _SCALARS if not isinstance(x.get(k), (list, dict)) and k in x}
-            if not isinstance(flat.get("is_error"), bool):
-                flat.pop("is_error", None)
-            emit("object", line_id, path, node, via, flat | {"n_fields": len(x)})
-            message = x.get("message")
-            for key, part in x.items():
-                key = key.encode("utf-8", "replace").decode()  # a lone surrogate is no text for Arrow
-                if isinstance(part, (list, dict)) and key != "content" and not (key == "message" and isinstance(part, dict)):
-                    for j, y in enumerate(part if isinstance(part, list) else [part]):
-                        emit("detail", line_id, node, f"{node}/{key}.{j}", key, {"field": key, "value": dump(y)})
-            if "content" in x:
-                later.append((node, "content", x["content"]))
-            if isinstance(message, dict) and "content" in message:
-                later.append((node, "message", message["content"]))
-        todo.extend(reversed(later))
+        for i, x in enumerate(inner if shape == "list" else [inner] if shape == "object" else []):
+            if isinstance(x, dict):
+                later.append(("object", no, path, f"{path}.{i}", via, x))
+            elif isinstance(x, str):
+                later.append(("text", no, path, f"{path}.{i}", via, x))
+            else:
+                later.append(("detail", no, path, i, via, x))
+        return later
+
+    def detail(self, up: int, owner: str, place, value) -> list[tuple]:
+        """A value that is no content: its path is that of the node it belongs to and its own number, however deep it is."""
+        payload: dict = {"place": _key(place) if isinstance(place, str) else str(place)}
+        nested: list[tuple] = []
+        if isinstance(value, dict):
+            body, nested = self.flat("detail", value)
+            payload |= {"kind": "object"} | body
+        elif isinstance(value, list):
+            payload["kind"], nested = "list", list(enumerate(value))
+        else:
+            payload |= {"kind": "scalar", "value": _encode(value)}
+        no = self.emit("detail", up, owner, f"{owner}#{self.n}", None, payload)
+        return [("detail", no, owner, key, None, x) for key, x in nested]
+
+    def batch(self) -> pa.RecordBatch:
+        done = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(self.out, _ARROW.types)], schema=_ARROW)
+        self.out = [[] for _ in _ARROW.names]
+        return done
 
 
 def _emitter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    v = _Visitor()
     for batch in batches:
-        out: dict[str, list] = {name: [] for name in _ARROW.names}
-
-        def emit(tag, line_id, parent, node, via, payload, out=out):
-            for name, x in zip(_ARROW.names, (line_id, parent, node, via, dump(payload), tag)):
-                out[name].append(x)
-
         for row in batch.to_pylist():
-            line_id, message = row["line_id"], None
-            if row.get("message") is not None:
-                try:
-                    message = parse(row["message"])
-                    while isinstance(message, str):
-                        message = parse(message)
-                except ValueError:
-                    message = None
-            flat = {k: row.get(k) for k in ("session", "line_no", "kind", "role")}
-            if isinstance(message, dict):
-                flat |= {"message_role": _scalar(message.get("role")), "message_id": _scalar(message.get("id"))}
-            emit("line", line_id, None, "", None, flat)
-            roots = [("c", "content", row["content"])] if row.get("content") is not None else []
-            if isinstance(message, dict) and "content" in message:
-                roots.append(("m", "content", message["content"]))
-            _visit(line_id, roots, emit)
-            if len(out["tag"]) >= 20_000:
-                yield pa.RecordBatch.from_pydict(out, schema=_ARROW)
-                for x in out.values():
-                    x.clear()
-        yield pa.RecordBatch.from_pydict(out, schema=_ARROW)
+            v.begin(row["line_id"], row["delivery"])
+            v.emit("line", None, None, "", None, {k: row[k] for k in ("session", "line_no", "kind", "role") if row[k] is not None})
+            roots: list[tuple] = []
+            if row["content"] is not None:
+                roots.append(("content", 0, "", "c", "content", row["content"]))
+            if row["message"] is not None:
+                message, _ = _unwrapped(row["message"])
+                roots.append(("message", 0, "", "m", None, message) if isinstance(message, dict) else ("detail", 0, "", "message", None, message))
+            v.walk(roots[::-1])
+            if len(v.out[0]) >= _FLUSH:
+                yield v.batch()
+        yield v.batch()
 
 
 def flatten(lines: DataFrame) -> DataFrame:
-    """Tagged rows (line_id, parent_path, node_path, via, payload, tag) of all transcript lines, narrow.
+    """Tagged rows of all transcript lines: keys, payload, the digest of the delivery, tag.
 
     Repeats are still in: they are dropped by key where a table is read, after the text has become rows.
     """
-    known = ("line_id", "session", "line_no", "kind", "role", "message", "content", "logged_at")
-    types = {"line_id": "bigint", "line_no": "bigint", "logged_at": "timestamp"}
+    types = {"line_id": "bigint", "session": "string", "line_no": "bigint", "kind": "string", "role": "string", "message": "string", "content": "string"}
     have = set(lines.columns)
-    picked = lines.select(*((F.col(c) if c in have else F.lit(None)).cast(types.get(c, "string")).alias(c) for c in known if c != "logged_at"))
-    return picked.mapInArrow(_emitter, TAGGED)
+    picked = lines.select(*((F.col(c) if c in have else F.lit(None)).cast(t).alias(c) for c, t in types.items()))
+    return picked.withColumn("delivery", F.xxhash64(*list(types)[1:])).mapInArrow(_emitter, TAGGED)
 
 
 def write_tagged(lines: DataFrame, path: str | None = None) -> str:
@@ -132,12 +209,13 @@ def write_tagged(lines: DataFrame, path: str | None = None) -> str:
 
 
 def read_table(spark, path: str, tag: str) -> DataFrame:
-    """One flat table: keys, and the payload under the tag's schema; each key once."""
+    """One flat table: keys, and the payload under the tag's schema; each node of one delivery of each line once."""
     rows = spark.read.schema(TAGGED).parquet(path).filter(F.col("tag") == tag).drop("tag")
-    keys = ["line_id", "parent_path", "node_path", "via"]
-    rows = rows.filter("line_id is null").unionByName(rows.filter("line_id is not null").groupBy(*keys).agg(F.min("payload").alias("payload")))
+    least = F.min("delivery").over(Window.partitionBy("line_id"))  # a line's nodes, not a group that grows
+    named = rows.filter("line_id is not null").withColumn("_least", least).filter("delivery = _least").drop("_least").dropDuplicates(["line_id", "node_no"])
     body = F.from_json("payload", SCHEMAS[tag])
-    return rows.withColumn("_b", body).select(*(k for k in keys if tag != "line" or k == "line_id"), "_b.*")
+    out = rows.filter("line_id is null").unionByName(named).withColumn("_b", body)
+    return out.select(*KEYS, "_b.*") if tag != "line" else out.select("line_id", "_b.*")
 
 
 def object_keys(spark, path: str) -> DataFrame:

@@ -13,24 +13,45 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return nested.object_keys(spark, nested.write_tagged(table(spark, d, "transcript")))
 
 
+def _p1_links(spark: SparkSession, d: str) -> tuple[dict[str, DataFrame], DataFrame]:
+    """The flat tables but ``line`` (whose rows have no parent), and the keys that are parents."""
+    path = nested.write_tagged(table(spark, d, "transcript"))
+    tables = {tag: nested.read_table(spark, path, tag) for tag in nested.SCHEMAS}
+    parents = tables["line"].select("line_id", F.lit(0).cast("bigint").alias("parent_no"))
+    for tag in ("message", "content", "object", "detail"):
+        parents = parents.unionByName(tables[tag].select("line_id", F.col("node_no").alias("parent_no")))
+    return tables, parents
+
+
 def p1_tables(spark: SparkSession, d: str) -> DataFrame:
     """Rows of each flat table, and of those whose parent is no row of a table (0: every child names its parent)."""
-    path = nested.write_tagged(table(spark, d, "transcript"))
-    objects = nested.read_table(spark, path, "object").select("line_id", "node_path")
-    lines = nested.read_table(spark, path, "line").select("line_id", F.explode(F.array(F.lit("c"), F.lit("m"))).alias("node_path"))
-    parents = objects.unionByName(lines).distinct()
-    counts = None
-    for tag in nested.SCHEMAS:
-        rows = nested.read_table(spark, path, tag)
-        if tag == "line":
-            part = rows.agg(F.lit(tag).alias("tag"), F.count("*").alias("n_rows"), F.lit(0).cast("bigint").alias("n_orphans"))
-        else:
-            up = rows.join(parents.withColumnRenamed("node_path", "parent_path").withColumn("_there", F.lit(True)), ["line_id", "parent_path"], "left")
-            part = up.agg(F.lit(tag).alias("tag"), F.count("*").alias("n_rows"), F.count_if(F.col("_there").isNull()).alias("n_orphans"))
-        counts = part if counts is None else counts.unionByName(part)
+    tables, parents = _p1_links(spark, d)
+    known = parents.withColumn("_there", F.lit(True))
+    counts = tables["line"].agg(F.lit("line").alias("tag"), F.count("*").alias("n_rows"), F.lit(0).cast("bigint").alias("n_orphans"))
+    for tag, rows in tables.items():
+        if tag != "line":
+            up = rows.select("line_id", "parent_no").join(known, ["line_id", "parent_no"], "left")
+            counts = counts.unionByName(up.agg(F.lit(tag).alias("tag"), F.count("*").alias("n_rows"), F.count_if(F.col("_there").isNull()).alias("n_orphans")))
     return counts
 
 
+def p1_objects(spark: SparkSession, d: str) -> DataFrame:
+    """Every content object with its columns, the number of its fields, and the object or line above it."""
+    path = nested.write_tagged(table(spark, d, "transcript"))
+    return nested.read_table(spark, path, "object").select("line_id", "parent_path", "node_path", "via", "type", "role", "name", "is_error", "n_fields").distinct()
+
+
+def p1_roles(spark: SparkSession, d: str) -> DataFrame:
+    """Every role: of lines, of messages at any depth, of content objects."""
+    path = nested.write_tagged(table(spark, d, "transcript"))
+    found = None
+    for tag in ("line", "message", "object"):
+        rows = nested.read_table(spark, path, tag).select("line_id", (F.lit("") if tag == "line" else F.col("node_path")).alias("node_path"), "role")
+        rows = rows.withColumn("tag", F.lit(tag)).filter("role is not null")
+        found = rows if found is None else found.unionByName(rows)
+    return found.distinct()
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return features.filled(features.feature_blocks(table(spark, d, "metrics"))).select("session", "event")
 
@@ -73,6 +94,12 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return compaction.same_record_pairs(files, planned)
 
 
+def p4_members(spark: SparkSession, d: str) -> DataFrame:
+    """Which record, named by its standing file, each file holds: one row per file instead of all pairs."""
+    files = table(spark, d, "block_meta")
+    return compaction.members(files, compaction.plan(compaction.frozen_manifest(files), 1 << 20)).select("file_id", "record_file", "group_no", "copies")
+
+
 def p4_groups(spark: SparkSession, d: str) -> DataFrame:
     """Groups as planned and as written, reconciled."""
     return _compacted(table(spark, d, "block_meta"))[1]
@@ -91,7 +118,7 @@ def p5_unified(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("_misfits", F.to_json("_misfits"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_tables, p2_found, p2_cells, p2_table, p2_wide, p3_found, p3_loaded, p4_found, p4_groups, p5_found, p5_unified)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_tables, p1_objects, p1_roles, p2_found, p2_cells, p2_table, p2_wide, p3_found, p3_loaded, p4_found, p4_members, p4_groups, p5_found, p5_unified)}
 
 _LINES = r"""
 with one as (
@@ -209,6 +236,11 @@ ORACLE = {
     "p4_found": """
         with r as (select file_id, lower(trim(sha256, ' ')) as sha, len from block_meta where sha256 is not null and len <> 0)
         select a.file_id as file_id_a, b.file_id as file_id_b from r a join r b on a.sha = b.sha and a.len = b.len and a.file_id < b.file_id""",
+    "p4_members": """
+        with r as (select file_id, lower(trim(sha256, ' ')) as sha, len from block_meta where sha256 is not null and len <> 0),
+        s as (select sha, len, min(file_id) as record_file, count(*) as copies from r group by sha, len),
+        g as (select *, cast((sum(len) over (order by record_file) - len) // 1048576 as bigint) as group_no from s)
+        select file_id, record_file, group_no, copies from r join g on r.sha = g.sha and r.len = g.len""",
     "p4_groups": """
         with r as (select min(file_id) as file_id, lower(trim(sha256, ' ')) as sha, len from block_meta
                    where sha256 is not null and len <> 0 group by 2, 3),
