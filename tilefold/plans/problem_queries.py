@@ -186,6 +186,36 @@ nodes as (
               from (select line_id, node_path, unnest([json_extract(o, '$.content'), case when json_type(o, '$.message') = 'OBJECT' then json_extract(o, '$.message.content') end]) as w from nodes))),
        unnest(range(1, len(e) + 1)) as u(i) where json_type(e[i]) = 'OBJECT')
 select distinct line_id, parent_path, node_path from nodes"""
+def _opened(j: str) -> str:
+    """SQL for a JSON value, or the list or object inside it if it is a string that holds one."""
+    inner = f"({j} ->> '$')"
+    return f"case when json_type({j}) = 'VARCHAR' and json_valid({inner}) and json_type({inner}) in ('ARRAY', 'OBJECT') then {inner}::json else {j} end"
+
+
+def _column(t: str) -> str:
+    return f"case when json_valid({t}) then {t}::json else to_json({t}) end"
+
+
+#: All nodes of problem 1 as (line_id, tag, path, via, v); a content value is opened when it becomes a node.
+_TREE = f"""
+with recursive rows as (select distinct line_id, session, line_no, kind, role, message, content from transcript),
+tree as (
+  select line_id, 'content' as tag, 'c' as path, 'content' as via, {_opened(_column('content'))} as v from rows where content is not null
+  union all
+  select line_id, case when json_type(v) = 'OBJECT' then 'message' else 'detail' end, case when json_type(v) = 'OBJECT' then '/message' else '' end, null, v
+  from (select line_id, {_opened(_column('message'))} as v from rows where message is not null)
+  union all
+  select line_id, tag, path, via, case when tag = 'content' then {_opened('v')} else v end from (
+    select t.line_id, e.value as v,
+      case when t.tag = 'content' then case e.type when 'OBJECT' then 'object' when 'VARCHAR' then 'text' else 'detail' end
+        when t.tag in ('object', 'message') and e.key = 'content' then 'content'
+        when t.tag = 'object' and e.key = 'message' and e.type = 'OBJECT' then 'message' else 'detail' end as tag,
+      case when t.tag = 'content' then t.path || '.' || e.key when t.tag = 'object' and e.key = 'message' and e.type = 'OBJECT' then t.path || '/message'
+        when t.tag = 'message' and e.key = 'content' then case t.path when '/message' then 'm' else left(t.path, length(t.path) - 8) end else t.path end as path,
+      case when t.tag = 'content' then t.via when t.tag in ('object', 'message') and e.key = 'content' then case t.tag when 'object' then 'content' else 'message' end end as via
+    from (select line_id, tag, path, via, case when tag = 'content' and json_type(v) = 'OBJECT' then json_array(v) else v end as v from tree where json_type(v) in ('ARRAY', 'OBJECT')) t, json_each(t.v) e
+    where t.tag = 'content' or json_type(t.v) = 'ARRAY' or e.type in ('ARRAY', 'OBJECT') or (t.tag in ('object', 'message') and e.key = 'content')))"""
+_STRING = "case when json_type(v, '$.{0}') = 'VARCHAR' then v ->> '$.{0}' end"
 _CHANGES = """
 with one as (select * from (select *, row_number() over (partition by stream, file_no, record_id order by written_at) as k from meta_raw) where k = 1),
 rec as (select stream, file_no::bigint as file_no, record_id, case when json_valid(record) and json_type(record) = 'OBJECT' then record end as r from one where stream is not null and file_no is not null),
@@ -217,6 +247,20 @@ union all select o.stream, o.file_no, o.field, o.field, 'retyped' from old o joi
 
 ORACLE = {
     "p1_found": _NODES,
+    "p1_tables": _TREE
+    + """
+        select tag, count(*) as n_rows, 0 as n_orphans
+        from (select tag from tree union all select 'text' from tree where tag = 'content' and json_type(v) = 'VARCHAR') group by tag
+        union all select 'line', count(distinct line_id), 0 from rows""",
+    "p1_objects": _TREE
+    + f"""
+        select distinct line_id, regexp_replace(path, '[.][0-9]+$', '') as parent_path, path as node_path, via, {_STRING.format('type')} as type, {_STRING.format('role')} as role,
+          {_STRING.format('name')} as name, case when json_type(v, '$.is_error') = 'BOOLEAN' then (v ->> '$.is_error')::boolean end as is_error, len(json_keys(v))::bigint as n_fields
+        from tree where tag = 'object'""",
+    "p1_roles": _TREE
+    + f"""
+        select distinct line_id, path as node_path, {_STRING.format('role')} as role, tag from tree where tag in ('message', 'object') and json_type(v, '$.role') = 'VARCHAR'
+        union all select distinct line_id, '', role, 'line' from rows where role is not null""",
     "p5_found": _CHANGES,
     "p2_found": _LINES + "select distinct session, event from good where event <> ''",
     "p2_cells": _LINES
