@@ -50,7 +50,16 @@ KEYS = ["line_id", "node_no", "parent_no", "parent_path", "node_path", "via"]
 _ARROW = pa.schema([(c.split()[0], pa.int64() if c.split()[1] == "bigint" else pa.string()) for c in TAGGED.split(", ")])
 _COLUMNS = {tag: {c.split()[0]: bool if c.split()[1] == "boolean" else str for c in s.split(", ") if c.split()[1] in ("string", "boolean")} for tag, s in SCHEMAS.items() if tag in ("message", "object")}
 _FLUSH = 20_000
-_encode = json.JSONEncoder(separators=(",", ":")).encode
+_quote = json.encoder.encode_basestring_ascii
+_make = json.encoder.c_make_encoder
+# the encoder of the standard library builds its C part anew for every call; payloads are small and many
+_parts = _make(None, None, _quote, None, ":", ",", False, False, True) if _make else None
+
+
+def _encode(value) -> str:
+    if type(value) is str:
+        return _quote(value)
+    return "".join(_parts(value, 0)) if _parts and isinstance(value, (dict, list)) else json.dumps(value, separators=(",", ":"))
 
 
 def _unwrapped(value):
@@ -70,19 +79,19 @@ def _key(name: str) -> str:
 
 
 class _Visitor:
-    """Walks one line after another; rows gather in ``out``, one list per column of ``TAGGED``."""
+    """Walks one line after another; rows of ``TAGGED`` gather in ``out``."""
 
     def __init__(self) -> None:
-        self.out: list[list] = [[] for _ in _ARROW.names]
+        self.out: list[tuple] = []
 
     def begin(self, line_id, delivery) -> None:
         self.line_id, self.delivery, self.n = line_id, delivery, 0
 
     def emit(self, tag: str, parent_no, parent: str | None, node: str, via: str | None, payload: dict) -> int:
-        for column, x in zip(self.out, (self.line_id, self.n, parent_no, parent, node, via, _encode(payload), self.delivery, tag)):
-            column.append(x)
-        self.n += 1
-        return self.n - 1
+        no = self.n
+        self.out.append((self.line_id, no, parent_no, parent, node, via, _encode(payload), self.delivery, tag))
+        self.n = no + 1
+        return no
 
     def flat(self, tag: str, value: dict) -> tuple[dict, list[tuple[str, object]]]:
         """Payload of an object's own scalars, and its nested fields in order."""
@@ -93,9 +102,9 @@ class _Visitor:
         for key, x in value.items():
             if isinstance(x, (list, dict)):
                 nested.append((key, x))
-            elif type(x) is typed.get(key):
+            elif key in typed and type(x) is typed[key]:
                 payload[key] = x
-            elif tag == "object" and key == "content" or tag == "message" and key == "content":
+            elif key == "content" and tag != "detail":
                 nested.append((key, x))
             else:
                 name = _key(key)
@@ -167,9 +176,9 @@ class _Visitor:
         return [("detail", no, owner, key, None, x) for key, x in nested]
 
     def batch(self) -> pa.RecordBatch:
-        done = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(self.out, _ARROW.types)], schema=_ARROW)
-        self.out = [[] for _ in _ARROW.names]
-        return done
+        columns = list(zip(*self.out)) or [()] * len(_ARROW)
+        self.out = []
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _ARROW.types)], schema=_ARROW)
 
 
 def _emitter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,7 +194,7 @@ def _emitter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 message, _ = _unwrapped(row["message"])
                 roots.append(("message", 0, "", "m", None, message) if isinstance(message, dict) else ("detail", 0, "", "message", None, message))
             v.walk(roots[::-1])
-            if len(v.out[0]) >= _FLUSH:
+            if len(v.out) >= _FLUSH:
                 yield v.batch()
         yield v.batch()
 
