@@ -5,6 +5,9 @@ from __future__ import annotations
 import json
 from collections import Counter, defaultdict
 
+import pytest
+from pyspark.sql import functions as F
+
 from tilefold.operators import drift
 
 SCHEMA = "record_id bigint, stream string, file_no int, written_at timestamp, record string, field string, type int"
@@ -95,8 +98,8 @@ def test_edge_cases(spark):
 def test_unified(spark):
     df = spark.createDataFrame(EDGE, SCHEMA)
     found_shapes = drift.shapes(df)
-    aliases, types = drift.union_schema(found_shapes, drift.changes(df, found_shapes))
-    out = drift.unified(df, aliases, types)
+    aliases, types, split = drift.union_schema(found_shapes, drift.changes(df, found_shapes))
+    out = drift.unified(df, aliases, types, split)
     assert out.count() == len({(r[1], r[2], r[0]) for r in EDGE}) + 1
     assert types["b"] == "string" and len({c.lower() for c in out.columns}) == len(out.columns)
 
@@ -121,6 +124,7 @@ def test_canonical_names_and_lattice():
     assert names["proj"] == "project" and names["ct"] == names["kind"] == "content_type" and names["x"] == "x"
     assert drift.promote("number", "number") == "number" and drift.promote("number", "boolean") == "string"
     assert drift.promote("list", "string") == "json" and drift.promote(None, "list") == "list"
+    assert drift.promote("integer", "number") == "number" and drift.promote("integer", "boolean") == "string" and drift.promote("integer", "integer") == "integer"
 
 
 def test_empty(spark):
@@ -139,6 +143,55 @@ def test_further_names_of_a_chain_are_kept(spark):
 def test_all_rename_pairs_are_folded(spark, monkeypatch):
     monkeypatch.setattr(drift, "MAX_FIELDS", 2)
     monkeypatch.setattr(drift, "headers", lambda found: found)
-    found = spark.createDataFrame([("a", "number", 3), ("b", "number", 1)], "field string, type string, n bigint")
+    found = spark.createDataFrame([("s", 0, "a", "number", 3, 0), ("s", 1, "b", "number", 1, 0)], "stream string, file_no bigint, field string, type string, n bigint, n_broken bigint")
     log = spark.createDataFrame([(x, y, "renamed") for x, y in ("am", "mn", "no", "ob")], "old_name string, new_name string, change_kind string")
-    assert drift.union_schema(found, log) == ({"b": ["a", "b"]}, {"b": "number"})
+    assert drift.union_schema(found, log) == ({"b": ["a", "b"]}, {"b": "integer"}, None)
+    monkeypatch.setattr(drift, "MAX_FIELDS", 1)
+    with pytest.raises(ValueError):
+        drift.union_schema(found, log)
+
+
+def table_of(spark, data):
+    df = spark.createDataFrame(data, SCHEMA)
+    found_shapes = drift.shapes(df)
+    return {r["record_id"]: r.asDict() for r in drift.unified(df, *drift.union_schema(found_shapes, drift.changes(df, found_shapes))).collect()}
+
+
+def test_numbers_keep_their_digits(spark):
+    big, huge = 9007199254740993, 123456789012345678901234567890
+    out = table_of(spark, rows([f'{{"i": {big}, "d": 1.5, "h": {huge}, "m": {big}}}', '{"i": -3, "d": 2, "h": 1, "m": 0.25}']))
+    assert out[0]["i"] == big and out[1]["i"] == -3 and out[0]["d"] == 1.5 and out[1]["d"] == 2.0 and out[1]["m"] == 0.25
+    assert out[0]["h"] is None and out[0]["m"] is None and out[0]["_misfits"] == {"h": str(huge), "m": str(big)}
+
+
+def test_names_of_a_chain_stay_apart_where_they_stand_together(spark):
+    data = rows(['{"proj": "x"}'], ['{"project": "x"}']) + [(7, "both", 0, None, '{"proj": "left", "project": "right"}', "clash", 1), (8, "both", 1, None, '{"proj": "alone"}', "clash", 1), (9, "old", 0, None, '{"proj": "o"}', "clash", 1)]
+    out = table_of(spark, data)
+    assert out[0]["project"] == out[1000]["project"] == "x" and out[0]["proj"] is None and out[9]["project"] == "o"
+    assert (out[7]["proj"], out[7]["project"], out[7]["_misfits"]) == ("left", "right", {})
+    assert (out[8]["proj"], out[8]["project"]) == ("alone", None)
+
+
+def test_every_value_is_in_its_row(spark, small):
+    df = spark.read.parquet(f"{small}/meta_raw.parquet")
+    found_shapes = drift.shapes(df)
+    schema = drift.union_schema(found_shapes, drift.changes(df, found_shapes))
+    kept = {(r["stream"], r["file_no"], r["record_id"]): r.asDict() for r in drift.unified(df, *schema).collect()}
+    for r in df.collect():
+        values = [v for v in drift._record(r["record"]).values()]
+        row = kept[r["stream"], r["file_no"], r["record_id"]]
+        held = [v for k, v in row.items() if k not in ("record_id", "stream", "file_no", "_misfits") and v is not None] + list(row["_misfits"].values())
+        same = sorted(drift.dump(v) if not isinstance(v, str) else v for v in values)
+        read = []
+        for v in held:
+            try:
+                read.append(drift.dump(drift.parse(v)) if isinstance(v, str) and v[:1] in "[{" else v if isinstance(v, str) else drift.dump(v))
+            except ValueError:
+                read.append(v)
+        assert sorted(read) == same
+
+
+def test_log_is_ordered(spark):
+    df = spark.createDataFrame([(*r[:5],) for r in rows(['{"a": 1, "b": 2}'], ['{"a": "x", "c": 2}'], ['{"a": "x"}'])], ", ".join(SCHEMA.split(", ")[:5])).withColumn("file_name", F.concat(F.lit("f"), "file_no"))
+    log = drift.ordered_log(df, drift.changes(df, drift.shapes(df))).collect()
+    assert [tuple(r)[1:7] for r in log] == [(1, 1, "f1", "renamed", "b", "c"), (2, 1, "f1", "retyped", "a", "a"), (3, 2, "f2", "removed", "c", "")]

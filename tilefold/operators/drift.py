@@ -3,7 +3,10 @@
 Each record is read once, in parallel, to its shape, the names and types of its fields; shapes are few, so what is shuffled
 is a record's id and a short text. The header of a file is its fields with their commonest type. Headers are folded through
 a lattice of types (``promote``), renamed fields are followed to one name, and records are cast to the union schema by one
-built-in parse. The change log compares each file with the one before it.
+built-in parse. The change log compares each file with the one before it, in order of streams and files.
+
+Names of a rename chain are one column in every stream but those in which two of them stand in one file: there they are
+fields of their own, and each keeps its own column.
 
 A renamed field needs a shared value: only files with fields that ended or began are read again, and only the values of
 these fields are joined, on stream, file, type and value, each distinct value once, so a common value or a large file does
@@ -11,7 +14,9 @@ not multiply rows.
 
 Defined results: a record that is null, empty, no complete JSON or no object has no fields, but its file exists. Null
 values are no presence. A repeated ``record_id`` in a file counts once (the first by ``written_at``); null ids all count.
-Of equally common types the first of string, number, boolean, list, object is taken. Numbers are equal by value (1 and
+Of equally common types the first of string, number, boolean, list, object is taken. A column of numbers that are all
+whole and within 64 bits is one of integers, any other one of doubles; a number that a double cannot hold to the last digit
+is kept as text (``_misfits``). Numbers are equal by value (1 and
 1.0), lists and objects by content without key order. A key repeated in a record has its last value. Rows with null
 ``stream`` or ``file_no`` stand in no sequence: they are in the table, not in the log. A file whose number has no
 predecessor is compared with nothing. Extra columns are ignored.
@@ -25,7 +30,7 @@ from collections.abc import Iterable, Iterator
 from hashlib import sha256
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tilefold.functions.strict_json import dump, parse
@@ -34,7 +39,8 @@ from tilefold.session import written
 
 # The types of fields, in the order that decides between equally common ones.
 TYPES = ("string", "number", "boolean", "list", "object")
-MAX_FIELDS = 20_000  # of a union schema; a wider one is no table of columns
+WHOLE = "integer"  # in shapes: a number that is whole and within 64 bits
+MAX_FIELDS = 20_000  # of a union schema; a wider one is no table of columns, and is refused
 
 _SHAPE = "record_id bigint, stream string, file_no bigint, written_at timestamp, shape string"
 _VALUE = "stream string, file_no bigint, field string, value string"
@@ -52,6 +58,11 @@ def json_type(value) -> str | None:
     return "list" if isinstance(value, list) else "object"
 
 
+def _shape_type(value) -> str | None:
+    kind = json_type(value)
+    return WHOLE if kind == "number" and isinstance(value, int) and -(1 << 63) <= value < 1 << 63 else kind
+
+
 def _clean(text: str) -> str:
     return text.encode("utf-8", "replace").decode()
 
@@ -67,7 +78,7 @@ def _record(text: str | None) -> dict:
 
 def _shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        shape = [json.dumps({k: json_type(v) for k, v in _record(r).items()}, sort_keys=True) for r in batch.column("record").to_pylist()]
+        shape = [json.dumps({k: _shape_type(v) for k, v in _record(r).items()}, sort_keys=True) for r in batch.column("record").to_pylist()]
         kept = [batch.column(c) for c in ("record_id", "stream", "file_no", "written_at")]
         yield pa.RecordBatch.from_arrays([*kept, pa.array(shape, pa.string())], names=["record_id", "stream", "file_no", "written_at", "shape"])
 
@@ -82,12 +93,17 @@ def shapes(records: DataFrame) -> DataFrame:
 
 
 def headers(found: DataFrame) -> DataFrame:
-    """(stream, file_no, field, type, n) of ``shapes``: the fields of each file with their commonest type."""
+    """(stream, file_no, field, type, n, n_broken) of ``shapes``: the fields of each file with their commonest type.
+
+    ``n_broken`` are the values that are numbers, but no whole ones of 64 bits.
+    """
     rank = F.array_position(F.array(*map(F.lit, TYPES)), F.col("type"))
-    each = found.select("stream", "file_no", "n", F.explode(F.from_json("shape", "map<string,string>")).alias("field", "type"))
-    counts = each.groupBy("stream", "file_no", "field", "type").agg(F.sum("n").alias("n"))
+    each = found.select("stream", "file_no", "n", F.explode(F.from_json("shape", "map<string,string>")).alias("field", "kind"))
+    each = each.withColumn("type", F.when(F.col("kind") == WHOLE, F.lit("number")).otherwise(F.col("kind")))
+    broken = F.sum(F.when(F.col("kind") == "number", F.col("n")).otherwise(0))
+    counts = each.groupBy("stream", "file_no", "field", "type").agg(F.sum("n").alias("n"), broken.alias("n_broken"))
     return counts.groupBy("stream", "file_no", "field").agg(
-        F.max_by("type", F.struct("n", -rank)).alias("type"), F.sum("n").alias("n")
+        F.max_by("type", F.struct("n", -rank)).alias("type"), F.sum("n").alias("n"), F.sum("n_broken").alias("n_broken")
     )
 
 
@@ -161,10 +177,24 @@ def changes(records: DataFrame, found: DataFrame) -> DataFrame:
     )
 
 
+def ordered_log(records: DataFrame, log: DataFrame) -> DataFrame:
+    """``changes`` with the name of the file where each began and its number in the stream, in order of both."""
+    files = records.groupBy("stream", F.col("file_no").cast("bigint").alias("file_no")).agg(F.min("file_name").alias("file_name"))
+    once = log.distinct().join(files, ["stream", "file_no"], "left")
+    order = ["file_no", "change_kind", "old_name", "new_name"]
+    numbered = once.withColumn("change_no", F.row_number().over(Window.partitionBy("stream").orderBy(*order)))
+    return numbered.select("stream", "change_no", "file_no", "file_name", "change_kind", "old_name", "new_name", "old_type", "new_type").orderBy("stream", "change_no")
+
+
 def promote(a: str | None, b: str | None) -> str | None:
-    """Least type of the lattice that holds both: unlike scalars meet in string, anything with a list or object in json."""
+    """Least type of the lattice that holds both.
+
+    Integers are numbers; unlike scalars meet in string, and anything with a list or object in json.
+    """
     if a is None or b is None or a == b:
         return a or b
+    if {a, b} == {WHOLE, "number"}:
+        return "number"
     return "json" if {a, b} & {"list", "object", "json"} else "string"
 
 
@@ -193,32 +223,47 @@ def canonical_names(renames: Iterable[tuple[str, str]], uses: dict[str, int]) ->
     return {x: best[root(x)] for x in parent}
 
 
-def union_schema(found: DataFrame, log: DataFrame) -> tuple[dict[str, list[str]], dict[str, str]]:
-    """(column to its field names, column to its type); collected, as field names and types are a schema, not data."""
-    kinds = headers(found).groupBy("field", "type").agg(F.sum("n").alias("n")).limit(MAX_FIELDS + 1).collect()
+def union_schema(found: DataFrame, log: DataFrame) -> tuple[dict[str, list[str]], dict[str, str], DataFrame | None]:
+    """(column to its field names, column to its type, (stream, column) of chains whose names stay apart there).
+
+    The first two are collected, as names and types are a schema, not data; the last is null if there are none.
+    """
+    spark = found.sparkSession
+    heads = written(headers(found), "headers")
+    kinds = heads.groupBy("field").agg(F.sum("n").alias("n")).limit(MAX_FIELDS + 1).collect()
     if len(kinds) > MAX_FIELDS:
         raise ValueError(f"more than {MAX_FIELDS} fields: no table of columns")
-    uses: Counter = Counter()
-    for r in kinds:
-        uses[r["field"]] += r["n"]
+    uses = {r["field"]: r["n"] for r in kinds}
     pairs = log.filter("change_kind = 'renamed'").select("old_name", "new_name").distinct()
     name = canonical_names(((r[0], r[1]) for r in pairs.toLocalIterator()), uses)
+    chains = spark.createDataFrame([(x, name[x]) for x in uses], "field string, chain string")
+    named = heads.join(chains, "field")
+    split = named.groupBy("stream", "file_no", "chain").agg(F.count("*").alias("k")).filter("k > 1").select("stream", "chain").distinct()
+    split = None if split.isEmpty() else written(split, "split")
+    column = F.col("chain")
+    if split is not None:
+        named = named.join(split.select(F.col("stream").alias("_s"), F.col("chain").alias("_c"), F.lit(True).alias("_split")), F.col("stream").eqNullSafe(F.col("_s")) & (F.col("chain") == F.col("_c")), "left")
+        column = F.when(F.col("_split"), F.col("field")).otherwise(F.col("chain"))
+    rows = named.groupBy(column.alias("column")).agg(F.collect_set("type").alias("types"), F.collect_set("field").alias("fields"), F.sum("n_broken").alias("broken")).collect()
     aliases: dict[str, list[str]] = {}
     types: dict[str, str] = {}
-    for x in sorted(uses):
-        aliases.setdefault(name[x], []).append(x)
-    for r in sorted(kinds):
-        types[name[r["field"]]] = promote(types.get(name[r["field"]]), r["type"])
-    return aliases, types
+    for r in sorted(rows, key=lambda r: r["column"]):
+        aliases[r["column"]] = sorted(r["fields"])
+        kind = None
+        for t in r["types"]:
+            kind = promote(kind, WHOLE if t == "number" and not r["broken"] else t)
+        types[r["column"]] = kind
+    return aliases, types, split
 
 
-def unified(records: DataFrame, aliases: dict[str, list[str]], types: dict[str, str]) -> DataFrame:
+def unified(records: DataFrame, aliases: dict[str, list[str]], types: dict[str, str], split: DataFrame | None = None) -> DataFrame:
     """All records, each record_id of a file once, cast to the union schema; one parse per record.
 
     Keys of the row are (record_id, stream, file_no). A column whose name is taken, also in another letter case, gets a
     ``_`` behind it. A value that its column's type cannot hold is kept as text in the map ``_misfits``. Of several names
     of a rename chain in one record, the column has the value of its own name, else of the first; the others are kept in
-    ``_misfits`` under their names, with a ``_`` behind one that is taken.
+    ``_misfits`` under their names, with a ``_`` behind one that is taken. In the streams of ``split`` (stream, chain) the
+    names of a chain are columns of their own.
     """
     names = sorted({x for xs in aliases.values() for x in xs})
     spellings = Counter(x.lower() for x in names)
@@ -227,6 +272,9 @@ def unified(records: DataFrame, aliases: dict[str, list[str]], types: dict[str,
     base = records.select("record_id", "stream", F.col("file_no").cast("bigint").alias("file_no"), "written_at", "record")
     base = base.withColumn("_own", F.when(F.col("record_id").isNotNull(), F.struct("stream", "file_no", "record_id")))
     rows = one_per_id(base, "_own", "written_at")
+    if split is not None:
+        apart = split.groupBy(F.col("stream").alias("_s")).agg(F.collect_set("chain").alias("_split"))
+        rows = rows.join(apart, F.col("stream").eqNullSafe(F.col("_s")), "left")
     if plain:
         rows = rows.withColumn("_r", F.from_json("record", schema))
     if len(plain) < len(names):  # names that differ only in case are no columns of one struct
@@ -235,7 +283,11 @@ def unified(records: DataFrame, aliases: dict[str, list[str]], types: dict[str,
     def text(name: str):
         return F.col("_r").getField(name) if spellings[name.lower()] == 1 else F.try_element_at("_m", F.lit(name))
 
-    sql = {"number": "double", "boolean": "boolean"}
+    def apart_in(chain: str):
+        return F.coalesce(F.array_contains("_split", chain), F.lit(False))
+
+    chain_of = {x: column for column, xs in aliases.items() if xs != [column] for x in xs}
+    sql = {WHOLE: "bigint", "number": "double", "boolean": "boolean"}
     taken, cols, misfits, further = {"record_id", "stream", "file_no", "_misfits"}, [], [], []
     for column in sorted(aliases):
         label = column
@@ -244,14 +296,24 @@ def unified(records: DataFrame, aliases: dict[str, list[str]], types: dict[str,
         taken.add(label.lower())
         chain = sorted(aliases[column], key=lambda x: (x != column, x))
         value = F.coalesce(*map(text, chain))
+        if split is not None:
+            whole = chain_of.get(column, column)
+            if whole != column:  # a name of a longer chain, a column only where that chain is split
+                value = F.when(apart_in(whole), text(column))
+            elif chain != [column]:
+                value = F.when(apart_in(column), text(column) if column in names else F.lit(None)).otherwise(value)
         further += [(x, F.when(F.coalesce(*map(text, chain[:i])).isNotNull(), text(x))) for i, x in enumerate(chain) if i]
         # the parser reads a number or truth value for a column of text as it is written
         cast = value.try_cast(sql[types[column]]) if types[column] in sql else value
-        if types[column] == "number":
+        if types[column] in (WHOLE, "number"):
             cast = F.when(~value.isin("true", "false"), cast)
+        if types[column] == "number":  # digits that a double does not hold
+            cast = F.when(~value.rlike(r"[0-9][0-9.]{15}") | (cast.try_cast("decimal(38,18)") == value.try_cast("decimal(38,18)")), cast)
         cols.append(cast.alias(label))
         if types[column] in sql:
             misfits.append(F.when(value.isNotNull() & cast.isNull(), F.struct(F.lit(label).alias("k"), value.alias("v"))))
+    if split is not None:
+        further = [(x, F.when(~apart_in(chain_of[x]), value)) for x, value in further]
     for name, value in further:  # taken holds every key so far in lower case
         while name.lower() in taken:
             name += "_"

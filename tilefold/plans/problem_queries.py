@@ -111,14 +111,30 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return log.select("stream", "file_no", "old_name", "new_name", "change_kind").distinct()
 
 
-def p5_unified(spark: SparkSession, d: str) -> DataFrame:
+def p5_log(spark: SparkSession, d: str) -> DataFrame:
+    """The change log in order, with the file where each change began and the types before and after."""
+    records = table(spark, d, "meta_raw")
+    return drift.ordered_log(records, drift.changes(records, drift.shapes(records)))
+
+
+def _unified(spark: SparkSession, d: str) -> DataFrame:
     records = table(spark, d, "meta_raw")
     found = drift.shapes(records)
-    out = drift.unified(records, *drift.union_schema(found, drift.changes(records, found)))
-    return out.withColumn("_misfits", F.to_json("_misfits"))
+    return drift.unified(records, *drift.union_schema(found, drift.changes(records, found)))
+
 
+def p5_unified(spark: SparkSession, d: str) -> DataFrame:
+    return _unified(spark, d).withColumn("_misfits", F.to_json("_misfits"))
+
+
+def p5_filled(spark: SparkSession, d: str) -> DataFrame:
+    """Records and values of each file in the one table: every non-null value of every record is in its row."""
+    rows = _unified(spark, d)
+    values = sum((F.when(F.col(f"`{c}`").isNotNull(), 1).otherwise(0) for c in rows.columns if c not in ("record_id", "stream", "file_no", "_misfits")), F.lit(0))
+    return rows.groupBy("stream", "file_no").agg(F.count("*").alias("n_records"), F.sum(values + F.coalesce(F.size("_misfits"), F.lit(0))).alias("n_values"))
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_tables, p1_objects, p1_roles, p2_found, p2_cells, p2_table, p2_wide, p3_found, p3_loaded, p4_found, p4_members, p4_groups, p5_found, p5_unified)}
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_tables, p1_objects, p1_roles, p2_found, p2_cells, p2_table, p2_wide, p3_found, p3_loaded, p4_found, p4_members, p4_groups, p5_found, p5_log, p5_unified, p5_filled)}
 
 _LINES = r"""
 with one as (
@@ -245,7 +261,18 @@ union all select stream, file_no, field, '', 'removed' from ended e where not ex
 union all select stream, file_no, '', field, 'added' from began b where not exists (select 1 from ren r where r.stream = b.stream and r.file_no = b.file_no and r.new_name = b.field)
 union all select o.stream, o.file_no, o.field, o.field, 'retyped' from old o join new n on n.stream = o.stream and n.file_no = o.file_no and n.field = o.field and n.type <> o.type"""
 
+_LOG = f"""
+  select stream, row_number() over (partition by stream order by file_no, change_kind, old_name, new_name) as change_no, file_no, file_name, change_kind, old_name, new_name, old_type, new_type
+  from (select c.*, f.file_name, o.type as old_type, n.type as new_type from changes c
+    left join (select stream, file_no::bigint as file_no, min(file_name) as file_name from meta_raw group by 1, 2) f on f.stream = c.stream and f.file_no = c.file_no
+    left join heads o on o.stream = c.stream and o.file_no = c.file_no - 1 and o.field = c.old_name
+    left join heads n on n.stream = c.stream and n.file_no = c.file_no and n.field = c.new_name)"""
+
 ORACLE = {
+    "p5_log": _CHANGES[: _CHANGES.index("\nselect *, 'renamed'")] + ",\nchanges as (" + _CHANGES[_CHANGES.index("select *, 'renamed'") :] + ")" + _LOG,
+    "p5_filled": _CHANGES[: _CHANGES.index(",\nkv as")] + """
+        select stream, file_no, count(*) as n_records,
+          sum(case when r is null then 0 else len(list_filter(json_keys(r), lambda k: json_type(json_extract(r, '$."' || k || '"')) <> 'NULL')) end)::bigint as n_values from rec group by 1, 2""",
     "p1_found": _NODES,
     "p1_tables": _TREE
     + """
