@@ -138,9 +138,11 @@ def changes(records: DataFrame, found: DataFrame) -> DataFrame:
     files = found.select("stream", "file_no").distinct()
     later = files.join(files.select("stream", (F.col("file_no") + 1).alias("file_no")), ["stream", "file_no"], "left_semi")
     none = F.lit(None).cast("string")
-    both = heads.select("stream", "file_no", "field", none.alias("old"), F.col("type").alias("new")).unionByName(
-        heads.select("stream", (F.col("file_no") + 1).alias("file_no"), "field", F.col("type").alias("old"), none.alias("new"))
+    # each field of a file stands once as its own and once as the past of the next file
+    sides = F.array(
+        F.struct(F.col("file_no").alias("file_no"), none.alias("old"), F.col("type").alias("new")), F.struct((F.col("file_no") + 1).alias("file_no"), F.col("type").alias("old"), none.alias("new"))
     )
+    both = heads.select("stream", "field", F.explode(sides).alias("s")).select("stream", "field", "s.*")
     diff = both.groupBy("stream", "file_no", "field").agg(F.max("old").alias("old"), F.max("new").alias("new"))
     diff = written(diff.filter("not (old <=> new)").join(later, ["stream", "file_no"], "left_semi"), "diff")
 
