@@ -93,3 +93,20 @@ def test_table_has_every_event_type(spark, small):
     kinds = {r[0] for r in cells.filter("event is not null").select("event").distinct().collect()}
     assert {r[0] for r in features.filled(table).select("event").distinct().collect()} == kinds and len(kinds) > 2
     assert table.count() == cells.select("session").distinct().count()
+
+
+def test_no_table_is_left_in_the_catalog(spark, small):
+    out = features.feature_blocks(spark.read.parquet(f"{small}/metrics.parquet"))
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("tilefold_cells")] and out.count() > 0
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan
+
+
+def test_discard(spark):
+    from tilefold.session import _own_folder, discard, written
+
+    kept = written(spark.range(3).toDF("i"), "kept")
+    files, path, _ = _own_folder(spark)
+    assert kept.count() == 3 and files.exists(path)
+    discard(spark)
+    assert not files.exists(path) and written(spark.range(2).toDF("i"), "again").count() == 2

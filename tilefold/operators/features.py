@@ -17,6 +17,7 @@ seconds or microseconds are brought to milliseconds. Extra columns are ignored.
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import Column, DataFrame
@@ -25,6 +26,9 @@ from pyspark.sql import functions as F
 from tilefold.plans.prefix import one_per_id
 from tilefold.session import new_path
 
+LINES_PER_BUCKET = 1_000_000
+MAX_BUCKETS = 100_000  # what spark.sql.sources.bucketing.maxBuckets allows by default
+
 # The clock of a line is in seconds below the first bound, in microseconds above the second.
 SECONDS_BELOW, MICROS_ABOVE = 100_000_000_000, 100_000_000_000_000
 
@@ -53,26 +57,32 @@ def cells(lines: DataFrame) -> DataFrame:
     )
 
 
+def _buckets(lines: DataFrame) -> int:
+    return min(MAX_BUCKETS, max(lines.sparkSession.sparkContext.defaultParallelism, math.ceil(lines.count() / LINES_PER_BUCKET)))
+
+
+def _bucketed(found: DataFrame, n_blocks: int, n_buckets: int) -> DataFrame:
+    """Cells with their ``block`` (-1 without an event), written partitioned by block and bucketed by session."""
+    spark, conf = found.sparkSession, "spark.sql.hive.manageFilesourcePartitions"
+    name = f"tilefold_cells_{uuid.uuid4().hex[:12]}"
+    block = F.when(F.col("event").isNotNull(), F.pmod(F.xxhash64("event"), F.lit(n_blocks)).cast("int")).otherwise(-1)
+    placed = found.withColumn("block", block).repartition(n_buckets, "session")
+    before = spark.conf.get(conf)
+    spark.conf.set(conf, "false")  # partitions are found by their folders, so the table can leave the catalog
+    try:
+        placed.write.partitionBy("block").bucketBy(n_buckets, "session").sortBy("session").option("path", new_path(spark, "cells")).saveAsTable(name)
+        return spark.table(name)
+    finally:
+        spark.sql(f"drop table if exists {name}")
+        spark.conf.set(conf, before)
+
+
 def feature_blocks(lines: DataFrame, n_blocks: int = 8, n_buckets: int | None = None) -> DataFrame:
     """One row per session: ``session`` and maps ``block_0`` .. ``block_{n-1}`` of event to (n, last_t, total_saved).
 
     A map is null where the session has no event of that block.
     """
-    spark = lines.sparkSession
-    n_buckets = n_buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    name = f"tilefold_cells_{uuid.uuid4().hex[:12]}"
-    block = F.coalesce(F.pmod(F.xxhash64("event"), F.lit(n_blocks)).cast("int"), F.lit(-1))
-    (
-        cells(lines)
-        .withColumn("block", F.when(F.col("event").isNull(), F.lit(-1)).otherwise(block))
-        .repartition(n_buckets, "session")
-        .write.partitionBy("block")
-        .bucketBy(n_buckets, "session")
-        .sortBy("session")
-        .option("path", new_path(spark, "cells"))
-        .saveAsTable(name)
-    )
-    stored = spark.table(name)
+    stored = _bucketed(cells(lines), n_blocks, n_buckets or _buckets(lines))
     out = stored.select("session").distinct()
     for b in range(n_blocks):
         entry = F.struct("event", F.struct("n", "last_t", "total_saved"))

@@ -43,8 +43,26 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{own}"
 
 
+def _own_folder(spark: SparkSession):
+    """(file system, path, text) of what this application writes between steps."""
+    text = f"{shared_dir(spark)}/tilefold/{spark.sparkContext.applicationId}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(text)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path, text
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tilefold/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    """A new folder for an intermediate result. It is deleted when the application ends, or before by ``discard``."""
+    files, path, text = _own_folder(spark)
+    if not files.exists(path):
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+    return f"{text}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def discard(spark: SparkSession) -> None:
+    """Delete all intermediate results now; results that still read them are lost with them."""
+    files, path, _ = _own_folder(spark)
+    files.delete(path, True)
 
 
 def written(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
