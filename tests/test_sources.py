@@ -108,6 +108,17 @@ def test_streaming_residency(spark, tmp_path):
     assert all(isinstance(json.dumps(v), str) for v in got.values())
 
 
+def test_streaming_state_forgets(spark, tmp_path):
+    rows = [(i, "s", i, f"only {i} " + "word " * 30 if i < 8 else "only 0 " + "word " * 30, "log") for i in range(9)]
+    schema = "id bigint, session string, step bigint, text string, content_type string"
+    for r in rows:
+        spark.createDataFrame([r], schema).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+    for keep, resends in ((100, 1), (3, 0)):
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+        got = run_stream(spark, sessions.residency_stream(stream, 60, forget_after=keep), "append", tmp_path, f"forget{keep}")
+        assert {r["id"]: r["evicted_resends"] for r in got}[8] == resends
+
+
 def test_windows_count_files_and_null_ids(spark, tmp_path):
     schema = "file string, line_id bigint, received_at string, event string, session string, raw bigint, shown bigint, saved bigint"
     rows = [(f, i, "2026-01-01 00:10:00", "compress", "s", 0, 0, 1) for f, i in (("a", 0), ("a", 0), ("b", 0), ("a", None), ("a", None))]

@@ -169,10 +169,63 @@ def test_pack_gate_and_ledger(spark):
     blocks = conditional.block_rows(df)
     h = blocks.first()["handle"]
     held = spark.createDataFrame([("t", h, 0), ("s", h, 1)], "session string, handle string, code int")
-    assert {r["id"]: r["seen"] for r in conditional.residency(blocks, held).collect()} == {1: False, 2: True, 3: True}
+    assert {r["id"]: (r["seen"], r["evicted"]) for r in conditional.residency(blocks, held).collect()} == {1: (False, True), 2: (True, False), 3: (True, False)}
+    packed = {r["id"]: (r["delta_hits"], r["evicted_resends"]) for r in conditional.pack(df, held).collect()}
+    assert {i: n for i, (_, n) in packed.items()} == {1: 1, 2: 0, 3: 0}
     proof = spark.createDataFrame([("s", True, "ks2_other"), ("t", False, None)], "session string, ok boolean, handle string")
     rows = {r["id"]: (r["seen"], r["gated"]) for r in conditional.residency(blocks, held, proof).collect()}
     assert rows == {1: (False, False), 2: (False, True), 3: (True, False)}
+    assert {r["id"]: r["evicted_resends"] for r in conditional.pack(df, held, proof).collect()} == {1: 1, 2: 1, 3: 0}
+
+
+def packed_by_loop(text, led, proved):
+    """(known, resends) of the blocks of one text on a ledger handle to code; ``proved`` is None without a gate."""
+    from test_text import handle, log_blocks
+
+    known, resends, new = [], 0, []
+    for b in log_blocks(text):
+        h = handle(b)
+        held, shown = led.get(h) == 0, proved is None or h in proved
+        if held and shown:
+            led |= dict.fromkeys(new, 0)
+            new = []
+            known.append(True)
+        else:
+            resends += led.get(h) == 1 or (held and not shown)
+            known.append(False)
+            new.append(h)
+    led |= dict.fromkeys(new, 0)
+    return known, resends
+
+
+@pytest.mark.parametrize("gated", [False, True])
+def test_resends_against_replay(spark, gated):
+    from test_text import handle, log_blocks
+
+    rows = [(i, "s", i, session_texts(i + 500, 30), "log") for i in range(25)]
+    hs = sorted({handle(b) for r in rows for b in log_blocks(r[3])})
+    led = {h: i % 2 for i, h in enumerate(hs) if i % 3}
+    proved = {h for i, h in enumerate(hs) if i % 4} if gated else None
+    held = spark.createDataFrame([("s", h, c) for h, c in led.items()], "session string, handle string, code int")
+    proof = spark.createDataFrame([("s", True, h) for h in proved], "session string, ok boolean, handle string") if gated else None
+    df = spark.createDataFrame(rows, TEXTS)
+    blocks = conditional.block_rows(df)
+    folded = conditional.statuses(conditional.residency(blocks, held, proof)).select("id", conditional.fold_repeats(F.col("_b")).alias("s")).collect()
+    got = {r["id"]: ([x["known"] for x in r["s"]], sum(x["resent"] for x in r["s"])) for r in folded}
+    want = {r[0]: packed_by_loop(r[3], led, proved) for r in rows}
+    assert got == {i: w for i, w in want.items() if w[0]} and sum(w[1] for w in want.values()) > 20
+
+
+def test_every_printed_handle_is_stored(spark):
+    from test_text import handle
+
+    rows = [(i, "ab"[i % 2], i, session_texts(i, 40) + "\n".join(f"line {j}" for j in range(40 * (i % 3))), ["log", "code"][i % 5 == 0]) for i in range(30)]
+    out = conditional.pack(spark.createDataFrame(rows, TEXTS)).collect()
+    for r in out:
+        stored = {x["handle"]: x["text"] for x in r["stored"]}
+        assert all(handle(t) == h and t in rows[r["id"]][3] for h, t in stored.items()) and set(r["handles"]) == set(stored)
+        assert set(re.findall("ks2_[0-9a-f]{32}", r["view"])) <= set(stored)
+    assert sum("unchanged" in r["view"] for r in out) >= 3 and sum("elided" in r["view"] for r in out) >= 3
 
 
 def test_code_delta_shows_one_changed_function(spark):

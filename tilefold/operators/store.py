@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tilefold.config import HANDLE_PREFIX
 from tilefold.functions import handles as H
 from tilefold.functions.text import as_text, count_lines, log_lines, tokens, tokens_bytes
+from tilefold.operators import recall
 
 TOUCH_SECONDS = 60
 
@@ -19,14 +20,14 @@ TOUCH_SECONDS = 60
 def put(blocks: DataFrame, store: DataFrame | None = None) -> DataFrame:
     """Rows to append for (seq, session, bytes): (handle, shard, bytes, first_session), each content once.
 
-    The first writer in ``seq`` names the session; content that ``store`` has already is left out.
+    The first writer names the session: the least ``seq`` (of any type that has an order), of equal ones the least
+    session. Content that ``store`` has already is left out. Bytes are shuffled once, repeats are dropped before it.
     """
     rows = blocks.filter("bytes is not null").select("seq", "session", "bytes", H.handle(F.col("bytes")).alias("handle"))
-    firsts = rows.groupBy("handle").agg(F.min("seq").alias("seq"))
-    new = rows.join(firsts, ["handle", "seq"], "left_semi").dropDuplicates(["handle"])
+    new = rows.groupBy("handle").agg(F.min(F.struct("seq", F.col("session").isNull(), "session")).alias("_w"), F.first("bytes").alias("bytes"))
     if store is not None:
         new = new.join(store.select("handle"), "handle", "left_anti")
-    return new.select("handle", H.shard(F.col("handle")).alias("shard"), "bytes", F.col("session").alias("first_session"))
+    return new.select("handle", H.shard(F.col("handle")).alias("shard"), "bytes", F.col("_w.session").alias("first_session"))
 
 
 def write(rows: DataFrame, path: str) -> None:
@@ -63,15 +64,16 @@ def get(store: DataFrame, wanted: DataFrame, meta: DataFrame | None = None) -> D
     ``store`` may have a column ``priority`` (0 sharded, 1 flat copies); the first copy wins that fits its handle and,
     where there is readable metadata, that too.
     """
-    keys = wanted.select("handle").distinct().withColumn("shard", H.shard(F.col("handle")))
+    keys = wanted.select("handle").distinct()
     copies = store if "priority" in store.columns else store.withColumn("priority", F.lit(0))
-    found = keys.join(copies.select("handle", "shard", "bytes", "priority"), ["handle", "shard"])
+    # joined by the handle alone, so the bytes need no second shuffle to be grouped by it
+    found = keys.join(copies.select("handle", F.col("shard").alias("_shard"), "bytes", "priority"), "handle").filter(F.col("_shard") == H.shard(F.col("handle")))
     good = H.verify(F.col("handle"), F.col("bytes"))
     if meta is not None:
         found = found.join(meta.select("handle", "sha256", "len"), "handle", "left")
         good = good & F.when(F.col("sha256").isNull() | F.col("len").isNull(), True).otherwise(matches(F.col("sha256"), F.col("len"), F.col("bytes")))
     best = found.filter(good).groupBy("handle").agg(F.min_by("bytes", "priority").alias("bytes"))
-    return keys.select("handle").join(best, "handle", "left")
+    return keys.join(best, "handle", "left")
 
 
 def block_session(wanted: DataFrame, meta: DataFrame) -> DataFrame:
@@ -93,17 +95,26 @@ def size(store: DataFrame, meta: DataFrame | None = None) -> DataFrame:
     return blocks.crossJoin(side).select((F.col("blocks") + F.col("m")).alias("blocks"), (F.col("bytes") + F.col("mb")).alias("bytes"))
 
 
-def expand(store: DataFrame, requests: DataFrame, meta: DataFrame) -> DataFrame:
-    """Metrics rows of whole recalls, (handle, session): tokens charged to who stored the block, else to the caller."""
+def expand(
+    store: DataFrame, requests: DataFrame, meta: DataFrame, lines: tuple[int, int] | None = None, pattern: str | None = None, context: int = 0, caller: str = "api"
+) -> DataFrame:
+    """Metrics rows of recalls, (handle, session): tokens charged to who stored the block, else to who asked.
+
+    The tokens are those of what comes back: all bytes, the lines, or the lines that match. ``mode`` is grep with a
+    pattern, else lines with a range, else whole. A handle that is not stored gives ``ok`` = false and no tokens.
+    ``out`` has what came back.
+    """
     got = get(store, requests, meta)
     who = block_session(requests, meta).withColumnRenamed("session", "_stored")
-    out = requests.join(got, "handle", "left").join(who, "handle", "left")
+    out = requests.join(got, "handle", "left").join(who, "handle", "left").withColumn("out", recall.expand(F.col("bytes"), lines, pattern, context))
     return out.select(
         "handle",
         F.coalesce("_stored", "session").alias("session"),
-        F.when(F.col("bytes").isNull(), F.lit(0)).otherwise(tokens_bytes(F.col("bytes"))).alias("tokens"),
-        F.col("bytes").isNotNull().alias("ok"),
-        F.lit("whole").alias("mode"),
+        F.when(F.col("out").isNull(), F.lit(0)).otherwise(tokens_bytes(F.col("out"))).alias("tokens"),
+        F.col("out").isNotNull().alias("ok"),
+        F.lit("grep" if pattern is not None else "lines" if lines is not None else "whole").alias("mode"),
+        F.lit(caller).alias("caller"),
+        "out",
     )
 
 

@@ -24,7 +24,7 @@ LOG_HEAD, LOG_TAIL, LOG_SLACK, LOG_KEYS, MIN_RUN, KEEP_BYTES = 10, 6, 8, 12, 4,
 CODE_PART = rf"(?={STRUCTURAL_AT}){LINE}|(?:(?!{STRUCTURAL_AT}){LINE})++"
 
 
-_GONE = "array<struct<handle:string,text:string>>"
+GONE = "array<struct<handle:string,text:string>>"  # what markers stand for
 
 
 def log_view(t: Column) -> Column:
@@ -34,7 +34,7 @@ def log_view(t: Column) -> Column:
     """
 
     def whole(ls: Column) -> Column:
-        return F.struct(F.array_join(F.transform(ls, line_text), "\n").alias("view"), F.array().cast(_GONE).alias("elided"))
+        return F.struct(F.array_join(F.transform(ls, line_text), "\n").alias("view"), F.array().cast(GONE).alias("elided"))
 
     def cut(ls: Column, middle: Column, body: Column, keys: Column) -> Column:
         label = F.when(F.size(keys) > 0, F.array(F.lit(f"[{LABEL}: key lines from the elided middle]"))).otherwise(F.array())
@@ -159,8 +159,17 @@ def json_view(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"view": views, "elided": gone})
 
 
-@F.pandas_udf(ArrayType(StringType()))
+@F.pandas_udf(ArrayType(_VIEW))
 def json_views(runs: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """The view of each text of an array; null texts stay null."""
+    """View and elided parts of each text of an array; null texts stay null."""
+    from hashlib import sha256
+
+    def one(t: str | None) -> dict | None:
+        if t is None:
+            return None
+        parts = json_parts(t.encode("utf-8", "surrogatepass"))
+        gone = [{"handle": HANDLE_PREFIX + sha256(x).hexdigest()[:32], "text": x.decode("utf-8", "replace")} for _, x in parts if x is not None]
+        return {"view": "".join(v for v, _ in parts), "elided": gone}
+
     for batch in runs:
-        yield pd.Series([None if ts is None else [None if t is None else "".join(v for v, _ in json_parts(t.encode("utf-8", "surrogatepass"))) for t in ts] for ts in batch], dtype=object)
+        yield pd.Series([None if ts is None else [one(t) for t in ts] for ts in batch], dtype=object)

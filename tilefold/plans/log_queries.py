@@ -10,6 +10,7 @@ from tilefold.functions import text as T
 from tilefold.operators import conditional, decisions, ledger, recall, retention, savings, store, transcripts
 from tilefold.plans.prefix import one_per_id
 from tilefold.plans.text_queries import LOG_BLOCKS, SQL_LINES, sql_handle, sql_lines, sql_log_blocks, sql_log_view, sql_tokens
+from tilefold.session import written
 from tilefold.sources.generate import edit_loop
 from tilefold.sources.tables import spread, table
 
@@ -139,7 +140,7 @@ def store_put(spark: SparkSession, d: str) -> DataFrame:
 
 def store_get(spark: SparkSession, d: str) -> DataFrame:
     """Recall of every page's handle from a store with damaged copies beside the good ones, and of handles not stored."""
-    good = _put(spark, d).withColumn("priority", F.lit(1))
+    good = written(_put(spark, d), "store").withColumn("priority", F.lit(1))
     bad = good.withColumn("bytes", F.concat(c("bytes"), F.encode(F.lit("!"), "UTF-8"))).withColumn("priority", F.lit(0))
     wanted = good.select("handle").unionByName(table(spark, d, "ledger").select("handle").filter("handle is not null"))
     got = store.get(good.unionByName(bad), wanted, store.meta_of(good, NOW))
@@ -147,10 +148,13 @@ def store_get(spark: SparkSession, d: str) -> DataFrame:
 
 
 def store_expand(spark: SparkSession, d: str) -> DataFrame:
-    """Expand lines that recalls of all pages and of unknown handles write, charged to who stored them."""
-    rows = _put(spark, d)
+    """Expand lines that recalls of all pages and of unknown handles write, whole, by lines and by pattern, charged to who stored them."""
+    rows = written(_put(spark, d), "store")
     asked = rows.select("handle").unionByName(table(spark, d, "metrics").select("handle").filter("handle is not null")).distinct()
-    return store.expand(rows, asked.withColumn("session", F.lit("caller")), store.meta_of(rows, NOW))
+    asked, meta = asked.withColumn("session", F.lit("caller")), store.meta_of(rows, NOW)
+    modes = ({}, {"lines": (3, 12)}, {"lines": (2, 40), "pattern": r"[aeiou]+\w?st.$", "caller": "cli"})
+    out = [store.expand(rows, asked, meta, **how).drop("out") for how in modes]
+    return out[0].unionByName(out[1]).unionByName(out[2])
 
 
 def store_inspect(spark: SparkSession, d: str) -> DataFrame:
@@ -190,29 +194,29 @@ def recall_literal(spark: SparkSession, d: str) -> DataFrame:
 
 
 def delta_residency(spark: SparkSession, d: str) -> DataFrame:
-    return conditional.residency(conditional.block_rows(_texts(spark, d))).select("id", "block_no", "handle", "seen")
+    return conditional.residency(written(conditional.block_rows(_texts(spark, d)), "blocks")).select("id", "block_no", "handle", "seen")
 
 
 def delta_pack(spark: SparkSession, d: str) -> DataFrame:
     """Every page packed against what its source has shown before."""
-    return conditional.pack(_texts(spark, d)).drop("view")
+    return conditional.pack(_texts(spark, d)).drop("view", "handles", "stored")
 
 
 def delta_budget(spark: SparkSession, d: str) -> DataFrame:
     """The same with a token budget per source, replayed in order."""
-    return conditional.session_fold(_texts(spark, d), BUDGET).drop("view")
+    return conditional.session_fold(_texts(spark, d), BUDGET).drop("view", "handles", "stored")
 
 
 def delta_json(spark: SparkSession, d: str) -> DataFrame:
     """Every JSON record packed against what its stream has shown before."""
     rows = one_per_id(table(spark, d, "meta_raw").select("record_id", "stream", "written_at", "record").filter("record_id is not null"), "record_id", "written_at")
     texts = rows.select(c("record_id").alias("id"), c("stream").alias("session"), c("record_id").alias("step"), c("record").alias("text"), F.lit("json").alias("content_type"))
-    return conditional.pack(texts).drop("view")
+    return conditional.pack(texts).drop("view", "handles", "stored")
 
 
 def delta_gated(spark: SparkSession, d: str) -> DataFrame:
     """The same with a transcript that proves only blocks of odd hash."""
-    blocks = conditional.block_rows(_texts(spark, d))
+    blocks = written(conditional.block_rows(_texts(spark, d)), "blocks")
     odd = F.substring("handle", 36, 1).isin(*"13579bdf")
     proof = blocks.select("session", F.lit(True).alias("ok"), F.when(odd, c("handle")).alias("handle"))
     out = conditional.residency(blocks, proof=proof)
@@ -235,7 +239,43 @@ def delta_versions(spark: SparkSession, d: str) -> DataFrame:
     docs = spread(table(spark, d, "documents").select(c("doc_id").cast("string").alias("session"), c("doc_id"), "text"))
     old = docs.select((c("doc_id") * 2).alias("id"), "session", F.lit(0).alias("step"), "text", F.lit("log").alias("content_type"))
     new = docs.select((c("doc_id") * 2 + 1).alias("id"), "session", F.lit(1).alias("step"), F.concat(F.lit("Running 1\n\n"), "text").alias("text"), F.lit("log").alias("content_type"))
-    return conditional.pack(old.unionByName(new)).filter("step = 1").drop("view")
+    return conditional.pack(old.unionByName(new)).filter("step = 1").drop("view", "handles", "stored")
+
+
+def _recalled_handles(packed: DataFrame) -> DataFrame:
+    """(id, handle, n_bytes) of every handle that a view prints, read back from the store of all that was packed."""
+    packed = written(packed.select("id", "session", "step", "view", "stored"), "packed")
+    kept = written(store.put(conditional.stored_rows(packed)), "store")
+    named = packed.select("id", F.explode(F.array_distinct(H.handles_in(c("view")))).alias("handle"))
+    got = store.get(kept, named, store.meta_of(kept, NOW)).select("handle", F.octet_length("bytes").alias("n_bytes"))
+    return named.join(got, "handle", "left").select("id", "handle", "n_bytes")
+
+
+def delta_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Every handle in the views of ``delta_pack`` with the bytes that its recall gives."""
+    return _recalled_handles(conditional.pack(_texts(spark, d)))
+
+
+def _ledger_and_proof(texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Blocks of ``texts``; a ledger that holds those whose handle ends in 0 to 4, and in 5 to 9 as evicted; a transcript without those that end in 0."""
+    blocks = written(conditional.block_rows(texts), "blocks")
+    last = F.substring("handle", 36, 1)
+    held = blocks.select("session", "handle").distinct()
+    ledger = held.select("session", "handle", F.when(last.isin(*"01234"), 0).when(last.isin(*"56789"), 1).alias("code")).filter("code is not null")
+    return blocks, ledger, held.select("session", F.lit(True).alias("ok"), F.when(last != "0", c("handle")).alias("handle"))
+
+
+def delta_ledger(spark: SparkSession, d: str) -> DataFrame:
+    """``delta_pack`` on a ledger with resident and evicted blocks: evicted ones are sent again and counted."""
+    texts = _texts(spark, d)
+    blocks, held, _ = _ledger_and_proof(texts)
+    return conditional.pack_blocks(texts, blocks, held).drop("view", "handles", "stored")
+
+
+def delta_proof(spark: SparkSession, d: str) -> DataFrame:
+    """The same behind a transcript that does not prove some resident blocks."""
+    texts = _texts(spark, d)
+    return conditional.pack_blocks(texts, *_ledger_and_proof(texts)).drop("view", "handles", "stored")
 
 
 def bench_loop(spark: SparkSession, d: str) -> DataFrame:
@@ -243,7 +283,8 @@ def bench_loop(spark: SparkSession, d: str) -> DataFrame:
     from tilefold.operators.structural import view
 
     texts = edit_loop(spark)
-    stateless = texts.select("id", T.tokens(view(c("text"), c("content_type"))["view"]).alias("stateless_tokens"))
+    # an Arrow function cannot stand inside the token estimate's lambdas, so views are a column of their own first
+    stateless = texts.select("id", view(c("text"), c("content_type")).alias("v")).select("id", T.tokens(c("v.view")).alias("stateless_tokens"))
     packed = conditional.pack(texts).select("id", "raw_tokens", "shown_tokens", "delta_hits")
     return packed.join(stateless, "id").groupBy((F.floor(c("id") / 2) + 1).alias("iteration")).agg(
         F.sum("raw_tokens").alias("raw"), F.sum("stateless_tokens").alias("stateless"), F.sum("shown_tokens").alias("conditional"), F.sum("delta_hits").alias("unchanged"))
@@ -255,7 +296,7 @@ QUERIES = {
         savings_sessions, savings_ranked, savings_summary, savings_latest, savings_status, events_savings, ledger_state, ledger_tokens, ledger_budget,
         ledger_marked, retention_gc, retention_kept, retention_coverage, store_touch, transcript_scan, decision_tail, decision_reasons, store_put,
         store_get, store_expand, store_inspect, store_size, store_deleted, recall_lines, recall_grep, recall_context, recall_literal, delta_residency,
-        delta_pack, delta_json, delta_budget, delta_gated, delta_restored, delta_versions, bench_loop,
+        delta_pack, delta_recall, delta_ledger, delta_proof, delta_json, delta_budget, delta_gated, delta_restored, delta_versions, bench_loop,
     )
 }
 
@@ -301,38 +342,63 @@ def _recall_sql(cond: str, where: str = "true") -> str:
         select d.doc_id, sha256(coalesce(string_agg(x, chr(10) order by i), '')) as part from documents d left join (select * from m where hit) m using (doc_id) group by d.doc_id"""
 
 
-def _pack_sql(texts: str) -> str:
-    """Packed views of ``texts`` (id, session, step, text): past by window, repeats by a fold over the blocks of a text."""
+def _pack_sql(texts: str, held: str = "null", proved: str = "true", out: str = "") -> str:
+    """Packed views of ``texts`` (id, session, step, text): past by window, repeats by a fold over the blocks of a text.
+
+    ``held`` is the ledger's code of a handle and ``proved`` whether the transcript shows it, as SQL over ``handle``.
+    """
     return f"""
         with recursive {texts}, {sql_lines('texts', 'id')}, {sql_log_blocks('lines')},
         h as (select t.id, t.session, t.step, block_no, block, {sql_handle('block')} as handle from blocks b join texts t on t.id = b.doc_id),
-        past as (select *, min(step) over (partition by session, handle) < step as seen, min(block_no) over (partition by id, handle) as first from h),
+        past as (
+          select *, min(step) over (partition by session, handle) < step or coalesce(({held}) = 0, false) as held, not ({proved}) as barred,
+            coalesce(({held}) = 1, false) and not min(step) over (partition by session, handle) < step as evicted, min(block_no) over (partition by id, handle) as first from h),
         fold as (
-          select id, -1::bigint as block_no, -1::bigint as last, null::boolean as known from texts
+          select id, -1::bigint as block_no, -1::bigint as last, null::boolean as known, null::boolean as resent from texts
           union all
-          select p.id, p.block_no, case when seen or first < last then p.block_no else last end, seen or first < last from fold f join past p on p.id = f.id and p.block_no = f.block_no + 1),
-        status as (select p.id, p.block_no, block, known from past p join fold f on f.id = p.id and f.block_no = p.block_no),
+          select p.id, p.block_no, case when (held or first < last) and not barred then p.block_no else last end, (held or first < last) and not barred,
+            case when held or first < last then barred else evicted end from fold f join past p on p.id = f.id and p.block_no = f.block_no + 1),
+        status as (select p.id, p.block_no, block, known, resent from past p join fold f on f.id = p.id and f.block_no = p.block_no),
         cut as (select *, known is distinct from lag(known) over (partition by id order by block_no) as edge from status),
         numbered as (select *, sum(edge::int) over (partition by id order by block_no) as run from cut),
-        runs as (select id, run, bool_and(known) as known, count(*) as n, string_agg(block, '' order by block_no) as text from numbered group by id, run),
+        runs as (select id, run, bool_and(known) as known, count(*) as n, count(*) filter (resent) as resent, string_agg(block, '' order by block_no) as text from numbered group by id, run),
         fresh as (select id || ':' || run as id, text from runs where not known),
         {sql_lines('fresh', 'id', 'run_lines')}, {sql_log_view('r', 'run_lines')}, {sql_log_view('w', 'lines')},
         shown as (
-          select r.id, run, n, known, case when known then '[Tilefold: ' || (length(text) - length(replace(text, chr(10), '')) + case when ends_with(text, chr(10)) then 0 else 1 end)
+          select r.id, run, n, known, resent, case when known then '[Tilefold: ' || (length(text) - length(replace(text, chr(10), '')) + case when ends_with(text, chr(10)) then 0 else 1 end)
             || ' lines unchanged · recall ' || {sql_handle('text')} || ']' else coalesce(v.view, '') end as view
           from runs r left join rviews v on v.doc_id = r.id || ':' || run),
-        cond as (select id, count(*) as runs, sum(n)::bigint as blocks, coalesce(sum(n) filter (known), 0)::bigint as hits, string_agg(view, chr(10) order by run) as view from shown group by id),
+        cond as (
+          select id, count(*) as runs, sum(n)::bigint as blocks, coalesce(sum(n) filter (known), 0)::bigint as hits, sum(resent)::bigint as resent, string_agg(view, chr(10) order by run) as view
+          from shown group by id),
         sized as (
-          select t.id, session, step, {sql_tokens('text')} as raw, coalesce(runs, 0) as runs, coalesce(blocks, 0) as blocks, coalesce(hits, 0) as hits,
-            {sql_tokens("coalesce(cond.view, '')")} as c, {sql_tokens("coalesce(w.view, '')")} as s
+          select t.id, session, step, text, {sql_tokens('text')} as raw, coalesce(runs, 0) as runs, coalesce(blocks, 0) as blocks, coalesce(hits, 0) as hits, coalesce(resent, 0) as resent,
+            coalesce(cond.view, '') as cview, coalesce(w.view, '') as sview, {sql_tokens("coalesce(cond.view, '')")} as c, {sql_tokens("coalesce(w.view, '')")} as s
           from (select id, session, step, coalesce(text, '') as text from texts) t left join cond on cond.id = t.id left join wviews w on w.doc_id = t.id),
         best as (select *, runs > 1 and s < c as stateless, case when runs > 1 and s < c then s else c end as b from sized)
+        """ + (out or """
         select id, session, step, case when b > raw then 'raw' when stateless then 'stateless' else 'conditional' end as choice, raw as raw_tokens, least(b, raw) as shown_tokens,
-          raw - least(b, raw) as saved_tokens, case when b > raw or stateless then 0 else hits end as delta_hits, 0 as evicted_resends, blocks, runs from best"""
+          raw - least(b, raw) as saved_tokens, case when b > raw or stateless then 0 else hits end as delta_hits, case when b > raw or stateless then 0 else resent end as evicted_resends, blocks, runs from best""")
+
+
+_DOC_TEXTS = f"texts as (select doc_id as id, {_SRC} as session, doc_id as step, text from documents)"
+_LAST = "right(handle, 1)"
+_HELD = f"case when {_LAST} in ('0', '1', '2', '3', '4') then 0 when {_LAST} in ('5', '6', '7', '8', '9') then 1 end"
+#: The parts that markers can stand for, and those whose handle the chosen view prints.
+_PRINTED = f"""
+        , parts as (
+          select id, text as part from runs where known
+          union all select split_part(doc_id, ':', 1)::bigint, body from rmid
+          union all select doc_id, body from wmid)
+        select distinct p.id, {sql_handle('part')} as handle, strlen(part) as n_bytes
+        from parts p join best b on b.id = p.id where contains(case when b.b > raw then text when stateless then sview else cview end, {sql_handle('part')})"""
 
 
 ORACLE = {
-    "delta_pack": _pack_sql(f"texts as (select doc_id as id, {_SRC} as session, doc_id as step, text from documents)"),
+    "delta_pack": _pack_sql(_DOC_TEXTS),
+    "delta_recall": _pack_sql(_DOC_TEXTS, out=_PRINTED),
+    "delta_ledger": _pack_sql(_DOC_TEXTS, _HELD),
+    "delta_proof": _pack_sql(_DOC_TEXTS, _HELD, f"{_LAST} <> '0'"),
     "delta_versions": "select * from (" + _pack_sql("""texts as (
         select doc_id * 2 as id, doc_id::varchar as session, 0 as step, text from documents
         union all select doc_id * 2 + 1, doc_id::varchar, 1, 'Running 1' || chr(10) || chr(10) || text from documents)""") + ") where step = 1",
@@ -415,9 +481,17 @@ ORACLE = {
         with s as (select distinct {sql_handle('text')} as handle, strlen(text) as len from documents where text is not null)
         select handle, len from (select handle from s union select handle from ledger where handle is not null) left join s using (handle)""",
     "store_expand": f"""
-        with s as (select {sql_handle('text')} as handle, {_SRC} as src, {sql_tokens('text')} as tokens, row_number() over (partition by text order by doc_id) as k from documents),
-        a as (select handle from s union select handle from metrics where handle is not null)
-        select a.handle, coalesce(src, 'caller') as session, coalesce(tokens, 0) as tokens, s.handle is not null as ok, 'whole' as mode from a left join (select * from s where k = 1) s on s.handle = a.handle""",
+        with s as (select text, {sql_handle('text')} as handle, {_SRC} as src, row_number() over (partition by text order by doc_id) as k from documents where text is not null),
+        p as (select text, src, handle, string_split(text, chr(10)) as p from s where k = 1),
+        x as (select handle, i, p[i] as x from p, unnest(range(1, len(p) + 1)) as u(i)),
+        part as (
+          select handle, src, text as out, 'whole' as mode, 'api' as caller from p
+          union all select p.handle, src, coalesce(string_agg(x, chr(10) order by i), ''), 'lines', 'api' from p left join x on x.handle = p.handle and i between 3 and 12 group by 1, 2
+          union all select p.handle, src, coalesce(string_agg(x, chr(10) order by i), ''), 'grep', 'cli'
+            from p left join x on x.handle = p.handle and i between 2 and 40 and regexp_matches(lower(x), '[aeiou]+[A-Za-z0-9_]?st[^\\n]$') group by 1, 2),
+        a as (select handle, mode, caller from (select handle from s union select handle from metrics where handle is not null), (values ('whole', 'api'), ('lines', 'api'), ('grep', 'cli')) m(mode, caller))
+        select a.handle, coalesce(src, 'caller') as session, coalesce({sql_tokens('out')}, 0) as tokens, part.handle is not null as ok, a.mode, a.caller
+        from a left join part on part.handle = a.handle and part.mode = a.mode""",
     "store_inspect": f"""
         with {SQL_LINES},
         n as (select doc_id, count(*) as n, string_agg(regexp_replace(x, case when i < 1000000 then '\r$' else '' end, ''), chr(10) order by i) filter (i <= 3) as preview from lines group by doc_id)

@@ -192,7 +192,7 @@ def gen_manifest(spark: SparkSession, d: str) -> DataFrame:
 def view_cache(spark: SparkSession, d: str) -> DataFrame:
     path = F.when(c("doc_id") % 2 == 0, F.format_string("/p/%d.md", c("doc_id"))).otherwise(F.format_string("/p/%d.txt", c("doc_id")))
     v = documents.cache_view(path, c("text"))
-    return _docs(spark, d).select("doc_id", T.tokens(v).alias("shown"), T.count_lines(v).alias("n_lines"))
+    return _docs(spark, d).select("doc_id", v.alias("v")).select("doc_id", T.tokens(c("v")).alias("shown"), T.count_lines(c("v")).alias("n_lines"))
 
 
 def sink_sidecars(spark: SparkSession, d: str) -> DataFrame:

@@ -42,10 +42,12 @@ def windowed_savings(lines: DataFrame, window: str = "1 hour", delay: str = "2 h
 _OUT = "session string, id bigint, step bigint, known array<boolean>, evicted_resends bigint, evicted bigint, resident_tokens bigint"
 
 
-def residency_stream(texts: DataFrame, budget: int = DEFAULT_BUDGET, idle: str | None = None) -> DataFrame:
+def residency_stream(texts: DataFrame, budget: int = DEFAULT_BUDGET, idle: str | None = None, forget_after: int = 10_000) -> DataFrame:
     """Residency of each block of a stream of (id, session, step, text, content_type), in steps order inside a batch.
 
-    State is one ledger per session, kept within the budget; with ``idle`` it is dropped after so long without input (for
+    State is one ledger per session: what is resident within the budget, and what was evicted less than ``forget_after``
+    steps ago, so it does not grow with the stream (a block that was forgotten is new, not a re-send, when it comes again).
+    With ``idle`` it is dropped after so long without input (for
     streams that run on, as each trigger then also looks for idle sessions). Only handles reach the state function; views
     come from joining its output with the texts (``conditional.view_packed``).
     """
@@ -59,11 +61,12 @@ def residency_stream(texts: DataFrame, budget: int = DEFAULT_BUDGET, idle: str |
         if state.hasTimedOut:
             state.remove()
             return
-        ledger = pickle.loads(state.get[0]) if state.exists else {}
+        ledger = conditional.Ledger(pickle.loads(state.get[0]) if state.exists else {})
         pdf = pd.concat(list(batches)).sort_values(["step", "id"], kind="stable")
         steps = list(zip(pdf["id"], pdf["step"], pdf["handles"], pdf["weights"]))
         rows = [(key[0], i, s[1], *r) for s, (i, *r) in zip(steps, conditional.fold_session(ledger, iter(steps), budget))]
-        state.update((pickle.dumps(ledger),))
+        last = int(pdf["step"].max())
+        state.update((pickle.dumps({h: e for h, e in ledger.entries.items() if e[0] == 0 or e[1] > last - forget_after}),))
         if wait:
             state.setTimeoutDuration(wait)
         yield pd.DataFrame(rows, columns=[c.split()[0] for c in _OUT.split(", ")])
