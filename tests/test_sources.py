@@ -23,6 +23,34 @@ def test_metrics_file(spark, tmp_path):
     assert records.metrics(spark, str(tmp_path / "bad.jsonl")).count() == 0 and records.metrics(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_odd_metrics_lines(spark, tmp_path):
+    deep = '{"event":"x","a":' + "[" * 300 + "]" * 300 + "}"
+    lines = ['{"event":"compress","session":"a","raw":7,"raw":9}', '{"event":"compress","session":5,"raw":"8"}', '{"event":"expand"} tail', deep, '{"event":"e","session":"s","session":{"x":1}}\r']
+    (tmp_path / "m.jsonl").write_text("\n".join(lines))
+    rows = records.metrics(spark, str(tmp_path / "m.jsonl")).orderBy("line_id").collect()
+    assert [(r["line_id"], r["event"], r["session"], r["raw"]) for r in rows if r["event"] != "x"] == [(0, "compress", "a", 7), (1, "compress", None, None), (2, "expand", None, None), (4, "e", "s", None)]
+
+
+def test_lines_are_numbered_over_splits(spark, tmp_path):
+    for name, n in (("a.jsonl", 3000), ("b.jsonl", 10), ("c.jsonl", 0)):
+        (tmp_path / name).write_text("".join(f"{name} {i}\n" for i in range(n)))
+    (tmp_path / "d.jsonl").write_bytes(b"ok\n" * 2000 + b"\xff\n" + b"ok\n" * 10)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        rows = records._lines(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted((r["line"], r["line_no"]) for r in rows) == sorted((f"{n} {i}", i) for n, k in (("a.jsonl", 3000), ("b.jsonl", 10)) for i in range(k))
+
+
+def test_set_key(spark):
+    from tilefold.functions import json_fields
+
+    df = spark.createDataFrame([('{"a": 1, "b": {"c": 2}, "a": 3}',), ("[1]",), ("{bad",), (None,), ("{}",)], "r string")
+    got = [r[0] for r in df.select(json_fields.set_key(F.col("r"), "b", F.lit('"x"'))).collect()]
+    assert got == ['{"a":1,"b":"x"}', None, None, None, '{"b":"x"}']
+
+
 def test_ledger_file(spark, tmp_path):
     text = "a\t0\t1\t5\nb\t1\t2\t6\textra\nshort\t1\nc\t256\t1\t1\nd\t-1\t1\t1\ne\t 0\t1\t1\nf\t+0\t1\t1\na\t1\t3\t7\n"
     (tmp_path / "s.tsv").write_text(text)

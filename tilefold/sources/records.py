@@ -5,38 +5,52 @@ Readers never fail on a bad line; what a format calls unreadable is left out, mi
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from tilefold.functions.handles import sidecar_path
-from tilefold.functions.text import log_lines
+from tilefold.functions.json_fields import boolean_of, number_of, string_of, tolerant
 from tilefold.operators.decisions import REASONS
 from tilefold.operators.documents import pack_document
+from tilefold.session import written
 
-METRICS = (
-    "t double, event string, session string, raw double, shown double, saved double, delta_hits double, evicted double, "
-    "handle string, tokens double, ok boolean, mode string, caller string"
-)
-DECISIONS = "t double, reason string, path string, bytes double, raw_tokens double, view_tokens double, redirect_to string, note string"
-META = "sha256 string, len double, created double, accessed double, ct string, source string, session string, project string"
+METRICS = {
+    "number": ("t", "raw", "shown", "saved", "delta_hits", "evicted", "tokens"), "string": ("event", "session", "handle", "mode", "caller"), "boolean": ("ok",),
+}
+DECISIONS = {"number": ("t", "bytes", "raw_tokens", "view_tokens"), "string": ("reason", "path", "redirect_to", "note")}
+META = {"number": ("len", "created", "accessed"), "string": ("sha256", "ct", "source", "session", "project")}
+_READERS = {"number": number_of, "string": string_of, "boolean": boolean_of}
+MOST_BLOCKS = 100_000  # of files, whose places are sent to all tasks; beyond that they are joined by shuffle
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line_no, line) of text files, numbered inside each file, feeds and carriage returns dropped."""
+    """(file, line_no, line) of text files, numbered from 0 inside each file, feeds and carriage returns dropped.
+
+    Files are read in splits. The number of a line is its place in its split behind the lines of the splits before it;
+    only the counts of splits are shuffled. A file with a byte that is no UTF-8 is left out as a whole.
+    """
     try:
-        files = spark.read.format("binaryFile").load(path)
+        text = spark.read.option("lineSep", "\n").text(path)
     except AnalysisException:
-        return spark.createDataFrame([], "file string, line_no int, line string")
-    text = F.col("content").cast("string")
-    good = files.filter(F.is_valid_utf8(text))
-    return good.select(F.col("path").alias("file"), F.posexplode(log_lines(text)).alias("line_no", "line"))
-
-
-def _record(lines: DataFrame, schema: str, numbers: tuple[str, ...]) -> DataFrame:
-    rows = lines.withColumn("_r", F.from_json("line", schema, {"mode": "PERMISSIVE"})).filter(F.try_parse_json("line").isNotNull())
-    rows = rows.select("file", "line_no", "_r.*")
-    return rows.withColumns({c: F.col(c).cast("bigint") for c in numbers})
+        return spark.createDataFrame([], "file string, line_no bigint, line string")
+    at = F.col("_metadata.file_path"), F.col("_metadata.file_block_start")
+    rows = text.select(at[0].alias("file"), at[1].alias("_block"), F.monotonically_increasing_id().alias("_at"), "value")
+    rows = rows.withColumn("line", F.when(F.col("value").endswith("\r"), F.expr("substr(value, 1, char_length(value) - 1)")).otherwise(F.col("value")))
+    blocks = rows.groupBy("file", "_block").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"), F.bool_and(F.is_valid_utf8("value")).alias("_ok"))
+    by_file = Window.partitionBy("file")
+    before = F.coalesce(F.sum("_n").over(by_file.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = written(blocks.withColumns({"_before": before, "_good": F.bool_and("_ok").over(by_file)}).filter("_good").select("file", "_block", "_first", "_before"), "splits")
+    if blocks.count() <= MOST_BLOCKS:
+        blocks = F.broadcast(blocks)
+    numbered = rows.select("file", "_block", "_at", "line").join(blocks, ["file", "_block"])
+    return numbered.select("file", (F.col("_before") + F.col("_at") - F.col("_first")).alias("line_no"), "line")
+
+
+def _record(lines: DataFrame, fields: dict[str, tuple[str, ...]]) -> DataFrame:
+    """The fields of each line that begins with a JSON value; a field of another type is null."""
+    rows = lines.select("file", "line_no", tolerant(F.col("line")).alias("_v")).filter("_v is not null")
+    return rows.select("file", "line_no", *(_READERS[kind](F.col("_v"), name).alias(name) for kind, names in fields.items() for name in names))
 
 
 def blobs(spark: SparkSession, path: str) -> DataFrame:
@@ -46,17 +60,17 @@ def blobs(spark: SparkSession, path: str) -> DataFrame:
 
 def metrics(spark: SparkSession, path: str) -> DataFrame:
     """Metrics lines; a line that is no JSON is left out, numbers are cut to integers, a file that is no UTF-8 is empty."""
-    return _record(_lines(spark, path), METRICS, ("t", "raw", "shown", "saved", "delta_hits", "evicted", "tokens")).withColumn("line_id", F.col("line_no").cast("bigint"))
+    return _record(_lines(spark, path), METRICS).withColumn("line_id", F.col("line_no"))
 
 
 def decisions(spark: SparkSession, path: str) -> DataFrame:
-    rows = _record(_lines(spark, path), DECISIONS, ("t", "bytes", "raw_tokens", "view_tokens")).withColumn("entry_id", F.col("line_no").cast("bigint"))
+    rows = _record(_lines(spark, path), DECISIONS).withColumn("entry_id", F.col("line_no"))
     return rows.filter(F.col("t").isNotNull() & F.col("reason").isin(*REASONS))
 
 
 def meta(spark: SparkSession, path: str) -> DataFrame:
     """Sidecar records: sha256 and len are required, times default to 0."""
-    rows = _record(_lines(spark, path), META, ("len", "created", "accessed")).filter("sha256 is not null and len is not null")
+    rows = _record(_lines(spark, path), META).filter("sha256 is not null and len is not null")
     return rows.withColumnRenamed("ct", "content_type").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("created", "accessed")})
 
 
@@ -65,7 +79,7 @@ def ledger(spark: SparkSession, path: str) -> DataFrame:
     f = F.split("line", "\t", -1)
     number = lambda i: F.when(F.get(f, F.lit(i)).rlike(r"\A\+?[0-9]++\z"), F.get(f, F.lit(i)).try_cast("bigint"))
     rows = _lines(spark, path).select(
-        F.regexp_extract("file", r"([^/]*?)(?:\.tsv)?\z", 1).alias("session"), F.col("line_no").cast("bigint").alias("line_id"),
+        F.regexp_extract("file", r"([^/]*?)(?:\.tsv)?\z", 1).alias("session"), F.col("line_no").alias("line_id"),
         f[0].alias("handle"), number(1).alias("code"), number(2).alias("step"), number(3).alias("tokens"),
     )
     return rows.filter("code <= 255 and step is not null and tokens is not null")
@@ -73,7 +87,7 @@ def ledger(spark: SparkSession, path: str) -> DataFrame:
 
 def transcript(spark: SparkSession, path: str) -> DataFrame:
     """(session, line_no, line) of transcript files, one session per file."""
-    return _lines(spark, path).select(F.regexp_extract("file", r"([^/]*?)(?:\.jsonl)?\z", 1).alias("session"), F.col("line_no").cast("bigint").alias("line_no"), "line")
+    return _lines(spark, path).select(F.regexp_extract("file", r"([^/]*?)(?:\.jsonl)?\z", 1).alias("session"), "line_no", "line")
 
 
 def append_jsonl(rows: DataFrame, path: str) -> None:
