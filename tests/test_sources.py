@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+import re
+import shutil
 
+import pytest
 from pyspark.sql import functions as F
 
 from tilefold.api import Engine
 from tilefold.config import EngineConfig
-from tilefold.operators import savings
+from tilefold.operators import ledger as ledgers
+from tilefold.operators import savings, transcripts
+from tilefold.reports import decisions_report
 from tilefold.sources import records
 from tilefold.streaming import sessions
 
@@ -88,18 +94,104 @@ def test_engine(spark, tmp_path):
     by = {r["id"]: r for r in again}
     assert first["delta_hits"] == 0 and by[2]["delta_hits"] == by[2]["blocks"] and by[3]["delta_hits"] == 0 and by[2]["shown_tokens"] < first["shown_tokens"] / 3
     block = engine.store().first()
-    assert engine.expand_handle(block["handle"]) == bytes(block["bytes"]) and engine.expand_handle("ks2_" + "0" * 32) is None
+    assert engine.expand_handle(block["handle"]) == bytes(block["bytes"]) and engine.expand_handle("ks2_" + "0" * 32, session="me") is None
+    printed = {h for r in [first, *again] for h in re.findall("ks2_[0-9a-f]{32}", r["view"])}
+    stored = {r["handle"]: bytes(r["bytes"]) for r in engine.store().collect()}
+    assert printed and printed <= set(stored) and all("ks2_" + hashlib.sha256(b).hexdigest()[:32] == h for h, b in stored.items())
+    whole = re.search("unchanged . recall (ks2_[0-9a-f]{32})", by[2]["view"])[1]
+    assert engine.expand_handle(whole, session="other") == text.encode()
+    assert engine.expand_handle(whole, (1, 2)) == b"\n".join(text.encode().split(b"\n")[:2]) and b"paragraph 7" in engine.expand_handle(whole, pattern="paragraph 7", caller="cli")
+    lines = engine.metrics().collect()
+    assert [(r["session"], r["mode"], r["caller"]) for r in lines if r["event"] == "expand" and r["handle"] == whole] and {r["mode"] for r in lines if r["event"] == "expand"} == {"whole", "lines", "grep"}
+    assert {r["session"] for r in lines if r["event"] == "expand" and r["ok"]} == {"s"} and sum(r["event"] == "compress" for r in lines) == 3
+    assert engine.meta().filter("session = 's'").count() > 0 and savings.sessions(engine.metrics()).filter("session = 's'").first()["refetched"] > 0
+    assert "no such handle" in engine.call("inspect", handle="ks2_x") and "n_lines: 23" in engine.call("inspect", handle=whole) and "net" in engine.call("metrics") and engine.call("expand", handle=whole) == text
+    assert engine.status().first()["latest_session"] in ("s", "t") and engine.packs().count() == 3
     gone = engine.ledger().filter("session = 's'").select("session", "handle").limit(1)
     handle = gone.first()["handle"]
     engine.evict(spark.createDataFrame([("s", handle)], "session string, handle string"))
     assert engine.ledger().filter(F.col("session") == "s").filter("code = 1").count() == 1
     engine.record_residency(spark.createDataFrame([("s", handle, 9)], "session string, handle string, step bigint"))
     assert engine.ledger().filter("code = 1").count() == 0
+    kept, state = engine.version(), engine.ledger().orderBy("session", "handle").collect()
+    true, ledgers.enforce_budget = ledgers.enforce_budget, None
+    try:
+        with pytest.raises(TypeError):
+            engine.pack_output(spark.createDataFrame([(9, "s", 3, "lost " * 100)], schema))
+    finally:
+        ledgers.enforce_budget = true
+    assert engine.version() == kept and engine.ledger().orderBy("session", "handle").collect() == state and engine.packs().filter("id = 9").isEmpty() and engine.metrics().filter("line_id = 9 and event = 'compress'").isEmpty()
     tight = Engine(spark, EngineConfig(root=str(tmp_path / "root"), budget=10))
     tight.pack_output(spark.createDataFrame([(4, "s", 2, "new text")], schema))
     assert tight.ledger().filter("session = 's' and code = 0").agg(F.sum("tokens")).first()[0] <= 10
 
 
+def test_evicted_and_unproved_blocks_are_sent_again(spark, tmp_path):
+    engine = Engine(spark, EngineConfig(root=str(tmp_path)))
+    schema = "id bigint, session string, step bigint, text string"
+    text = "\n\n".join(f"part {i} " + "word " * 20 for i in range(3))
+    engine.pack_output(spark.createDataFrame([(1, "s", 0, text)], schema))
+    engine.evict(engine.ledger().select("session", "handle"))
+    again = engine.pack_output(spark.createDataFrame([(2, "s", 1, text)], schema)).first()
+    assert again["delta_hits"] == 0 and again["evicted_resends"] == again["blocks"] and engine.ledger().filter("code = 1").isEmpty()
+    lines = spark.createDataFrame([("s", 0, json.dumps({"content": engine.ledger().first()["handle"]})), ("s", 1, '{"type":"clear"}')], "session string, line_no bigint, line string")
+    gated = engine.pack_output(spark.createDataFrame([(3, "s", 2, text)], schema), transcripts.proof(lines)).first()
+    assert gated["delta_hits"] == 0 and gated["evicted_resends"] == gated["blocks"]
+    assert engine.pack_output(spark.createDataFrame([(4, "s", 3, text)], schema)).first()["delta_hits"] == gated["blocks"]
+
+
+def test_redirected_reads(spark, tmp_path):
+    engine = Engine(spark, EngineConfig(root=str(tmp_path)))
+    log = "\n".join(f"step {i} done in {i * 7} ms" for i in range(900)).encode()
+    prose = ("# Title\n\n" + "A long paragraph of prose. " * 500 + "\n").encode()
+    schema = "id bigint, session string, path string, bytes binary, sliced boolean"
+    reads = [(1, "s", "/a/run.log", log, False), (2, None, "/a/doc.md", prose, False), (3, "s", "/a/none", None, False), (4, "s", "/a/small", b"x", False), (5, "s", "/a/run.log", log, True), (6, "s", "/b/random", bytes(range(256)) * 40, False)]
+    first = {r["id"]: r for r in engine.redirect_reads(spark.createDataFrame(reads, schema), now=100).collect()}
+    assert [first[i]["reason"] for i in range(1, 6)] == ["redirect-emitted", "redirect-emitted", "file-unreadable", "too-small", "slicing-requested"]
+    for i, source in ((1, log), (2, prose)):
+        handles = set(re.findall("ks2_[0-9a-f]{32}", first[i]["view"]))
+        assert handles and all(engine.expand_handle(h) for h in handles) and engine.expand_handle("ks2_" + hashlib.sha256(source).hexdigest()[:32]) == source
+    shutil.rmtree(tmp_path / "store")
+    second = {r["id"]: r for r in engine.redirect_reads(spark.createDataFrame(reads[:2], schema), now=200).collect()}
+    assert {r["reason"] for r in second.values()} == {"cache-hit"} and second[1]["view"] == first[1]["view"] and second[1]["redirect_to"] == first[1]["redirect_to"]
+    assert engine.expand_handle("ks2_" + hashlib.sha256(log).hexdigest()[:32]) == log
+    lines = engine.metrics().collect()
+    assert sum(r["event"] == "compress" and r["saved"] > 0 for r in lines) == 5 and {r["session"] for r in lines if r["event"] == "compress"} == {"s", "read-hook"}
+    assert sum(r["caller"] == "hook" and r["mode"] == "lines" and r["ok"] for r in lines) == 2
+    assert engine.decisions().count() == 8 and "cache-hit" in decisions_report(engine.decisions())
+    assert Engine(spark, EngineConfig(root=str(tmp_path), read_gate=False)).redirect_reads(spark.createDataFrame(reads[:1], schema)).first()["reason"] == "gate-disabled"
+
+
+def test_commands(spark, tmp_path, monkeypatch, capsys):
+    from tilefold import cli
+
+    monkeypatch.setenv("TILEFOLD_ROOT", str(tmp_path / "root"))
+
+    def run(*args):
+        code = cli.main(list(args), spark)
+        return code, capsys.readouterr().out.rstrip("\n")
+
+    text = "\n\n".join(f"part {i} " + "word " * 20 for i in range(4))
+    (tmp_path / "a.log").write_text(text)
+    (tmp_path / "b.log").write_text(text + "\n\nmore")
+    assert run("pack", str(tmp_path / "a.log"), "--session=s") == (0, "\n".join(x.rstrip("\n") for x in text.split("\n")))
+    code, view = run("pack", str(tmp_path / "a.log"), "--session", "s", "--step", "1")
+    named = re.search("recall (ks2_[0-9a-f]{32})", view)[1]
+    assert run("expand", named) == (0, text) and run("expand", named, "--lines", "1-1") == (0, text.split("\n")[0]) and "part 2" in run("expand", named, "--grep=part 2")[1]
+    assert run("expand", "ks2_none")[0] == 1 and run("expand", named, "--lines", "x")[0] == 2 and run("pack", str(tmp_path / "gone"))[0] == 2 and run("what")[0] == 2
+    assert "n_lines" in run("inspect", named)[1] and run("inspect", str(tmp_path / "a.log")) == (1, "not a packed file")
+    assert "blocks unchanged" in run("delta", str(tmp_path / "a.log"), str(tmp_path / "b.log"))[1]
+    assert run("store", "put", str(tmp_path / "b.log"))[1] == "ks2_" + hashlib.sha256((text + "\n\nmore").encode()).hexdigest()[:32]
+    assert "latest session s" in run("status")[1] and "net" in run("metrics", "--session", "s")[1] and "all sessions" in run("ab")[1] and "none" in run("why-last")[1]
+    monkeypatch.setattr("sys.stdin", type("In", (), {"buffer": __import__("io").BytesIO(b"from stdin")}))
+    assert run("pack", "-", "--type", "log")[1] == "from stdin" and run("pack", "--type", "odd")[0] == 2
+    (tmp_path / "t.jsonl").write_text(json.dumps({"content": named}) + "\n")
+    assert "1 handles" in run("transcript", str(tmp_path / "t.jsonl"))[1]
+    assert "deleted" in run("gc")[1] and run("expand", named)[0] == 0
+    run("gc", "--older-than", "0", "--live")
+    assert run("expand", named)[0] in (0, 1) and cli.flag(["--a", "1", "--a=2"], "a") == "1" and cli.flag(["--a"], "a") is None
+
+
 def test_config():
     c = EngineConfig.from_env({"TILEFOLD_BUDGET": "7", "TILEFOLD_READ_GATE": "OFF", "TILEFOLD_ROOT": "/r"})
     assert (c.budget, c.read_gate, c.path("store")) == (7, False, "/r/store")

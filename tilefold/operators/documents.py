@@ -9,6 +9,7 @@ from tilefold.config import LABEL
 from tilefold.functions.handles import handle, sha256_hex
 from tilefold.functions.predicates import detect, is_markdown_mark, is_markdown_path, should_elide
 from tilefold.functions.text import as_text, count_lines, let, tokens
+from tilefold.operators.structural import GONE
 from tilefold.operators.structural import view as stateless_view
 from tilefold.operators.tiles import sections
 
@@ -78,16 +79,28 @@ def strip_header(shown: Column) -> Column:
     return F.when(shown.startswith(f"<!-- {PACK_TAG} source="), F.regexp_replace(shown, r"\A[^\n]*\n[^\n]*\n[^\n]*\n", "")).otherwise(shown)
 
 
-def cache_view(path: Column, t: Column) -> Column:
-    """The view that a redirected read gets: header, label, and the document or stateless view of the source."""
-    whole = handle(t)
-    body = F.when(is_markdown_path(path), document_body(t, whole)["view"]).otherwise(stateless_view(t, detect(t, path))["view"])
+def cache_entry(path: Column, t: Column, b: Column | None = None) -> Column:
+    """Struct (view, stored): the view that a redirected read gets, and the ranges its markers stand for beside the whole.
+
+    The view is a header, a label, and the document or stateless view of the source; its digest and handle are those of the
+    source's bytes ``b``, by default of its text. Not for use inside a lambda.
+    """
+    source = F.encode(t, "UTF-8") if b is None else b
+    whole, stateless = handle(source), stateless_view(t, detect(t, path))
+    markdown = is_markdown_path(path)
+    body = F.when(markdown, document_body(t, whole)["view"]).otherwise(stateless["view"])
     header = F.format_string(
         f"<!-- {LABEL} cached view of %s -->\n<!-- made from bytes with sha256 %s; nothing but the view below was shortened -->\n"
         f"<!-- whole source again: read the file itself, or {COMMAND} expand %s -->\n\n",
-        path, sha256_hex(t), whole,
+        path, sha256_hex(source), whole,
     )
-    return F.concat(header, F.lit(f"[{LABEL}: view from the read cache · source unchanged on disk]\n\n"), body)
+    view = F.concat(header, F.lit(f"[{LABEL}: view from the read cache · source unchanged on disk]\n\n"), body)
+    return F.struct(view.alias("view"), F.when(~markdown, stateless["elided"]).otherwise(F.array().cast(GONE)).alias("stored"))
+
+
+def cache_view(path: Column, t: Column) -> Column:
+    """The view of ``cache_entry``."""
+    return cache_entry(path, t)["view"]
 
 
 def manifest(shown: Column) -> Column:

@@ -6,6 +6,8 @@ step, code outside 0..255 or negative numbers. Of equal (session, handle) the la
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,7 +16,7 @@ from tilefold.plans.prefix import running_sums
 from tilefold.session import written
 
 RESIDENT, EVICTED = 0, 1
-STEPS_PER_PART = 10_000
+ROWS_PER_PART = 500_000
 
 
 def residency(code: Column) -> Column:
@@ -59,11 +61,13 @@ def resident_tokens(ledger: DataFrame) -> DataFrame:
 def enforce_budget(ledger: DataFrame, budget: int = DEFAULT_BUDGET) -> DataFrame:
     """The ledger after eviction of the oldest steps, until what is left is within the budget.
 
-    A row is evicted if the rows before it in (step, handle) do not yet cover the excess. The running sums are made in
-    two levels, cut by step, so no task holds a session.
+    A row is evicted if the rows before it in (step, handle) do not yet cover the excess. The rows are put in that order
+    over parts of a bounded number of rows, and running sums are made in two levels, so no task holds a session.
     """
     ledger = written(ledger, "ledger")
-    live = ledger.filter(F.col("code") == RESIDENT).withColumn("part", F.floor(F.col("step") / STEPS_PER_PART))
+    live = ledger.filter(F.col("code") == RESIDENT).select("session", "step", "handle", "tokens")
+    parts = max(int(ledger.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(live.count() / ROWS_PER_PART))
+    live = written(live.repartitionByRange(parts, "session", "step", "handle").withColumn("part", F.spark_partition_id()), "ordered")
     summed = running_sums(live, ["session"], "part", ["step", "handle"], {"upto": "tokens"})
     over = resident_tokens(ledger).select("session", (F.col("resident_tokens") - budget).alias("over"))
     gone = summed.join(over, "session").filter(F.col("upto") - F.col("tokens") < F.col("over"))

@@ -11,10 +11,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import ArrayType, LongType, StringType
 
 from tilefold.functions.predicates import ANCHOR_AT, BLANK_AT, DEFINITION_AT, FENCE_AT, MARK_AT
 from tilefold.functions.text import LINE, WS_IN_LINE, tile_lines
@@ -115,11 +116,17 @@ def exploded(df: DataFrame, key: str, tiles: Column, name: str = "block") -> Dat
     return df.select(key, F.posexplode(tiles).alias(f"{name}_no", name))
 
 
+@F.pandas_udf(ArrayType(LongType()))
+def _running(sizes: pd.Series) -> pd.Series:
+    """Running sums of each array; a fold inside the row would copy the array for every element."""
+    return sizes.map(lambda x: None if x is None else np.cumsum(x, dtype=np.int64))
+
+
 def ranges(df: DataFrame, key: str, tiles: Column, name: str = "block") -> DataFrame:
-    """(key, <name>_no, start, end) in bytes; only the lengths of tiles are shuffled."""
-    size = exploded(df.select(key, F.transform(tiles, F.octet_length).alias("_n")), key, F.col("_n"), name)
-    upto = F.sum(name).over(Window.partitionBy(key).orderBy(f"{name}_no").rowsBetween(Window.unboundedPreceding, 0))
-    return size.withColumn("end", upto.cast("bigint")).select(key, f"{name}_no", (F.col("end") - F.col(name)).alias("start"), "end")
+    """(key, <name>_no, start, end) in bytes. Nothing is shuffled, and only lengths leave the row."""
+    sized = df.select(key, F.transform(tiles, F.octet_length).alias("_n"))
+    each = sized.select(key, F.posexplode(F.arrays_zip(F.col("_n"), _running("_n").alias("_e"))).alias(f"{name}_no", "_x"))
+    return each.select(key, f"{name}_no", (F.col("_x._e") - F.col("_x._n")).alias("start"), F.col("_x._e").alias("end"))
 
 
 def line_ranges(df: DataFrame, key: str, text: str) -> DataFrame:

@@ -107,9 +107,10 @@ def store_touch(spark: SparkSession, d: str) -> DataFrame:
 
 
 def transcript_scan(spark: SparkSession, d: str) -> DataFrame:
-    rows = one_per_id(table(spark, d, "transcript"), "line_id", "logged_at")
-    lines = rows.filter("session is not null").select("session", "line_no", transcripts.raw_line(rows).alias("line"))
-    return transcripts.scan(lines)
+    rows = table(spark, d, "transcript")
+    found = rows.select("line_id", "logged_at", "session", "line_no", transcripts.raw_line(rows).alias("line"))
+    found = found.select("line_id", "logged_at", "session", "line_no", *(v.alias(k) for k, v in transcripts.narrow(c("line")).items()))
+    return transcripts.scan(one_per_id(found, "line_id", "logged_at").filter("session is not null"))
 
 
 def decision_tail(spark: SparkSession, d: str) -> DataFrame:
