@@ -84,3 +84,14 @@ def test_documents(spark, small):
     total = sum(size[t["source"]] for t in targets)
     want = {t["source"] for t in targets if t["target_share"] * total > t["max_repeats"] * size[t["source"]]}
     assert {r[0] for r in queries.p7_found(spark, small).collect()} == want
+
+
+def test_sizes_come_close_to_what_is_wanted(spark):
+    from tilefold.llm import queries
+
+    rows = queries.p7_shares(spark, "/root/testdata/sf0.1").collect()
+    reached = [r for r in rows if r["reachable"] and r["wanted"]]
+    assert all(abs(r["mixed_size"] / r["wanted"] - 1) <= 0.035 for r in reached if r["copies"] >= 100)
+    assert all(r["mixed_size"] == r["max_repeats"] * r["size"] for r in rows if not r["reachable"])
+    short = sum(r["wanted"] - r["mixed_size"] for r in rows if not r["reachable"])
+    assert abs(sum(r["mixed_size"] for r in rows) + short - sum(r["wanted"] for r in rows)) <= 0.01 * sum(r["wanted"] for r in rows)

@@ -91,3 +91,22 @@ def test_documents(spark, small):
     assert {r[0] for r in queries.p6_found(spark, small).collect()} == {r["doc_id"] for r in docs if tok.count(r["text"] or "") > 2048}
     boxes = queries.p6_containers(spark, small).collect()
     assert sum(b["tokens"] for b in boxes) == sum(tok.count(r["text"] or "") for r in docs) and max(b["tokens"] for b in boxes) <= 2048
+    assert sum(b["tokens"] for b in boxes) / (2048 * len(boxes)) >= 0.95  # a hundred pages, one last container
+
+
+def test_documents_leave_little_room(spark):
+    from tilefold.llm import queries
+
+    boxes = queries.p6_containers(spark, "/root/testdata/sf0.01").collect()
+    assert sum(b["tokens"] for b in boxes) / (2048 * len(boxes)) >= 0.99
+
+
+def test_examples_bind_on_each_limit(spark):
+    from tilefold.llm import queries
+
+    tokens, segments, loss = queries.EXAMPLE_LIMITS
+    boxes = queries.p6_examples(spark, "/root/testdata/sf0.01").collect()
+    assert all(b["tokens"] <= tokens and b["segments"] <= segments and b["loss_tokens"] <= loss for b in boxes)
+    least = max(sum(b["tokens"] for b in boxes) / tokens, sum(b["segments"] for b in boxes) / segments, sum(b["loss_tokens"] for b in boxes) / loss)
+    assert len(boxes) <= 1.15 * least + 2
+    assert {b["fullest"] for b in boxes if b["filled"] > 0.99} == {"tokens", "segments", "loss"}

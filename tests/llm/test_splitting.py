@@ -122,3 +122,9 @@ def test_documents(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet").collect()
     want = {(r["doc_id"], i) for r in docs for i, b in enumerate(brute_blocks(r["text"] or "")) if tok.count(b) > 512}
     assert {tuple(r) for r in queries.p8_found(spark, small).collect()} == want and want
+
+
+def test_limit_below_one_character_is_refused():
+    tok = load()
+    with pytest.raises(ValueError):
+        splitting.split_block("\U00013000" * 5, tok, 1, 0, 0.5)

@@ -20,7 +20,7 @@ from __future__ import annotations
 import math
 import random
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tilefold.plans.prefix import running_sums
@@ -50,8 +50,9 @@ def demand(sized: DataFrame, targets: DataFrame, total: float | None = None) ->
     joined = want.join(size, "source", "left").withColumns(
         {"pages": F.coalesce("pages", F.lit(0)), "size": F.coalesce("size", F.lit(0)), "max_repeats": F.greatest(F.coalesce("max_repeats", F.lit(0)), F.lit(0))}
     )
-    whole = F.lit(float(total)) if total is not None else F.sum("size").over(Window.partitionBy(F.lit(1))).cast("double")
-    wanted = F.coalesce(F.col("target_share"), F.lit(0.0)) * whole
+    if total is None:
+        total = joined.agg(F.sum("size")).first()[0] or 0
+    wanted = F.coalesce(F.col("target_share"), F.lit(0.0)) * float(total)
     f = F.when(F.col("size") > 0, F.least(wanted / F.col("size"), F.col("max_repeats").cast("double"))).otherwise(0.0)
     return joined.withColumns({"wanted": wanted, "f": f})
 
@@ -76,13 +77,14 @@ def shares(demanded: DataFrame, mixed: DataFrame) -> DataFrame:
 
     The verdict is read off the mix: a target cannot be reached if every page is used to its cap and the size is still
     short of the wanted one. The expected copies are then the cap, a whole number, so the mix holds exactly that many.
+    ``mixed`` must be stable between uses.
     """
     got = mixed.groupBy("source").agg(
         F.sum(F.col("n_tokens") * F.col("copies")).alias("mixed_size"), F.sum("copies").alias("copies"), F.max("copies").alias("most_copies")
     )
     out = demanded.join(got, "source", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("mixed_size", "copies", "most_copies")})
-    total = F.sum("mixed_size").over(Window.partitionBy(F.lit(1)))
-    share = F.when(total > 0, F.col("mixed_size") / total).otherwise(0.0)
+    total = mixed.agg(F.sum(F.col("n_tokens") * F.col("copies"))).first()[0] or 0
+    share = F.col("mixed_size") / total if total else F.lit(0.0)
     used_up = F.col("mixed_size") >= F.col("max_repeats") * F.col("size")
     out = out.withColumn("reachable", ~((F.col("wanted") > F.col("mixed_size")) & used_up))
-    return out.select("source", "target_share", share.alias("share"), "pages", "size", "mixed_size", "copies", "most_copies", "max_repeats", "reachable")
+    return out.select("source", "target_share", share.alias("share"), "pages", "size", "wanted", "mixed_size", "copies", "most_copies", "max_repeats", "reachable")

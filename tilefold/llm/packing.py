@@ -2,7 +2,8 @@
 
 An item has a vector (tokens, segments, loss-bearing tokens), a container a limit for each. A container is opened and
 filled with the item, of all that still fit, whose vector has the largest dot product with the room left, each
-dimension weighted by its share of the limit; when none fits, the next container is opened.
+dimension as its share of the limit and weighted by how much the items not yet placed ask of it; when none fits, the next
+container is opened.
 
 Items meet in shards of a bounded number of items, drawn by a hash of the id and the place of the row, so every shard
 has the same mix of sizes, whatever ids repeat, and ends with about one container that is not full. The number of shards
@@ -72,11 +73,14 @@ def pack_vectors(vectors: np.ndarray, limits: np.ndarray) -> np.ndarray:
         room = limits.astype(np.int64).copy()
         alive = alive[left[alive] > 0]
         fits = alive
+        # what is left to place asks most of one dimension; that one counts most
+        weight = left[alive] @ scale[alive]
+        weight = weight / max(weight.max(), 1e-12) / limits
         while True:
             fits = fits[(kinds[fits] <= room).all(axis=1) & (left[fits] > 0)]
             if not len(fits):
                 break
-            k = fits[np.argmax(scale[fits] @ (room / limits))]
+            k = fits[np.argmax(scale[fits] @ (room * weight))]
             # as many of this kind as stay the best choice cannot be told without asking again: one at a time
             bins[order[first[k] + taken[k]]] = container
             taken[k] += 1

@@ -8,7 +8,8 @@ before the cut, at a word. Each piece is measured as its own text, and the windo
 All of it happens per page inside an Arrow batch: no shuffle, no state between pages.
 
 Defined results: a null or empty text, and one without letters or digits, has no block. A block within the limit is
-one piece without overlap. A word longer than the limit is cut inside, at characters. Repeats of a ``doc_id`` are split
+one piece without overlap. A word longer than the limit is cut inside, at characters; a limit below the four tokens that
+one character can have is refused where such a character stands. Repeats of a ``doc_id`` are split
 each. Pieces of a block cover it: each begins at or before the end of the one before it.
 """
 
@@ -140,7 +141,7 @@ def split_block(text: str, tok: Tokenizer, limit: int, overlap: int, least: floa
                 base, start = tokens[first - 1], ends[first - 1]
                 shared = tok.count(text[start:done])
             else:
-                break
+                raise ValueError(f"a single character has more than {limit} tokens")
         out.append((start, ends[cut], size, shared, kind))
         if cut == n - 1:
             return out
