@@ -32,11 +32,16 @@ def _text(v: Column, path: str) -> Column:
 
 
 def boundary(line: Column) -> Column:
-    """The boundary that a raw JSON line marks, if any: ``/clear``, ``compaction`` or ``session restart``."""
+    """The boundary that a raw JSON line marks, if any: ``/clear``, ``compaction`` or ``session restart``.
+
+    Only lines in which a label stands, or an escape that could spell one, are parsed.
+    """
     v = F.try_parse_json(line)
     labels = [boundary_of_label(_text(v, f"$.{k}")) for k in KEYS]
     cleared = [F.when(F.regexp_replace(_text(v, p), r"\A[\t-\r \x{85}\p{Z}]++|[\t-\r \x{85}\p{Z}]++\z", "") == "/clear", F.lit("/clear")) for p in ("$.message.content", "$.content")]
-    return F.when(line.contains('"/clear"'), F.lit("/clear")).otherwise(F.coalesce(*labels, *cleared))
+    stems = sorted({w[:7] for w in ("clear", *COMPACTIONS, *RESTARTS)})  # what every label begins with
+    may = line.rlike(rf"(?i){'|'.join(stems)}|\\u")
+    return F.when(line.contains('"/clear"'), F.lit("/clear")).when(may, F.coalesce(*labels, *cleared))
 
 
 def raw_line(df: DataFrame) -> Column:

@@ -10,7 +10,7 @@ from tilefold.functions import predicates as P
 from tilefold.functions import text as T
 from tilefold.operators import commands, decisions, documents, structural, tiles
 from tilefold.plans.prefix import one_per_id
-from tilefold.sources.generate import edit_loop
+from tilefold.sources.generate import FUNCTIONS, HANDLER, edit_loop
 from tilefold.sources.records import sidecars
 from tilefold.sources.tables import spread, table
 
@@ -284,6 +284,40 @@ def sql_log_view(p: str, lines: str) -> str:
 {p}views as (select doc_id, string_agg(t, chr(10) order by o) as view from {p}parts group by doc_id)"""
 
 
+_SIG = f"""(regexp_matches(y, '^{_words(P.SIGNATURES)}')
+  or (regexp_matches(y, '^(const |let |var )') and contains(y, '=') and (contains(y, 'function') or contains(y, '=>') or regexp_matches(y, '\\{{{_WS}*$'))))"""
+_METHOD = f"""(ends_with(z, '{{') and contains(y, '(') and contains(y, ')') and regexp_matches(y, '^[\\p{{L}}\\p{{N}}_$]')
+  and not regexp_matches(y, '^{_words(P.CONTROL)}([^\\p{{L}}\\p{{N}}_$]|$)'))"""
+_COMMENT = "regexp_matches(y, '^(//|#|[*]|/[*]|--)')"
+_CLOSER = r"(regexp_full_match(z, '[\])};,]+') and regexp_matches(z, '[\])}]'))"
+_TRIMMED = f"regexp_replace(x, '^{_WS}+', '') as y, regexp_replace(x, '{_WS}+$', '') as z"
+
+
+def sql_detected(lines: str) -> str:
+    """A CTE detected (doc_id, code) for texts that are no JSON: whether their first lines hold enough signatures."""
+    return f"""
+sniff as (select doc_id, {_SIG} or {_METHOD} as sig from (select doc_id, x, {_TRIMMED} from {lines} where i <= 400) where y <> ''),
+detected as (select doc_id, count(*) >= 8 and count(*) filter (sig) / count(*) >= 0.06 as code from sniff group by doc_id)"""
+
+
+def sql_code_view(lines: str) -> str:
+    """CTEs that view the texts of ``lines`` as code: codeviews (doc_id, view, n_elided)."""
+    called = r"'(?:^|[^.\p{L}\p{N}_$])([\p{L}_$][\p{L}\p{N}_$]*) *\('"
+    return f"""
+cflag as (select *, {_EMPTY} or {_COMMENT} or {_CLOSER} or {_SIG} or {_METHOD} as keep from (select *, {_TRIMMED} from {lines})),
+cisle as (select *, case when keep then -i else i - row_number() over (partition by doc_id, keep order by i) end as isle from cflag),
+cpart as (
+  select doc_id, min(i) as first, bool_and(keep) as keep, count(*) as n, string_agg(l, '' order by i) as body, string_agg({_TEXT}, chr(10) order by i) as kept
+  from cisle group by doc_id, isle),
+ccall as (
+  select *, list_filter(regexp_extract_all(replace(body, '(', '(' || chr(1)), {called}, 1), lambda w: not list_contains({list(P.BODY_WORDS)}, w)) as names from cpart),
+cuniq as (select *, list_filter(names, lambda w, k: list_position(names, w) = k)[1:3] as three from ccall),
+cmark as (
+  select *, '[Tilefold: ' || n || '-line body' || case when len(three) > 0 then ' · calls ' || array_to_string(three, ', ') else '' end || ' · recall ' || {sql_handle('body')} || ']' as marker from cuniq),
+cshow as (select *, not keep and n >= {structural.MIN_RUN} and {sql_tokens('body')} > {sql_tokens('marker')} as gone from cmark),
+codeviews as (select doc_id, string_agg(case when gone then marker else kept end, chr(10) order by first) as view, count(*) filter (gone) as n_elided from cshow group by doc_id)"""
+
+
 _SECTIONS = f"""
 f as (select *, {_FENCE} as fence, {_MARK} as mark, {_EMPTY} as empty from lines),
 f2 as (select *, sum(fence::int) over (partition by doc_id order by i) as fences from f),
@@ -313,7 +347,55 @@ _PACKED = f"""
 
 _DISTINCT_PATHS = "select distinct path, t from decision_log where path is not null"
 
+_HEADER = """'<!-- Tilefold cached view of ' || path || ' -->' || chr(10) || '<!-- made from bytes with sha256 ' || sha256(text) || '; nothing but the view below was shortened -->' || chr(10)
+  || '<!-- whole source again: read the file itself, or tilefold expand ' || @handle@ || ' -->' || chr(10) || chr(10) || '[Tilefold: view from the read cache · source unchanged on disk]' || chr(10) || chr(10)"""
+_COUNTED = "length({0}) - length(replace({0}, chr(10), '')) + case when {0} <> '' and not ends_with({0}, chr(10)) then 1 else 0 end"
+
+
+def _sql_generated() -> str:
+    """The generated files and logs as (id, content_type, text)."""
+    handler = "'" + "\n".join(HANDLER).replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+    return f"""
+k as (select unnest(range(0, 6)) as k),
+j as (select unnest(range(0, {FUNCTIONS})) as i),
+files as (
+  select k * 2 as id, 'code' as content_type, '// service.js — request handlers' || chr(10) || chr(10) ||
+    string_agg(replace(replace({handler}, '%1$d', i::varchar), '%2$d', (case when i < k then i + 100 else i end)::varchar), chr(10) order by i) as text from k, j group by k),
+logs as (
+  select k * 2 + 1 as id, 'log' as content_type, '> service@1.0.0 test' || chr(10) || '> jest --runInBand' || chr(10) || chr(10) ||
+    string_agg(case when i < greatest(4 - k, 0) then 'FAIL' else 'PASS' end || '  src/handler' || i || '.test.js', chr(10) order by i) || chr(10) || chr(10) || 'Tests: ' || ({FUNCTIONS} - greatest(4 - k, 0))
+    || ' passed, ' || greatest(4 - k, 0) || ' failed, {FUNCTIONS} total' || chr(10) || 'Time: 3.2 s' as text from k, j group by k),
+generated as (select * from files union all select * from logs)"""
+
+
 ORACLE = {
+    "gen_synthetic": f"with {_sql_generated()} select id, content_type, {sql_tokens('text')} as n_tokens, {_COUNTED.format('text')} as n_lines from generated",
+    "view_code": f"""
+        with {SQL_LINES}, {sql_code_view('lines')}
+        select d.doc_id, {sql_tokens("coalesce(view, '')")} as shown, coalesce(n_elided, 0) as n_elided from documents d left join codeviews using (doc_id)""",
+    "view_cache": f"""
+        with {SQL_LINES}, {_SECTIONS}, {sql_detected('lines')}, {sql_code_view('lines')}, {sql_log_view('w', 'lines')},
+        md as (
+          select doc_id, string_agg(case when elide then '[Tilefold: section omitted · ~' || {sql_tokens('body')} || ' tokens · exact recall available] <!-- tf-recall handle='
+            || h || ' lines=' || first_line || '-' || (first_line + n_lines - 1) || ' tokens=' || {sql_tokens('body')} || ' -->' else body end || chr(10), '' order by section_no) as b
+          from secs join (select doc_id, {sql_handle('text')} as h from documents) using (doc_id) group by doc_id),
+        v as (
+          select doc_id, {_HEADER.replace('@handle@', sql_handle('text'))} || coalesce(case when path like '%.md' then b when code then c.view else w.view end, '') as v
+          from (select doc_id, text, '/p/' || doc_id || case when doc_id % 2 = 0 then '.md' else '.txt' end as path from documents)
+            left join md using (doc_id) left join detected using (doc_id) left join codeviews c using (doc_id) left join wviews w using (doc_id))
+        select doc_id, {sql_tokens('v')} as shown, {_COUNTED.format('v')} as n_lines from v""",
+    "pred_detect": f"""
+        with t as (
+          select 'documents' as origin, doc_id as id, text from documents where text is not null
+          union all select 'meta_raw', record_id, record from meta_raw where record is not null union all select 'transcript', line_id, content from transcript where content is not null),
+        u as (select row_number() over () as doc_id, * from t),
+        {sql_lines('u', 'doc_id')}, {sql_detected('lines')},
+        o as (select origin, text, coalesce(code, false) as code, regexp_matches(text, '^[ \\t\\r\\n]{{0,63}}[{{\\[]') as opens from u left join detected using (doc_id))
+        select origin, case when opens and json_valid(text) then 'json' when code then 'code' else 'log' end as kind, opens, count(*) as n from o group by all""",
+    "gen_json_tiles": """
+        with one as (select * from (select *, row_number() over (partition by record_id order by written_at) as k from meta_raw) where k = 1 or record_id is null),
+        m as (select record_id, record, case when json_valid(record) then case json_type(record) when 'OBJECT' then len(json_keys(record)) when 'ARRAY' then json_array_length(record) end end as n from one)
+        select record_id, case when record is null then null when record = '' then 0 when n is null then 1 when n = 0 then 2 else n + 2 end as n_tiles, strlen(record) as n_bytes from m""",
     "fn_tokens": f"select doc_id, {sql_tokens('text')} as n_tokens, {sql_tokens('text')} as n_tokens_bytes from documents",
     "fn_digests": """
         select doc_id, sha256(text) as sha256, sha1(text) as sha1, 'ks2_' || left(sha256(text), 32) as handle, left(sha256(text), 8) || '…' as short_hex,
@@ -349,15 +431,12 @@ ORACLE = {
         with {SQL_LINES},
         t as (select doc_id, x, l, regexp_replace(x, '^{_WS}+', '') as y, regexp_replace(x, '{_WS}+$', '') as z from (select doc_id, {_TEXT} as x, l from lines))
         select d.doc_id,
-          count(*) filter (regexp_matches(y, '^{_words(P.SIGNATURES)}')
-            or (regexp_matches(y, '^(const |let |var )') and contains(y, '=') and (contains(y, 'function') or contains(y, '=>') or regexp_matches(y, '\{{{_WS}*$')))) as n_sig,
-          count(*) filter (ends_with(z, '{{') and contains(y, '(') and contains(y, ')') and regexp_matches(y, '^[\p{{L}}\p{{N}}_$]')
-            and not regexp_matches(y, '^{_words(P.CONTROL)}([^\p{{L}}\p{{N}}_$]|$)')) as n_method,
+          count(*) filter ({_SIG}) as n_sig, count(*) filter ({_METHOD}) as n_method,
           count(*) filter (regexp_matches(x, '{_DEFINITION}')) as n_definition,
           count(*) filter ({_ANCHOR}) as n_anchor,
           count(*) filter ({_IMPORTANT}) as n_important,
-          count(*) filter (regexp_matches(y, '^(//|#|[*]|/[*]|--)')) as n_comment,
-          count(*) filter (regexp_full_match(z, '[\])}};,]+') and regexp_matches(z, '[\])}}]')) as n_closer,
+          count(*) filter ({_COMMENT}) as n_comment,
+          count(*) filter ({_CLOSER}) as n_closer,
           count(*) filter (regexp_matches(y, '^#{{1,6}} ')) as n_heading,
           count(*) filter (regexp_matches(y, '^([-*+] |[0-9]+[.)] )')) as n_list_item,
           count(*) filter ({_MARK}) as n_mark
