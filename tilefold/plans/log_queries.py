@@ -9,7 +9,7 @@ from tilefold.functions import handles as H
 from tilefold.functions import text as T
 from tilefold.operators import conditional, decisions, ledger, recall, retention, savings, store, transcripts
 from tilefold.plans.prefix import one_per_id
-from tilefold.plans.text_queries import LOG_BLOCKS, SQL_LINES, sql_handle, sql_lines, sql_log_blocks, sql_log_view, sql_tokens
+from tilefold.plans.text_queries import LOG_BLOCKS, SQL_LINES, sql_code_blocks, sql_code_view, sql_generated, sql_handle, sql_lines, sql_log_blocks, sql_log_view, sql_tokens
 from tilefold.session import written
 from tilefold.sources.generate import edit_loop
 from tilefold.sources.tables import spread, table
@@ -203,6 +203,12 @@ def delta_pack(spark: SparkSession, d: str) -> DataFrame:
     return conditional.pack(_texts(spark, d)).drop("view", "handles", "stored")
 
 
+def delta_code(spark: SparkSession, d: str) -> DataFrame:
+    """The same with every other page read as code."""
+    kind = F.when(c("id") % 2 == 0, "code").otherwise("log")
+    return conditional.pack(_texts(spark, d).withColumn("content_type", kind)).drop("view", "handles", "stored")
+
+
 def delta_budget(spark: SparkSession, d: str) -> DataFrame:
     """The same with a token budget per source, replayed in order."""
     return conditional.session_fold(_texts(spark, d), BUDGET).drop("view", "handles", "stored")
@@ -297,7 +303,7 @@ QUERIES = {
         savings_sessions, savings_ranked, savings_summary, savings_latest, savings_status, events_savings, ledger_state, ledger_tokens, ledger_budget,
         ledger_marked, retention_gc, retention_kept, retention_coverage, store_touch, transcript_scan, decision_tail, decision_reasons, store_put,
         store_get, store_expand, store_inspect, store_size, store_deleted, recall_lines, recall_grep, recall_context, recall_literal, delta_residency,
-        delta_pack, delta_recall, delta_ledger, delta_proof, delta_json, delta_budget, delta_gated, delta_restored, delta_versions, bench_loop,
+        delta_pack, delta_recall, delta_ledger, delta_proof, delta_code, delta_json, delta_budget, delta_gated, delta_restored, delta_versions, bench_loop,
     )
 }
 
@@ -344,12 +350,14 @@ def _recall_sql(cond: str, where: str = "true") -> str:
 
 
 def _pack_sql(texts: str, held: str = "null", proved: str = "true", out: str = "") -> str:
-    """Packed views of ``texts`` (id, session, step, text): past by window, repeats by a fold over the blocks of a text.
+    """Packed views of ``texts`` (id, session, step, text, code): past by window, repeats by a fold over the blocks of a text.
 
     ``held`` is the ledger's code of a handle and ``proved`` whether the transcript shows it, as SQL over ``handle``.
     """
     return f"""
-        with recursive {texts}, {sql_lines('texts', 'id')}, {sql_log_blocks('lines')},
+        with recursive {texts}, {sql_lines('texts', 'id')},
+        loglines as (select l.* from lines l join texts t on t.id = l.doc_id where not code), codelines as (select l.* from lines l join texts t on t.id = l.doc_id where code),
+        {sql_log_blocks('loglines').replace('blocks as (', 'logblocks as (')}, {sql_code_blocks('codelines')}, blocks as (select * from logblocks union all select * from codeblocks),
         h as (select t.id, t.session, t.step, block_no, block, {sql_handle('block')} as handle from blocks b join texts t on t.id = b.doc_id),
         past as (
           select *, min(step) over (partition by session, handle) < step or coalesce(({held}) = 0, false) as held, not ({proved}) as barred,
@@ -363,26 +371,29 @@ def _pack_sql(texts: str, held: str = "null", proved: str = "true", out: str = "
         cut as (select *, known is distinct from lag(known) over (partition by id order by block_no) as edge from status),
         numbered as (select *, sum(edge::int) over (partition by id order by block_no) as run from cut),
         runs as (select id, run, bool_and(known) as known, count(*) as n, count(*) filter (resent) as resent, string_agg(block, '' order by block_no) as text from numbered group by id, run),
-        fresh as (select id || ':' || run as id, text from runs where not known),
-        {sql_lines('fresh', 'id', 'run_lines')}, {sql_log_view('r', 'run_lines')}, {sql_log_view('w', 'lines')},
+        fresh as (select r.id || ':' || run as id, r.text, code from runs r join texts t on t.id = r.id where not known),
+        {sql_lines('fresh', 'id', 'run_lines')},
+        rloglines as (select l.* from run_lines l join fresh t on t.id = l.doc_id where not code), rcodelines as (select l.* from run_lines l join fresh t on t.id = l.doc_id where code),
+        {sql_log_view('r', 'rloglines')}, {sql_log_view('w', 'loglines')}, {sql_code_view('r', 'rcodelines')}, {sql_code_view('w', 'codelines')},
+        rall as (select doc_id, view from rviews union all select doc_id, view from rcodes), wall as (select doc_id, view from wviews union all select doc_id, view from wcodes),
         shown as (
           select r.id, run, n, known, resent, case when known then '[Tilefold: ' || (length(text) - length(replace(text, chr(10), '')) + case when ends_with(text, chr(10)) then 0 else 1 end)
             || ' lines unchanged · recall ' || {sql_handle('text')} || ']' else coalesce(v.view, '') end as view
-          from runs r left join rviews v on v.doc_id = r.id || ':' || run),
+          from runs r left join rall v on v.doc_id = r.id || ':' || run),
         cond as (
           select id, count(*) as runs, sum(n)::bigint as blocks, coalesce(sum(n) filter (known), 0)::bigint as hits, sum(resent)::bigint as resent, string_agg(view, chr(10) order by run) as view
           from shown group by id),
         sized as (
           select t.id, session, step, text, {sql_tokens('text')} as raw, coalesce(runs, 0) as runs, coalesce(blocks, 0) as blocks, coalesce(hits, 0) as hits, coalesce(resent, 0) as resent,
             coalesce(cond.view, '') as cview, coalesce(w.view, '') as sview, {sql_tokens("coalesce(cond.view, '')")} as c, {sql_tokens("coalesce(w.view, '')")} as s
-          from (select id, session, step, coalesce(text, '') as text from texts) t left join cond on cond.id = t.id left join wviews w on w.doc_id = t.id),
+          from (select id, session, step, coalesce(text, '') as text from texts) t left join cond on cond.id = t.id left join wall w on w.doc_id = t.id),
         best as (select *, runs > 1 and s < c as stateless, case when runs > 1 and s < c then s else c end as b from sized)
         """ + (out or """
         select id, session, step, case when b > raw then 'raw' when stateless then 'stateless' else 'conditional' end as choice, raw as raw_tokens, least(b, raw) as shown_tokens,
           raw - least(b, raw) as saved_tokens, case when b > raw or stateless then 0 else hits end as delta_hits, case when b > raw or stateless then 0 else resent end as evicted_resends, blocks, runs from best""")
 
 
-_DOC_TEXTS = f"texts as (select doc_id as id, {_SRC} as session, doc_id as step, text from documents)"
+_DOC_TEXTS = f"texts as (select doc_id as id, {_SRC} as session, doc_id as step, text, false as code from documents)"
 _LAST = "right(handle, 1)"
 _HELD = f"case when {_LAST} in ('0', '1', '2', '3', '4') then 0 when {_LAST} in ('5', '6', '7', '8', '9') then 1 end"
 #: The parts that markers can stand for, and those whose handle the chosen view prints.
@@ -397,12 +408,18 @@ _PRINTED = f"""
 
 ORACLE = {
     "delta_pack": _pack_sql(_DOC_TEXTS),
+    "delta_code": _pack_sql(_DOC_TEXTS.replace("false as code", "doc_id % 2 = 0 as code")),
+    "bench_loop": _pack_sql(
+        sql_generated() + ", texts as (select id, 'loop' as session, id as step, text, content_type = 'code' as code from generated)",
+        out="""select id // 2 + 1 as iteration, sum(raw)::bigint as raw, sum(s)::bigint as stateless, sum(least(b, raw))::bigint as conditional,
+          sum(case when b > raw or stateless then 0 else hits end)::bigint as unchanged from best group by 1""",
+    ),
     "delta_recall": _pack_sql(_DOC_TEXTS, out=_PRINTED),
     "delta_ledger": _pack_sql(_DOC_TEXTS, _HELD),
     "delta_proof": _pack_sql(_DOC_TEXTS, _HELD, f"{_LAST} <> '0'"),
     "delta_versions": "select * from (" + _pack_sql("""texts as (
-        select doc_id * 2 as id, doc_id::varchar as session, 0 as step, text from documents
-        union all select doc_id * 2 + 1, doc_id::varchar, 1, 'Running 1' || chr(10) || chr(10) || text from documents)""") + ") where step = 1",
+        select doc_id * 2 as id, doc_id::varchar as session, 0 as step, text, false as code from documents
+        union all select doc_id * 2 + 1, doc_id::varchar, 1, 'Running 1' || chr(10) || chr(10) || text, false from documents)""") + ") where step = 1",
     "transcript_scan": """
         with one as (select * from (select *, row_number() over (partition by line_id order by logged_at) as k from transcript) where k = 1 and session is not null),
         x as (

@@ -300,22 +300,31 @@ sniff as (select doc_id, {_SIG} or {_METHOD} as sig from (select doc_id, x, {_TR
 detected as (select doc_id, count(*) >= 8 and count(*) filter (sig) / count(*) >= 0.06 as code from sniff group by doc_id)"""
 
 
-def sql_code_view(lines: str) -> str:
-    """CTEs that view the texts of ``lines`` as code: codeviews (doc_id, view, n_elided)."""
+def sql_code_view(p: str, lines: str) -> str:
+    """CTEs that view the texts of ``lines`` as code: <p>codes (doc_id, view, n_elided)."""
     called = r"'(?:^|[^.\p{L}\p{N}_$])([\p{L}_$][\p{L}\p{N}_$]*) *\('"
     return f"""
-cflag as (select *, {_EMPTY} or {_COMMENT} or {_CLOSER} or {_SIG} or {_METHOD} as keep from (select *, {_TRIMMED} from {lines})),
-cisle as (select *, case when keep then -i else i - row_number() over (partition by doc_id, keep order by i) end as isle from cflag),
-cpart as (
+{p}cflag as (select *, {_EMPTY} or {_COMMENT} or {_CLOSER} or {_SIG} or {_METHOD} as keep from (select *, {_TRIMMED} from {lines})),
+{p}cisle as (select *, case when keep then -i else i - row_number() over (partition by doc_id, keep order by i) end as isle from {p}cflag),
+{p}cpart as (
   select doc_id, min(i) as first, bool_and(keep) as keep, count(*) as n, string_agg(l, '' order by i) as body, string_agg({_TEXT}, chr(10) order by i) as kept
-  from cisle group by doc_id, isle),
-ccall as (
-  select *, list_filter(regexp_extract_all(replace(body, '(', '(' || chr(1)), {called}, 1), lambda w: not list_contains({list(P.BODY_WORDS)}, w)) as names from cpart),
-cuniq as (select *, list_filter(names, lambda w, k: list_position(names, w) = k)[1:3] as three from ccall),
-cmark as (
-  select *, '[Tilefold: ' || n || '-line body' || case when len(three) > 0 then ' · calls ' || array_to_string(three, ', ') else '' end || ' · recall ' || {sql_handle('body')} || ']' as marker from cuniq),
-cshow as (select *, not keep and n >= {structural.MIN_RUN} and {sql_tokens('body')} > {sql_tokens('marker')} as gone from cmark),
-codeviews as (select doc_id, string_agg(case when gone then marker else kept end, chr(10) order by first) as view, count(*) filter (gone) as n_elided from cshow group by doc_id)"""
+  from {p}cisle group by doc_id, isle),
+{p}ccall as (
+  select *, list_filter(regexp_extract_all(replace(body, '(', '(' || chr(1)), {called}, 1), lambda w: not list_contains({list(P.BODY_WORDS)}, w)) as names from {p}cpart),
+{p}cuniq as (select *, list_filter(names, lambda w, k: list_position(names, w) = k)[1:3] as three from {p}ccall),
+{p}cmark as (
+  select *, '[Tilefold: ' || n || '-line body' || case when len(three) > 0 then ' · calls ' || array_to_string(three, ', ') else '' end || ' · recall ' || {sql_handle('body')} || ']' as marker from {p}cuniq),
+{p}cshow as (select *, not keep and n >= {structural.MIN_RUN} and {sql_tokens('body')} > {sql_tokens('marker')} as gone from {p}cmark),
+{p}codes as (select doc_id, string_agg(case when gone then marker else kept end, chr(10) order by first) as view, count(*) filter (gone) as n_elided from {p}cshow group by doc_id)"""
+
+
+def sql_code_blocks(lines: str) -> str:
+    """CTEs that end in codeblocks (doc_id, block_no, block)."""
+    return f"""
+cbf as (select *, regexp_matches(x, '{_DEFINITION}') as def, {_BLANK} as blank from {lines}),
+cbg as (select *, bool_or(def) over (partition by doc_id) as has, lag(blank, 1, false) over (partition by doc_id order by i) as after from cbf),
+cbb as (select *, sum(case when has then def::int else after::int end) over (partition by doc_id order by i) as b from cbg),
+codeblocks as (select doc_id, row_number() over (partition by doc_id order by b) - 1 as block_no, string_agg(l, '' order by i) as block from cbb group by doc_id, b)"""
 
 
 _SECTIONS = f"""
@@ -352,7 +361,7 @@ _HEADER = """'<!-- Tilefold cached view of ' || path || ' -->' || chr(10) || '<!
 _COUNTED = "length({0}) - length(replace({0}, chr(10), '')) + case when {0} <> '' and not ends_with({0}, chr(10)) then 1 else 0 end"
 
 
-def _sql_generated() -> str:
+def sql_generated() -> str:
     """The generated files and logs as (id, content_type, text)."""
     handler = "'" + "\n".join(HANDLER).replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
     return f"""
@@ -369,12 +378,12 @@ generated as (select * from files union all select * from logs)"""
 
 
 ORACLE = {
-    "gen_synthetic": f"with {_sql_generated()} select id, content_type, {sql_tokens('text')} as n_tokens, {_COUNTED.format('text')} as n_lines from generated",
+    "gen_synthetic": f"with {sql_generated()} select id, content_type, {sql_tokens('text')} as n_tokens, {_COUNTED.format('text')} as n_lines from generated",
     "view_code": f"""
-        with {SQL_LINES}, {sql_code_view('lines')}
-        select d.doc_id, {sql_tokens("coalesce(view, '')")} as shown, coalesce(n_elided, 0) as n_elided from documents d left join codeviews using (doc_id)""",
+        with {SQL_LINES}, {sql_code_view('d', 'lines')}
+        select d.doc_id, {sql_tokens("coalesce(view, '')")} as shown, coalesce(n_elided, 0) as n_elided from documents d left join dcodes using (doc_id)""",
     "view_cache": f"""
-        with {SQL_LINES}, {_SECTIONS}, {sql_detected('lines')}, {sql_code_view('lines')}, {sql_log_view('w', 'lines')},
+        with {SQL_LINES}, {_SECTIONS}, {sql_detected('lines')}, {sql_code_view('d', 'lines')}, {sql_log_view('w', 'lines')},
         md as (
           select doc_id, string_agg(case when elide then '[Tilefold: section omitted · ~' || {sql_tokens('body')} || ' tokens · exact recall available] <!-- tf-recall handle='
             || h || ' lines=' || first_line || '-' || (first_line + n_lines - 1) || ' tokens=' || {sql_tokens('body')} || ' -->' else body end || chr(10), '' order by section_no) as b
@@ -382,7 +391,7 @@ ORACLE = {
         v as (
           select doc_id, {_HEADER.replace('@handle@', sql_handle('text'))} || coalesce(case when path like '%.md' then b when code then c.view else w.view end, '') as v
           from (select doc_id, text, '/p/' || doc_id || case when doc_id % 2 = 0 then '.md' else '.txt' end as path from documents)
-            left join md using (doc_id) left join detected using (doc_id) left join codeviews c using (doc_id) left join wviews w using (doc_id))
+            left join md using (doc_id) left join detected using (doc_id) left join dcodes c using (doc_id) left join wviews w using (doc_id))
         select doc_id, {sql_tokens('v')} as shown, {_COUNTED.format('v')} as n_lines from v""",
     "pred_detect": f"""
         with t as (
@@ -457,13 +466,7 @@ ORACLE = {
         with {SQL_LINES}, {sql_log_view('', 'lines')}
         select d.doc_id, sha256(coalesce(view, '')) as view_sha, {sql_tokens("coalesce(view, '')")} as shown, case when m.doc_id is not null then {sql_handle('body')} end as handle
         from documents d left join views v using (doc_id) left join mid m using (doc_id)""",
-    "gen_code_blocks": f"""
-        with {SQL_LINES},
-        f as (select *, regexp_matches(x, '{_DEFINITION}') as def, {_BLANK} as blank from lines),
-        g as (select *, bool_or(def) over (partition by doc_id) as has, lag(blank, 1, false) over (partition by doc_id order by i) as after from f),
-        b as (select *, sum(case when has then def::int else after::int end) over (partition by doc_id order by i) as b from g),
-        t as (select doc_id, row_number() over (partition by doc_id order by b) - 1 as block_no, string_agg(l, '' order by i) as block from b group by doc_id, b)
-        select doc_id, block_no, strlen(block) as n_bytes, {sql_handle('block')} as handle from t""",
+    "gen_code_blocks": f"with {SQL_LINES}, {sql_code_blocks('lines')} select doc_id, block_no, strlen(block) as n_bytes, {sql_handle('block')} as handle from codeblocks",
     "pred_decisions": f"""
         with {SQL_LINES}, {sql_log_view('', 'lines')},
         r as (
