@@ -349,7 +349,7 @@ def _recall_sql(cond: str, where: str = "true") -> str:
         select d.doc_id, sha256(coalesce(string_agg(x, chr(10) order by i), '')) as part from documents d left join (select * from m where hit) m using (doc_id) group by d.doc_id"""
 
 
-def _pack_sql(texts: str, held: str = "null", proved: str = "true", out: str = "") -> str:
+def _pack_sql(texts: str, held: str = "null", proved: str = "true", out: str = "", fold: str = "") -> str:
     """Packed views of ``texts`` (id, session, step, text, code): past by window, repeats by a fold over the blocks of a text.
 
     ``held`` is the ledger's code of a handle and ``proved`` whether the transcript shows it, as SQL over ``handle``.
@@ -359,6 +359,7 @@ def _pack_sql(texts: str, held: str = "null", proved: str = "true", out: str = "
         loglines as (select l.* from lines l join texts t on t.id = l.doc_id where not code), codelines as (select l.* from lines l join texts t on t.id = l.doc_id where code),
         {sql_log_blocks('loglines').replace('blocks as (', 'logblocks as (')}, {sql_code_blocks('codelines')}, blocks as (select * from logblocks union all select * from codeblocks),
         h as (select t.id, t.session, t.step, block_no, block, {sql_handle('block')} as handle from blocks b join texts t on t.id = b.doc_id),
+        """ + (fold or f"""
         past as (
           select *, min(step) over (partition by session, handle) < step or coalesce(({held}) = 0, false) as held, not ({proved}) as barred,
             coalesce(({held}) = 1, false) and not min(step) over (partition by session, handle) < step as evicted, min(block_no) over (partition by id, handle) as first from h),
@@ -366,8 +367,8 @@ def _pack_sql(texts: str, held: str = "null", proved: str = "true", out: str = "
           select id, -1::bigint as block_no, -1::bigint as last, null::boolean as known, null::boolean as resent from texts
           union all
           select p.id, p.block_no, case when (held or first < last) and not barred then p.block_no else last end, (held or first < last) and not barred,
-            case when held or first < last then barred else evicted end from fold f join past p on p.id = f.id and p.block_no = f.block_no + 1),
-        status as (select p.id, p.block_no, block, known, resent from past p join fold f on f.id = p.id and f.block_no = p.block_no),
+            case when held or first < last then barred else evicted end from fold f join past p on p.id = f.id and p.block_no = f.block_no + 1)""") + f""",
+        status as (select p.id, p.block_no, block, known, resent from h p join fold f on f.id = p.id and f.block_no = p.block_no),
         cut as (select *, known is distinct from lag(known) over (partition by id order by block_no) as edge from status),
         numbered as (select *, sum(edge::int) over (partition by id order by block_no) as run from cut),
         runs as (select id, run, bool_and(known) as known, count(*) as n, count(*) filter (resent) as resent, string_agg(block, '' order by block_no) as text from numbered group by id, run),
@@ -393,6 +394,39 @@ def _pack_sql(texts: str, held: str = "null", proved: str = "true", out: str = "
           raw - least(b, raw) as saved_tokens, case when b > raw or stateless then 0 else hits end as delta_hits, case when b > raw or stateless then 0 else resent end as evicted_resends, blocks, runs from best""")
 
 
+def _budget_sql(budget: int) -> str:
+    """CTEs that replay the ledger of each session step by step: replay (id, known, resent, gone, live), and fold out of it."""
+    return f"""
+        steps as (
+          select t.session, t.id, t.step, row_number() over (partition by t.session order by t.step, t.id) as n,
+            coalesce(list({{'h': handle, 'w': w}} order by block_no) filter (handle is not null), []) as b
+          from texts t left join (select *, {sql_tokens('block')} as w from h) h on h.id = t.id group by t.session, t.id, t.step),
+        replay as (
+          select session, 0::bigint as n, null::bigint as id, []::struct(h varchar, code int, step bigint, w bigint)[] as led, []::boolean[] as known, 0::bigint as resent, 0::bigint as gone, 0::bigint as live
+          from (select distinct session from texts)
+          union all
+          select session, n, id, list_transform(led, lambda e: {{'h': e.h, 'code': case when list_contains(out, e.h) then 1 else e.code end, 'step': e.step, 'w': e.w}}) as led, known,
+            len(list_filter(b, lambda x, i: not known[i] and list_contains(was_out, x.h)))::bigint as resent, len(out)::bigint as gone, (total - coalesce(list_sum(list_transform(list_filter(led, lambda e: list_contains(out, e.h)), lambda e: e.w)), 0))::bigint as live
+          from (
+            select *, list_transform(list_filter(old, lambda e, i: total - coalesce(list_sum(list_transform(old[1:i - 1], lambda x: x.w)), 0) > {budget}), lambda e: e.h) as out
+            from (
+              select *, coalesce(list_sum(list_transform(old, lambda e: e.w)), 0) as total
+              from (
+                select *, list_transform(list_sort(list_transform(list_filter(led, lambda e: e.code = 0), lambda e: {{'step': e.step, 'h': e.h, 'w': e.w}})), lambda e: e) as old
+                from (
+                  select session, n, id, b, known, was_out,
+                    list_concat(list_filter(led, lambda e: not list_contains(noted, e.h)), list_transform(list_distinct(list_filter(b, lambda x, i: not known[i])), lambda x: {{'h': x.h, 'code': 0, 'step': step, 'w': x.w}})) as led
+                  from (
+                    select *, list_distinct(list_transform(list_filter(b, lambda x, i: not known[i]), lambda x: x.h)) as noted
+                    from (
+                      select r.session, s.n, s.id, s.step, s.b, r.led, list_transform(list_filter(r.led, lambda e: e.code = 1), lambda e: e.h) as was_out,
+                        list_reduce(list_transform(s.b, lambda x, i: {{'i': i, 'last': 0::bigint, 'known': [list_contains(list_transform(list_filter(r.led, lambda e: e.code = 0), lambda e: e.h), x.h)], 'first': list_position(list_transform(s.b, lambda y: y.h), x.h)}}),
+                          lambda acc, x: {{'i': x.i, 'last': case when x.known[1] or x.first < acc.last then x.i else acc.last end, 'known': list_append(acc.known, x.known[1] or x.first < acc.last), 'first': x.first}},
+                          {{'i': 0::bigint, 'last': 0::bigint, 'known': []::boolean[], 'first': 0}}).known as known
+                      from replay r join steps s on s.session = r.session and s.n = r.n + 1))))))),
+        fold as (select id, unnest(range(0, len(known))) as block_no, unnest(known) as known, false as resent from replay where id is not null)"""
+
+
 _DOC_TEXTS = f"texts as (select doc_id as id, {_SRC} as session, doc_id as step, text, false as code from documents)"
 _LAST = "right(handle, 1)"
 _HELD = f"case when {_LAST} in ('0', '1', '2', '3', '4') then 0 when {_LAST} in ('5', '6', '7', '8', '9') then 1 end"
@@ -414,6 +448,12 @@ ORACLE = {
         out="""select id // 2 + 1 as iteration, sum(raw)::bigint as raw, sum(s)::bigint as stateless, sum(least(b, raw))::bigint as conditional,
           sum(case when b > raw or stateless then 0 else hits end)::bigint as unchanged from best group by 1""",
     ),
+    "delta_budget": _pack_sql(
+        _DOC_TEXTS, fold=_budget_sql(BUDGET),
+        out="""select b.id, b.session, step, case when b > raw then 'raw' when stateless then 'stateless' else 'conditional' end as choice, raw as raw_tokens, least(b, raw) as shown_tokens,
+          raw - least(b, raw) as saved_tokens, case when b > raw or stateless then 0 else hits end as delta_hits, case when b > raw or stateless then 0 else r.resent end as evicted_resends, blocks, runs,
+          gone as evicted, live as resident_tokens from best b join replay r on r.id = b.id""",
+    ),
     "delta_recall": _pack_sql(_DOC_TEXTS, out=_PRINTED),
     "delta_ledger": _pack_sql(_DOC_TEXTS, _HELD),
     "delta_proof": _pack_sql(_DOC_TEXTS, _HELD, f"{_LAST} <> '0'"),

@@ -75,6 +75,12 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return badrows.reasons(table(spark, d, "metrics_raw"))
 
 
+def p3_rejected(spark: SparkSession, d: str) -> DataFrame:
+    """The failing lines as they are, with all their errors in order."""
+    bad = badrows.rejected(table(spark, d, "metrics_raw"))
+    return bad.select("row_id", "reason", F.array_join(F.transform("errors", lambda e: F.concat_ws(":", e["reason"], e["field"])), " ").alias("errors"), "line")
+
+
 def p3_loaded(spark: SparkSession, d: str) -> DataFrame:
     return badrows.loaded(table(spark, d, "metrics_raw"))
 
@@ -134,7 +140,7 @@ def p5_filled(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("stream", "file_no").agg(F.count("*").alias("n_records"), F.sum(values + F.coalesce(F.size("_misfits"), F.lit(0))).alias("n_values"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_tables, p1_objects, p1_roles, p2_found, p2_cells, p2_table, p2_wide, p3_found, p3_loaded, p4_found, p4_members, p4_groups, p5_found, p5_log, p5_unified, p5_filled)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_tables, p1_objects, p1_roles, p2_found, p2_cells, p2_table, p2_wide, p3_found, p3_rejected, p3_loaded, p4_found, p4_members, p4_groups, p5_found, p5_log, p5_unified, p5_filled)}
 
 _LINES = r"""
 with one as (
@@ -300,6 +306,17 @@ ORACLE = {
            coalesce(sum(saved) filter (event = 'expand'), 0)::bigint as saved_expand
          from good group by session""",
     "p3_found": _PARTS + "select distinct row_id, reason from judged where reason is not null",
+    "p3_rejected": _PARTS
+    + """,
+        fields as (select row_id, line, arrived_at, i, ['t', 'event', 'session', 'raw', 'shown', 'saved', 'delta_hits', 'evicted'][i] as name, f[i] as v from judged, unnest(range(1, 9)) as u(i) where reason = 'bad_value'),
+        wrong as (
+          select row_id, line, string_agg('bad_value:' || name, ' ' order by i) as errors from (select distinct row_id, line, i, name, v from fields)
+          where case name when 'session' then false when 'event' then not regexp_full_match(v, '[a-z][a-z0-9._-]*')
+            when 'saved' then not (v = '' or (regexp_full_match(v, '-?[0-9]+') and coalesce(abs(try_cast(v as hugeint)) <= 9223372036854775807, false)))
+            else not (regexp_full_match(v, '[0-9]+') and coalesce(try_cast(v as hugeint) <= 9223372036854775807, false)) end
+          group by row_id, line)
+        select distinct j.row_id, reason, case when reason = 'bad_value' then w.errors else reason end as errors, j.line
+        from judged j left join wrong w on w.row_id is not distinct from j.row_id and w.line is not distinct from j.line where reason is not null""",
     "p3_loaded": _PARTS
     + """select row_id, f[1]::bigint as t, f[2] as event, f[3] as session, f[4]::bigint as raw, f[5]::bigint as shown,
            nullif(f[6], '')::bigint as saved, f[7]::bigint as delta_hits, f[8]::bigint as evicted
