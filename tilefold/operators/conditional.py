@@ -31,12 +31,15 @@ from tilefold.session import written
 KNOWN = "array<struct<known:boolean,resent:boolean>>"
 
 
-def block_rows(texts: DataFrame) -> DataFrame:
-    """(session, step, id, block_no, handle, tokens) of (id, session, step, text, content_type), narrow."""
+def block_rows(texts: DataFrame, weigh: bool = True) -> DataFrame:
+    """(session, step, id, block_no, handle, tokens) of (id, session, step, text, content_type), narrow.
+
+    Only a ledger asks for ``tokens``; without ``weigh`` they are left out.
+    """
     parts = tiles.blocks(F.col("text"), F.col("content_type"))
-    each = F.transform(parts, lambda b: F.struct(handle(b).alias("handle"), tokens(b).alias("tokens")))
+    each = F.transform(parts, lambda b: F.struct(handle(b).alias("handle"), *([tokens(b).alias("tokens")] if weigh else [])))
     out = texts.select("session", "step", "id", F.posexplode(each).alias("block_no", "_b"))
-    return out.select("session", "step", "id", "block_no", F.col("_b.handle").alias("handle"), F.col("_b.tokens").alias("tokens"))
+    return out.select("session", "step", "id", "block_no", "_b.*")
 
 
 def residency(blocks: DataFrame, ledger: DataFrame | None = None, proof: DataFrame | None = None) -> DataFrame:
@@ -125,8 +128,9 @@ def guarded(packed: DataFrame) -> DataFrame:
 
     Takes ``conditional``, ``stateless``, ``text``, ``runs``, ``delta_hits``, ``evicted_resends``.
     """
-    out = packed.withColumns({"_c": tokens(F.col("conditional")), "_s": tokens(F.col("stateless")), "raw_tokens": tokens(F.col("text"))})
-    use_stateless = (F.col("runs") > 1) & (F.col("_s") < F.col("_c"))
+    many = F.col("runs") > 1  # a single run is its own stateless view
+    out = packed.withColumns({"_c": tokens(F.col("conditional")), "_s": F.when(many, tokens(F.col("stateless"))), "raw_tokens": tokens(F.col("text"))})
+    use_stateless = many & (F.col("_s") < F.col("_c"))
     best = F.when(use_stateless, F.col("_s")).otherwise(F.col("_c"))
     choice = F.when(best > F.col("raw_tokens"), F.lit("raw")).when(use_stateless, F.lit("stateless")).otherwise(F.lit("conditional"))
     out = out.withColumns({"choice": choice, "shown_tokens": F.least(best, F.col("raw_tokens"))})
@@ -145,7 +149,7 @@ def pack(texts: DataFrame, ledger: DataFrame | None = None, proof: DataFrame | N
     runs, handles (of all that is stored for the row) and stored (handle, text). The narrow blocks are written once.
     """
     texts = texts.select("id", "session", "step", F.coalesce("text", F.lit("")).alias("text"), "content_type")
-    return pack_blocks(texts, written(block_rows(texts), "blocks"), ledger, proof)
+    return pack_blocks(texts, written(block_rows(texts, weigh=False), "blocks"), ledger, proof)
 
 
 def pack_blocks(texts: DataFrame, blocks: DataFrame, ledger: DataFrame | None = None, proof: DataFrame | None = None) -> DataFrame:
@@ -203,12 +207,14 @@ def stored_rows(packed: DataFrame) -> DataFrame:
 
 
 def reconstruct(texts: DataFrame, store: DataFrame) -> DataFrame:
-    """(id, restored): each text put together again from stored blocks; null if any is missing."""
-    blocks = block_rows(texts)
+    """(id, restored, restored_bytes): each text put together again from stored blocks; null if any is missing."""
+    blocks = block_rows(texts, weigh=False)
     have = blocks.join(store.select("handle", F.col("bytes").alias("_x")), "handle", "left")
-    parts = F.array_sort(F.collect_list(F.struct("block_no", "_x")))
+    # one character per byte, so that the joined text is the joined bytes whatever they are
+    parts = F.array_sort(F.collect_list(F.struct("block_no", tiles.latin(F.col("_x")).alias("_x"))))
     whole = have.groupBy("id").agg(parts.alias("p"), F.count_if(F.col("_x").isNull()).alias("missing"))
-    return whole.select("id", F.when(F.col("missing") == 0, F.array_join(F.transform("p", lambda x: x["_x"].cast("string")), "")).alias("restored"))
+    joined = F.when(F.col("missing") == 0, F.encode(F.array_join(F.transform("p", lambda x: x["_x"]), ""), "ISO-8859-1"))
+    return whole.select("id", joined.alias("restored_bytes")).select("id", F.col("restored_bytes").cast("string").alias("restored"), "restored_bytes")
 
 
 _FOLD = "id bigint, known array<boolean>, evicted_resends bigint, evicted bigint, resident_tokens bigint"

@@ -195,7 +195,7 @@ def recall_literal(spark: SparkSession, d: str) -> DataFrame:
 
 
 def delta_residency(spark: SparkSession, d: str) -> DataFrame:
-    return conditional.residency(written(conditional.block_rows(_texts(spark, d)), "blocks")).select("id", "block_no", "handle", "seen")
+    return conditional.residency(written(conditional.block_rows(_texts(spark, d), weigh=False), "blocks")).select("id", "block_no", "handle", "seen")
 
 
 def delta_pack(spark: SparkSession, d: str) -> DataFrame:
@@ -223,7 +223,7 @@ def delta_json(spark: SparkSession, d: str) -> DataFrame:
 
 def delta_gated(spark: SparkSession, d: str) -> DataFrame:
     """The same with a transcript that proves only blocks of odd hash."""
-    blocks = written(conditional.block_rows(_texts(spark, d)), "blocks")
+    blocks = written(conditional.block_rows(_texts(spark, d), weigh=False), "blocks")
     odd = F.substring("handle", 36, 1).isin(*"13579bdf")
     proof = blocks.select("session", F.lit(True).alias("ok"), F.when(odd, c("handle")).alias("handle"))
     out = conditional.residency(blocks, proof=proof)
@@ -265,7 +265,7 @@ def delta_recall(spark: SparkSession, d: str) -> DataFrame:
 
 def _ledger_and_proof(texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Blocks of ``texts``; a ledger that holds those whose handle ends in 0 to 4, and in 5 to 9 as evicted; a transcript without those that end in 0."""
-    blocks = written(conditional.block_rows(texts), "blocks")
+    blocks = written(conditional.block_rows(texts, weigh=False), "blocks")
     last = F.substring("handle", 36, 1)
     held = blocks.select("session", "handle").distinct()
     ledger = held.select("session", "handle", F.when(last.isin(*"01234"), 0).when(last.isin(*"56789"), 1).alias("code")).filter("code is not null")

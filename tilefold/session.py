@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,6 +25,19 @@ def build_session(cpus: int | str = "*", partitions: int = 8, memory: str = "8g"
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    return ship(spark)
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package to all executors, for sessions whose workers cannot import it; does nothing the second time."""
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.gettempdir()) / f"tilefold-{spark.sparkContext.applicationId}.zip"  # the driver serves it from here
+    if not archive.exists():
+        with zipfile.ZipFile(archive, "w") as z:
+            for p in sorted(package.rglob("*.py")):
+                z.write(p, p.relative_to(package.parent))
+        atexit.register(archive.unlink, missing_ok=True)
+        spark.sparkContext.addPyFile(str(archive))
     return spark
 
 
