@@ -66,6 +66,19 @@ def p2_table(spark: SparkSession, d: str) -> DataFrame:
     return features.feature_blocks(table(spark, d, "metrics"))
 
 
+def p2_rows(spark: SparkSession, d: str) -> DataFrame:
+    """One row per session out of the feature table: its event types, lines, latest time and total."""
+    rows = features.feature_blocks(table(spark, d, "metrics"))
+    maps = [c for c in rows.columns if c != "session"]
+    cells = F.flatten(F.array(*(F.coalesce(F.map_values(m), F.array()) for m in maps)))
+
+    def total(field: str):
+        return F.aggregate(cells, F.lit(0).cast("bigint"), lambda acc, x: acc + x[field])
+
+    last = F.array_max(F.transform(cells, lambda x: x["last_t"]))
+    return rows.select("session", F.size(cells).alias("n_types"), total("n").alias("n_lines"), last.alias("last_t"), total("total_saved").alias("total_saved"))
+
+
 def p2_wide(spark: SparkSession, d: str) -> DataFrame:
     """Plain feature columns of two chosen event types; ``p2_table`` has all of them."""
     return features.wide(features.feature_blocks(table(spark, d, "metrics")), ["compress", "expand"])
@@ -133,6 +146,14 @@ def p5_unified(spark: SparkSession, d: str) -> DataFrame:
     return _unified(spark, d).withColumn("_misfits", F.to_json("_misfits"))
 
 
+def p5_texts(spark: SparkSession, d: str) -> DataFrame:
+    """The text columns of the one table, one row per filled cell."""
+    rows = _unified(spark, d)
+    texts = [c for c, kind in rows.dtypes if kind == "string" and c != "stream"]
+    cells = F.explode(F.array(*(F.struct(F.lit(c).alias("name"), F.col(f"`{c}`").alias("value")) for c in texts)))
+    return rows.select("record_id", "stream", "file_no", cells.alias("c")).select("record_id", "stream", "file_no", "c.name", "c.value").filter("value is not null")
+
+
 def p5_filled(spark: SparkSession, d: str) -> DataFrame:
     """Records and values of each file in the one table: every non-null value of every record is in its row."""
     rows = _unified(spark, d)
@@ -140,7 +161,7 @@ def p5_filled(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("stream", "file_no").agg(F.count("*").alias("n_records"), F.sum(values + F.coalesce(F.size("_misfits"), F.lit(0))).alias("n_values"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_tables, p1_objects, p1_roles, p2_found, p2_cells, p2_table, p2_wide, p3_found, p3_rejected, p3_loaded, p4_found, p4_members, p4_groups, p5_found, p5_log, p5_unified, p5_filled)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_tables, p1_objects, p1_roles, p2_found, p2_cells, p2_table, p2_rows, p2_wide, p3_found, p3_rejected, p3_loaded, p4_found, p4_members, p4_groups, p5_found, p5_log, p5_unified, p5_texts, p5_filled)}
 
 _LINES = r"""
 with one as (
@@ -276,6 +297,21 @@ _LOG = f"""
 
 ORACLE = {
     "p5_log": _CHANGES[: _CHANGES.index("\nselect *, 'renamed'")] + ",\nchanges as (" + _CHANGES[_CHANGES.index("select *, 'renamed'") :] + ")" + _LOG,
+    "p5_texts": "with recursive" + _CHANGES[: _CHANGES.index("\nselect *, 'renamed'")].strip().removeprefix("with") + """,
+        uses as (select field, count(*) as n from tv group by field),
+        edges as (select old_name as a, new_name as b from ren union select new_name, old_name from ren),
+        reach as (select field as a, field as b from uses union select e.a, e.a from edges e union select r.a, e.b from reach r join edges e on e.a = r.b),
+        chain as (
+          select a as field, first(b order by exists (select 1 from ren where old_name = b), coalesce(n, 0) desc, b) as chain from reach left join uses on uses.field = reach.b group by a),
+        split as (select distinct stream, chain from heads join chain using (field) group by stream, file_no, chain having count(*) > 1),
+        names as (select distinct h.stream, h.field, case when s.chain is not null then h.field else c.chain end as name, h.type from heads h join chain c using (field) left join split s on s.stream = h.stream and s.chain = c.chain),
+        kinds as (select name, bool_or(type in ('list', 'object')) as nested, count(distinct type) as k, min(type) as type from names group by name),
+        mine as (select stream, file_no, record_id, u.k as field, json_extract(r, '$."' || u.k || '"') as v from rec, unnest(json_keys(r)) as u(k)),
+        cells as (
+          select m.record_id, m.stream, m.file_no, n.name, case when json_type(v) = 'VARCHAR' then v ->> '$' else v::varchar end as value,
+            row_number() over (partition by m.record_id, m.stream, m.file_no, n.name order by m.field <> n.name, m.field) as pick
+          from mine m join (select distinct stream, field, name from names) n on n.stream = m.stream and n.field = m.field where json_type(v) <> 'NULL')
+        select record_id, stream, file_no, c.name, value from cells c join kinds using (name) where pick = 1 and (nested or k > 1 or type = 'string')""",
     "p5_filled": _CHANGES[: _CHANGES.index(",\nkv as")] + """
         select stream, file_no, count(*) as n_records,
           sum(case when r is null then 0 else len(list_filter(json_keys(r), lambda k: json_type(json_extract(r, '$."' || k || '"')) <> 'NULL')) end)::bigint as n_values from rec group by 1, 2""",
@@ -299,6 +335,9 @@ ORACLE = {
     "p2_cells": _LINES
     + """select session, event, count(*) as n, max(t) as last_t, coalesce(sum(saved), 0)::bigint as total_saved
          from good where event <> '' group by session, event""",
+    "p2_rows": _LINES
+    + """select session, count(distinct event) filter (event <> '') as n_types, count(*) filter (event <> '') as n_lines, max(t) filter (event <> '') as last_t,
+           coalesce(sum(saved) filter (event <> ''), 0)::bigint as total_saved from good group by session""",
     "p2_wide": _LINES
     + """select session, count(*) filter (event = 'compress') as n_compress, max(t) filter (event = 'compress') as last_compress,
            coalesce(sum(saved) filter (event = 'compress'), 0)::bigint as saved_compress,
