@@ -150,6 +150,8 @@ def p5_texts(spark: SparkSession, d: str) -> DataFrame:
     """The text columns of the one table, one row per filled cell."""
     rows = _unified(spark, d)
     texts = [c for c, kind in rows.dtypes if kind == "string" and c != "stream"]
+    if not texts:
+        return rows.select("record_id", "stream", "file_no", F.lit("").alias("name"), F.lit("").alias("value")).limit(0)
     cells = F.explode(F.array(*(F.struct(F.lit(c).alias("name"), F.col(f"`{c}`").alias("value")) for c in texts)))
     return rows.select("record_id", "stream", "file_no", cells.alias("c")).select("record_id", "stream", "file_no", "c.name", "c.value").filter("value is not null")
 
