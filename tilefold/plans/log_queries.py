@@ -9,7 +9,7 @@ from tilefold.functions import handles as H
 from tilefold.functions import text as T
 from tilefold.operators import conditional, decisions, ledger, recall, retention, savings, store, transcripts
 from tilefold.plans.prefix import one_per_id
-from tilefold.plans.text_queries import LOG_BLOCKS, SQL_LINES, sql_code_blocks, sql_code_view, sql_generated, sql_handle, sql_lines, sql_log_blocks, sql_log_view, sql_tokens
+from tilefold.plans.text_queries import LOG_BLOCKS, SQL_LINES, sql_code_blocks, sql_code_view, sql_generated, sql_handle, sql_json_view, sql_lines, sql_log_blocks, sql_log_view, sql_tokens
 from tilefold.session import written
 from tilefold.sources.generate import edit_loop
 from tilefold.sources.tables import spread, table
@@ -349,15 +349,25 @@ def _recall_sql(cond: str, where: str = "true") -> str:
         select d.doc_id, sha256(coalesce(string_agg(x, chr(10) order by i), '')) as part from documents d left join (select * from m where hit) m using (doc_id) group by d.doc_id"""
 
 
-def _pack_sql(texts: str, held: str = "null", proved: str = "true", out: str = "", fold: str = "") -> str:
+def _pack_sql(texts: str, held: str = "null", proved: str = "true", out: str = "", fold: str = "", json: bool = False) -> str:
     """Packed views of ``texts`` (id, session, step, text, code): past by window, repeats by a fold over the blocks of a text.
 
-    ``held`` is the ledger's code of a handle and ``proved`` whether the transcript shows it, as SQL over ``handle``.
+    With ``json`` all texts are JSON. ``held`` is the ledger's code of a handle and ``proved`` whether the transcript shows it, as SQL over ``handle``.
     """
-    return f"""
-        with recursive {texts}, {sql_lines('texts', 'id')},
+    if json:
+        tiled = sql_json_view("w", "texts") + ", blocks as (select id as doc_id, n - 1 as block_no, tile as block from wjnum)"
+        viewed = sql_json_view("r", "fresh") + ", rall as (select id as doc_id, view from rjviews), wall as (select id as doc_id, view from wjviews)"
+    else:
+        tiled = f"""{sql_lines('texts', 'id')},
         loglines as (select l.* from lines l join texts t on t.id = l.doc_id where not code), codelines as (select l.* from lines l join texts t on t.id = l.doc_id where code),
-        {sql_log_blocks('loglines').replace('blocks as (', 'logblocks as (')}, {sql_code_blocks('codelines')}, blocks as (select * from logblocks union all select * from codeblocks),
+        {sql_log_blocks('loglines').replace('blocks as (', 'logblocks as (')}, {sql_code_blocks('codelines')}, blocks as (select * from logblocks union all select * from codeblocks)"""
+        viewed = f"""
+        {sql_lines('fresh', 'id', 'run_lines')},
+        rloglines as (select l.* from run_lines l join fresh t on t.id = l.doc_id where not code), rcodelines as (select l.* from run_lines l join fresh t on t.id = l.doc_id where code),
+        {sql_log_view('r', 'rloglines')}, {sql_log_view('w', 'loglines')}, {sql_code_view('r', 'rcodelines')}, {sql_code_view('w', 'codelines')},
+        rall as (select doc_id, view from rviews union all select doc_id, view from rcodes), wall as (select doc_id, view from wviews union all select doc_id, view from wcodes)"""
+    return f"""
+        with recursive {texts}, {tiled},
         h as (select t.id, t.session, t.step, block_no, block, {sql_handle('block')} as handle from blocks b join texts t on t.id = b.doc_id),
         """ + (fold or f"""
         past as (
@@ -373,10 +383,7 @@ def _pack_sql(texts: str, held: str = "null", proved: str = "true", out: str = "
         numbered as (select *, sum(edge::int) over (partition by id order by block_no) as run from cut),
         runs as (select id, run, bool_and(known) as known, count(*) as n, count(*) filter (resent) as resent, string_agg(block, '' order by block_no) as text from numbered group by id, run),
         fresh as (select r.id || ':' || run as id, r.text, code from runs r join texts t on t.id = r.id where not known),
-        {sql_lines('fresh', 'id', 'run_lines')},
-        rloglines as (select l.* from run_lines l join fresh t on t.id = l.doc_id where not code), rcodelines as (select l.* from run_lines l join fresh t on t.id = l.doc_id where code),
-        {sql_log_view('r', 'rloglines')}, {sql_log_view('w', 'loglines')}, {sql_code_view('r', 'rcodelines')}, {sql_code_view('w', 'codelines')},
-        rall as (select doc_id, view from rviews union all select doc_id, view from rcodes), wall as (select doc_id, view from wviews union all select doc_id, view from wcodes),
+        {viewed},
         shown as (
           select r.id, run, n, known, resent, case when known then '[Tilefold: ' || (length(text) - length(replace(text, chr(10), '')) + case when ends_with(text, chr(10)) then 0 else 1 end)
             || ' lines unchanged · recall ' || {sql_handle('text')} || ']' else coalesce(v.view, '') end as view
@@ -448,6 +455,10 @@ ORACLE = {
         out="""select id // 2 + 1 as iteration, sum(raw)::bigint as raw, sum(s)::bigint as stateless, sum(least(b, raw))::bigint as conditional,
           sum(case when b > raw or stateless then 0 else hits end)::bigint as unchanged from best group by 1""",
     ),
+    "delta_json": _pack_sql(
+        """texts as (select record_id as id, stream as session, record_id as step, record as text, false as code from (
+          select *, row_number() over (partition by record_id order by written_at) as k from meta_raw where record_id is not null) where k = 1)""", json=True,
+    ),
     "delta_budget": _pack_sql(
         _DOC_TEXTS, fold=_budget_sql(BUDGET),
         out="""select b.id, b.session, step, case when b > raw then 'raw' when stateless then 'stateless' else 'conditional' end as choice, raw as raw_tokens, least(b, raw) as shown_tokens,

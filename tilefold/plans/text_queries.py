@@ -377,38 +377,38 @@ logs as (
 generated as (select * from files union all select * from logs)"""
 
 
-def sql_json_view(texts: str) -> str:
-    """CTEs that view the JSON texts of ``texts`` (id, text), read character by character: jviews (id, view, n_elided)."""
+def sql_json_view(p: str, texts: str) -> str:
+    """CTEs that view the JSON texts of ``texts`` (id, text), read character by character: <p>jviews (id, view, n_elided), tiles in <p>jnum."""
     ws = "' ' || chr(9) || chr(10) || chr(13)"
     plain = "not w.esc and not w.quoted"
     return f"""
-jm as (select id, text, string_split(text, '') as c, length(text) - length(ltrim(text, {ws})) as lead from {texts}),
-walk as (
-  select id, lead + 2 as i, 1 as depth, false as quoted, false as esc, [lead + 1] as cuts, false as closed from jm where substr(text, lead + 1, 1) in ('{{', '[')
+{p}jm as (select id, text, string_split(text, '') as c, length(text) - length(ltrim(text, {ws})) as lead from {texts}),
+{p}walk as (
+  select id, lead + 2 as i, 1 as depth, false as quoted, false as esc, [lead + 1] as cuts, false as closed from {p}jm where substr(text, lead + 1, 1) in ('{{', '[')
   union all
   select w.id, i + 1, case when {plain} and x in ('{{', '[') then depth + 1 when {plain} and x in ('}}', ']') then depth - 1 else depth end,
     case when w.esc then w.quoted when x = '"' then not w.quoted else w.quoted end, not w.esc and w.quoted and x = '\\',
     case when {plain} and x in ('}}', ']') and depth = 1 then w.cuts || [i - 1, i] when {plain} and x = ',' and depth = 1 then w.cuts || [i] else w.cuts end,
     {plain} and x in ('}}', ']') and depth = 1
-  from (select w.*, m.c[w.i] as x from walk w join jm m on m.id = w.id where not w.closed and w.i <= len(m.c)) w),
-jcut as (select jm.id, text, case when w.id is null then [0, length(text)] else [0] || w.cuts || [length(text)] end as cuts from jm left join (select * from walk where closed) w on w.id = jm.id),
-jtile as (select id, k, substr(text, cuts[k] + 1, cuts[k + 1] - cuts[k]) as tile from jcut, unnest(range(1, len(cuts))) as u(k) where cuts[k + 1] > cuts[k]),
-jnum as (select *, ltrim(tile, {ws}) as body, row_number() over (partition by id order by k) as n, count(*) over (partition by id) as last from jtile),
-jshow as (
+  from (select w.*, m.c[w.i] as x from {p}walk w join {p}jm m on m.id = w.id where not w.closed and w.i <= len(m.c)) w),
+{p}jcut as (select {p}jm.id, text, case when w.id is null then [0, length(text)] else [0] || w.cuts || [length(text)] end as cuts from {p}jm left join (select * from {p}walk where closed) w on w.id = {p}jm.id),
+{p}jtile as (select id, k, substr(text, cuts[k] + 1, cuts[k + 1] - cuts[k]) as tile from {p}jcut, unnest(range(1, len(cuts))) as u(k) where cuts[k + 1] > cuts[k]),
+{p}jnum as (select *, ltrim(tile, {ws}) as body, row_number() over (partition by id order by k) as n, count(*) over (partition by id) as last from {p}jtile),
+{p}jshow as (
   select *, last > 1 and n > 1 and n < last and not (n = last - 1 and tile in ('}}', ']')) and strlen(body) > {structural.KEEP_BYTES} as gone,
-    regexp_extract(body, '^"((?:[^"\\\\]|\\\\(?s:.))*)"', 1) as key, starts_with(body, '"') as keyed from jnum),
-jviews as (
+    regexp_extract(body, '^"((?:[^"\\\\]|\\\\(?s:.))*)"', 1) as key, starts_with(body, '"') as keyed from {p}jnum),
+{p}jviews as (
   select id, count(*) filter (gone) as n_elided, string_agg(case when gone then left(tile, length(tile) - length(body)) || case when keyed then '"' || key || '": ' else '' end
     || '[Tilefold: section omitted · ~' || {sql_tokens('tile')} || ' tokens · recall ' || {sql_handle('tile')} || ']' || case when ends_with(tile, ',') then ',' else '' end else tile end, '' order by n) as view
-  from jshow group by id)"""
+  from {p}jshow group by id)"""
 
 
 ORACLE = {
     "view_json": f"""
         with recursive one as (
           select line_id as id, message as text from (select *, row_number() over (partition by line_id order by logged_at) as k from transcript where message is not null) where k = 1 or line_id is null),
-        {sql_json_view('one')}
-        select one.id as line_id, {sql_tokens('text')} as raw, {sql_tokens("coalesce(view, '')")} as shown, coalesce(n_elided, 0) as n_elided from one left join jviews using (id)""",
+        {sql_json_view('d', 'one')}
+        select one.id as line_id, {sql_tokens('text')} as raw, {sql_tokens("coalesce(view, '')")} as shown, coalesce(n_elided, 0) as n_elided from one left join djviews using (id)""",
     "gen_synthetic": f"with {sql_generated()} select id, content_type, {sql_tokens('text')} as n_tokens, {_COUNTED.format('text')} as n_lines from generated",
     "view_code": f"""
         with {SQL_LINES}, {sql_code_view('d', 'lines')}
