@@ -87,12 +87,15 @@ def pred_detect(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("origin", P.detect(c("text")).alias("kind"), P.looks_like_json(c("text")).alias("opens")).agg(F.count("*").alias("n"))
 
 
+COMMAND_FORMS = (
+    "cat {}", "cat {}.log", "cd /tmp && npm test {}", "FOO='a b' sudo /usr/bin/cargo test {}", "grep x {} | head", "echo \"a;b\" ; pytest {}", "ls {} # all", "env A=1 time make {}",
+    "echo 'x > y' && rg z {}", "sleep 1 & cat {}.log", "  nice npx jest {}", "cargo build 2>&1", "go test {};tail {}.log", "A=1 B=\"x y\" {}", "tail 'b.log' {}", "/opt/x/docker ps&&du {}", "git log", "",
+)
+
+
 def pred_commands(spark: SparkSession, d: str) -> DataFrame:
     """Commands made of the paths of the decision log, several forms each."""
-    forms = [
-        "cat {}", "cat {}.log", "cd /tmp && npm test {}", "FOO='a b' sudo /usr/bin/cargo test {}", "grep x {} | head", "echo \"a;b\" ; pytest {}",
-        "ls {} # all", "env A=1 time make {}", "echo 'x > y' && rg z {}", "sleep 1 & cat {}.log",
-    ]
+    forms = [f if "{}" in f else f + "{}" for f in COMMAND_FORMS]
     paths = table(spark, d, "decision_log").select("path").filter("path is not null").distinct()
     made = F.array(*(F.concat(F.lit(f.split("{}")[0]), c("path"), F.lit(f.split("{}")[1])) for f in forms))
     rows = paths.select("path", F.posexplode(made).alias("form", "command"))
@@ -403,6 +406,8 @@ def sql_json_view(p: str, texts: str) -> str:
   from {p}jshow group by id)"""
 
 
+_FORMS = ", ".join("'" + (f if "{}" in f else f + "{}").replace("'", "''") + "'" for f in COMMAND_FORMS)
+
 ORACLE = {
     "view_json": f"""
         with recursive one as (
@@ -521,7 +526,18 @@ ORACLE = {
         m as (select doc_id, count(*) as markers, sum(n_lines) as elided_lines from secs where elide group by doc_id)
         select d.doc_id, 'pages/' || d.doc_id || '.md' as source, {sql_handle('text')} as handle, coalesce(markers, 0) as markers, coalesce(elided_lines, 0)::bigint as elided_lines, true as complete
         from documents d left join m using (doc_id)""",
-    "pred_commands": """
-        select path, form, nullif(['', 'cat', 'npm', 'cargo', '', 'pytest', '', 'make', 'rg', ''][form + 1], '') as program
-        from (select distinct path from decision_log where path is not null), unnest(range(0, 10)) as u(form)""",
+    "pred_commands": rf"""
+        with made as (
+          select path, u.i - 1 as form, replace(f[u.i], '{{}}', path) as cmd
+          from (select distinct path from decision_log where path is not null), (select [{_FORMS}] as f) x, unnest(range(1, {len(COMMAND_FORMS) + 1})) as u(i)),
+        bare as (select *, regexp_replace(cmd, '"[^"]*("|$)|''[^'']*(''|$)', ' ', 'g') as b from made),
+        told as (select *, regexp_matches(b, '[|<>]|tilefold') or regexp_matches(b, '(^|[^&>])&([^&>]|$)') or regexp_matches(b, '(^|[ \t;()|&<>])#') or trim(cmd) = '' as leave from bare),
+        kept as (
+          select *, regexp_split_to_array(b, ';|&&') as p, regexp_split_to_array(list_reduce(regexp_extract_all(cmd, '"[^"]*(?:"|$)|''[^'']*(?:''|$)'),
+            lambda acc, x: replace(acc, x, translate(x, ';&', chr(1) || chr(2))), cmd), ';|&&') as raw from told),
+        seg as (select path, form, leave, k, trim(p[k]) as s, raw[k] as raw from kept, unnest(range(1, len(p) + 1)) as v(k)),
+        prog as (
+          select *, regexp_replace(regexp_extract(regexp_replace(s, '^(([A-Za-z_][A-Za-z0-9_]*=[^ ]*|([^ ]*[/\\])?({'|'.join(commands.WRAPPERS)}))( +|$))+', ''), '^[^ ]+'), '^.*[/\\]', '') as w from seg),
+        hit as (select *, list_contains({list(commands.PROGRAMS)}, w) or (list_contains({list(commands.LOG_PROGRAMS)}, w) and contains(raw, '.log')) as h from prog)
+        select path, form, first(w order by k) filter (h and not leave) as program from hit group by path, form""",
 }
